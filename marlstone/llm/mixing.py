@@ -71,7 +71,25 @@ def mix(sized: DataFrame, per: DataFrame, seed: int = 7, passes: int = 3, bucket
     d = d.join(buckets.drop("_n"), ["_s", "_b"]).withColumn("_cum", F.col("_before") + F.sum("size").over(inner))
     e = d.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     e = e.where("size > 0 and target > 0").withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("_cum")) / F.col("target"))
-    return e.select("doc_id", "source", "size", "source_size", "target", "pass", "finish", "_s")
+    return fill(e.select("doc_id", "source", "size", "source_size", "n_docs", "target", "pass", "finish", "_s"))
+
+
+def fill(entries: DataFrame, look: int = 64) -> DataFrame:
+    """Gives the documents just after a source's target, in their order, what one too long left unused.
+
+    Those that fit get finish time 1: they are served before the too long one.  About
+    `look` documents a source are looked at, a bounded array.
+    """
+    near = F.least(F.lit(2.0), 1 + look * F.col("source_size") / F.col("n_docs") / F.col("target"))
+    used = entries.where("finish <= 1").groupBy("_s").agg(F.sum("size").alias("_used"))
+    late = entries.where((F.col("finish") > 1) & (F.col("finish") <= near)).groupBy("_s", "target")
+    late = late.agg(F.array_sort(F.collect_list(F.struct("finish", "pass", "doc_id", "size"))).alias("_late")).join(used, "_s", "left")
+    start = F.struct((F.col("target") - F.coalesce(F.col("_used"), F.lit(0))).alias("left"), F.array().cast("array<struct<finish:double,pass:int,doc_id:bigint,size:bigint>>").alias("got"))
+    step = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["got"], F.array(x)).alias("got"))).otherwise(acc)
+    early = late.select("_s", F.explode(F.aggregate("_late", start, step)["got"]).alias("x")).select(F.col("_s").alias("_fs"), F.col("x.pass").alias("_fp"), F.col("x.doc_id").alias("_fd"), F.col("x.finish").alias("_ff")).distinct()
+    on = (F.col("_s") == F.col("_fs")) & (F.col("pass") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("finish") == F.col("_ff"))
+    out = entries.join(early, on, "left").withColumn("finish", F.when(F.col("_fs").isNotNull(), F.lit(1.0)).otherwise(F.col("finish")))
+    return out.drop("_fs", "_fp", "_fd", "_ff", "n_docs")
 
 
 def cut_at_budget(entries: DataFrame, budget: float, grid: int = 4096) -> DataFrame:

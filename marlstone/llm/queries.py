@@ -64,14 +64,14 @@ QUERIES = {f.__name__: f for f in (op1_token_shards, op3_suffix_array_dedup, op4
 
 ORACLE_SQL = {
     "op9_debruijn_dedup": r"""
-        WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
              win AS (SELECT r, i, list_slice(w, i, i + 34) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
              rep AS (SELECT r, i FROM win WHERE x IN (SELECT x FROM win GROUP BY x HAVING count(*) > 1)),
              gone AS (SELECT DISTINCT r, i + j AS p FROM rep, (SELECT unnest(range(0, 35)) AS j)),
              per AS (SELECT r, list(p) AS p FROM gone GROUP BY r)
         SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
                sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ')
-                      ELSE coalesce(array_to_string([w[q] FOR q IN list_sort(list_filter(range(1, len(w) + 1), q -> NOT list_contains(p, q)))], ' '), '') END) AS kept_sha256
+                      ELSE coalesce(array_to_string([w[q] FOR q IN list_sort(list_filter(range(1, len(w) + 1), lambda q: NOT list_contains(p, q)))], ' '), '') END) AS kept_sha256
         FROM d LEFT JOIN per USING (r)""",
     "op4_warc_bundles": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),

@@ -36,6 +36,12 @@ def op5_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op7_shingle_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import setjoin
+
+    return setjoin.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -60,7 +66,7 @@ def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove(table(spark, sf_dir, "documents")).drop("n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op8_language_codes, op9_debruijn_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op9_debruijn_dedup": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, quality, queries, shared, tokens
+from marlstone.llm import decontaminate, mixing, quality, queries, setjoin, shared, tokens
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -15,14 +15,40 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised rules keep."""
     return _keep(docs, quality.judge(docs).where("kept"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of five-word shingle sets linked at 0.8."""
+    g = setjoin.groups(docs)
+    return _keep(docs, g.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _keep(docs, decontaminate.judge(docs, benchmark).where("not contaminated"))
+
+
+def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    m = mixing.taken(docs).where("passes > 0").select(F.col("doc_id").alias("_mix_id"), F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))).alias("_pass"))
+    return docs.join(m, docs["doc_id"].eqNullSafe(m["_mix_id"])).select(*[docs[c] for c in docs.columns])
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of what is left, read back."""
     return tokens.digest(docs, queries.tokenizer_path())
 
 
-STAGES = [("quality rules", quality_rules), ("token-ID output", token_output)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", weighted_mix),
+    ("token-ID / binary output", token_output),
+]
 
 ORACLE_SQL = None
 

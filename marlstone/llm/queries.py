@@ -36,6 +36,12 @@ def op5_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_shingle_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import setjoin
 
@@ -54,6 +60,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import preference
+
+    return preference.digest(preference.format_pairs(preference.pair_up(table(spark, sf_dir, "conversations"))))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixes
 
@@ -66,9 +78,25 @@ def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove(table(spark, sf_dir, "documents")).drop("n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_preference_pairs, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op6_template_decontamination, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules)}
 
 ORACLE_SQL = {
+    "op2_preference_pairs": """
+        WITH c AS (SELECT conv_id, list(struct_pack(a := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn, role, text) AS x
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+             p AS (SELECT conv_id // 2 AS pair_id, min(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id,
+                          coalesce(any_value(x) FILTER (conv_id % 2 = 0), []) AS a, coalesce(any_value(x) FILTER (conv_id % 2 = 1), []) AS b
+                   FROM c GROUP BY 1),
+             n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS k FROM p),
+             s AS (SELECT pair_id, chosen_id, rejected_id, k, a[1:k] AS q, a[k + 1:] AS u, b[k + 1:] AS v FROM n),
+             r AS (SELECT *, coalesce(array_to_string(list_transform(q, lambda z: '<|im_start|>' || z.a || chr(10) || z.t || '<|im_end|>' || chr(10)), ''), '') AS qt,
+                          coalesce(array_to_string(list_transform(u, lambda z: '<|im_start|>' || z.a || chr(10) || z.t || '<|im_end|>' || chr(10)), ''), '') AS ut,
+                          coalesce(array_to_string(list_transform(v, lambda z: '<|im_start|>' || z.a || chr(10) || z.t || '<|im_end|>' || chr(10)), ''), '') AS vt FROM s)
+        SELECT pair_id, chosen_id, rejected_id, k AS n_common, length(qt) AS prompt_chars,
+               sha256(qt) AS prompt_sha256, sha256(ut) AS chosen_sha256, sha256(vt) AS rejected_sha256,
+               coalesce(list_sum(list_transform(list_filter(u, lambda z: z.a = 'assistant'), lambda z: length(z.t) + 10)), 0)::BIGINT AS chosen_train_chars,
+               coalesce(list_sum(list_transform(list_filter(v, lambda z: z.a = 'assistant'), lambda z: length(z.t) + 10)), 0)::BIGINT AS rejected_train_chars
+        FROM r""",
     "op9_debruijn_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
              win AS (SELECT r, i, list_slice(w, i, i + 34) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),

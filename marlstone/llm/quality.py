@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -28,12 +30,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def _repeat_words(words: Column, k: int = 3) -> Column:
-    """Words inside k-word windows that occur twice or more in the same array."""
+def _windows(words: Column, k: int = 3) -> Column:
+    """(hash, start) of every k-word window of the array, in order of hash."""
     n = F.size(words)
     starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    keyed = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("i"))))
-    return F.transform(keyed, lambda x: x), starts
+    return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("i"))))
 
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,7 +44,7 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     d = d.withColumn("_w", _words(F.col("_t")))
-    d = d.withColumn("_k", _repeat_words(F.col("_w"))[0])
+    d = d.withColumn("_k", _windows(F.col("_w")))
     # neighbours in hash order: a window is repeated if its hash equals the one before or after it
     last = F.size("_k") - 1
     same = F.filter(
@@ -129,7 +130,8 @@ def posterior(model: dict) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rounds: int = 60) -> DataFrame:
     """Signals, votes, `base_failed`, `posterior` and `kept` for each row of docs."""
-    voted = votes(signals(docs, id_col, text_col))
+    # the signals are small and are read twice: texts are gone through once
+    voted = votes(shared.cut(signals(docs, id_col, text_col), "signals"))
     model = fit(voted.where("n_words > 0").select("_v"), rounds)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (

@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import importlib
+import pkgutil
+
+from . import plans
+from .registry import ORACLE_SQL, QUERIES
+
+for _m in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"{plans.__name__}.{_m.name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

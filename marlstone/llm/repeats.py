@@ -78,7 +78,11 @@ def flagged(d: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     """
     p = pieces(d, unit, window, k)
     twice = p.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
-    s = shared.cut(p.join(twice, "gram"), "grams")
+    return rivalry(shared.cut(p.join(twice, "gram"), "grams"))
+
+
+def rivalry(s: DataFrame) -> DataFrame:
+    """Adds whole, probe and rivals to pieces (rid, gram, piece, a, m)."""
     own = s.groupBy("gram", "piece").agg(F.count("*").alias("_n"), F.min(F.struct("rid", "a")).alias("_first"))
     per = own.groupBy("gram").agg(F.count("*").alias("rivals"), F.max(F.col("_n") == 1).alias("_open"))
     own = own.join(per, "gram").withColumnRenamed("gram", "_g")
@@ -88,6 +92,41 @@ def flagged(d: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     return shared.cut(f.select("rid", "gram", "piece", "a", "m", "rivals", whole.alias("whole"), probe.alias("probe")), "flagged")
 
 
+def split(d: DataFrame, heavy: DataFrame, unit: str, window: int, k: int, step: int) -> DataFrame:
+    """Cuts pieces into smaller ones: at most `step` windows at like distances from the gram.
+
+    Their gram is what all windows of the part have in common, nearly a whole window, so
+    pieces that only share a short gram come apart, and equal parts repeat as a whole.
+    """
+    per = heavy.groupBy("rid").agg(F.collect_list(F.struct("gram", "a", "m")).alias("spots"))
+    texts = sift(d, sieve(heavy), "doc_id long, text string, rid long").select("rid", "text").distinct().join(per, "rid")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, spots = np.asarray(b.column("rid")), b.column("spots").to_pylist()
+            for s in textkit.slices(b.column("text")):
+                spans, off, _ = units(s, unit)
+                for i in range(s.rows):
+                    x = spots[s.first + i]
+                    first, end, core = [], [], []
+                    for y in x:
+                        a = int(off[i]) + y["a"]
+                        near = np.arange(a, a + window - k + 1)
+                        pick = int(near[np.argmax(spans.hash(near, near + k).view(np.int64) == y["gram"])])
+                        # distance pick - start falls from pick - a; parts end where it crosses a multiple of step
+                        z = np.arange(a, a + y["m"])
+                        part = (pick - z) // step
+                        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                        first.append(z[cut])
+                        end.append(z[np.append(cut[1:], len(z)) - 1] + 1)
+                        low = part[cut] * step
+                        core.append(spans.hash(pick - low, pick - low - step + 1 + window))
+                    f, e = np.concatenate(first), np.concatenate(end)
+                    yield pa.record_batch([pa.array(np.full(len(f), rid[s.first + i])), pa.array(np.concatenate(core).view(np.int64)), pa.array(spans.hash(f, e - 1 + window).view(np.int64)), pa.array(f - off[i]), pa.array((e - f).astype(np.int32))], names=["rid", "gram", "piece", "a", "m"])
+
+    return texts.select("rid", "text", "spots").mapInArrow(work, "rid long, gram long, piece long, a long, m int")
+
+
 def sieve(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size (2**SIEVE_BITS bits) that holds every rid of ids, and others by chance."""
     slots = ids.select((F.col("rid").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))).cast("int").alias("s")).distinct()

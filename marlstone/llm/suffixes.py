@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import debruijn, repeats, textkit
+from . import debruijn, repeats, shared, textkit
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -95,9 +95,8 @@ def repeated_starts(snippets: list[bytes], window: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[f : f + n]) for f, n in zip(first, lens)]
 
 
-def resolve(d: DataFrame, window: int, probes: DataFrame, most_rivals: int = 512, array_bytes: int = 1 << 18) -> DataFrame:
-    """Repeated spans inside unlike pieces: rid, s, e.  probes: rid, gram, a, m, whole, rivals."""
-    light = probes.where(F.col("rivals") <= most_rivals)
+def arrays(d: DataFrame, window: int, light: DataFrame, array_bytes: int = 1 << 18) -> DataFrame:
+    """Repeated spans of pieces (rid, gram, a, m, whole) by suffix arrays over each gram's snippets: rid, s, e."""
     per = light.groupBy("rid").agg(F.collect_list(F.struct("gram", "a", "m", "whole")).alias("spots"))
     texts = repeats.sift(d, repeats.sieve(light), "doc_id long, text string, rid long").select("rid", "text").distinct().join(per, "rid")
 
@@ -139,9 +138,24 @@ def resolve(d: DataFrame, window: int, probes: DataFrame, most_rivals: int = 512
             yield flush()
 
     snippets = texts.select("rid", "text", "spots").mapInArrow(cut, "gram long, rid long, a long, own boolean, snippet binary")
-    spans = snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "rid long, s long, e long")
-    heavy = probes.where(F.col("rivals") > most_rivals).select("rid", "a", "m", "whole")
-    return spans.unionByName(debruijn.single_edges(d, "bytes", window, heavy))
+    return snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "rid long, s long, e long")
+
+
+def resolve(d: DataFrame, window: int, k: int, probes: DataFrame, most_rivals: int = 512, step: int = 24) -> DataFrame:
+    """Repeated spans inside unlike pieces: rid, s, e.  probes: rid, gram, a, m, whole, rivals.
+
+    Grams with more than `most_rivals` contents are cut into parts with nearly a whole
+    window in common; a part with that many contents still is counted window by window.
+    """
+    some, many = F.col("rivals") <= most_rivals, F.col("rivals") > most_rivals
+    out = arrays(d, window, probes.where(some))
+    heavy = probes.where(many)
+    if heavy.isEmpty():
+        return out
+    parts = repeats.rivalry(shared.cut(repeats.split(d, heavy, "bytes", window, k, step), "parts"))
+    whole = parts.where("whole").select("rid", F.col("a").alias("s"), (F.col("a") + F.col("m") - 1 + window).alias("e"))
+    out = out.unionByName(whole).unionByName(arrays(d, window, parts.where(F.col("probe") & some)))
+    return out.unionByName(debruijn.single_edges(d, "bytes", window, parts.where(F.col("probe") & many).select("rid", "a", "m", "whole")))
 
 
 def byte_digest(b: pa.RecordBatch, spans: list) -> pa.RecordBatch:
@@ -166,5 +180,5 @@ def remove(docs: DataFrame, window: int = 400, k: int = 32, id_col: str = "doc_i
     d = repeats.rows(docs, id_col, text_col)
     f = repeats.flagged(d, "bytes", window, k)
     whole = f.where("whole").select("rid", F.col("a").alias("s"), (F.col("a") + F.col("m") - 1 + window).alias("e"))
-    spans = whole.unionByName(resolve(d, window, f.where("probe").select("rid", "gram", "a", "m", "whole", "rivals")))
+    spans = whole.unionByName(resolve(d, window, k, f.where("probe").select("rid", "gram", "a", "m", "whole", "rivals")))
     return repeats.finish(d, spans, RESULT, byte_digest)

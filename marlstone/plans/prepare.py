@@ -47,7 +47,7 @@ def p2_canonical_urls(spark, table):
     return prepare.canonical_urls(table("pages"))
 
 
-@query("""SELECT event_id, epoch_ms(ts) AS ms, CASE WHEN event_id % 3 = 1 THEN epoch_ms(date_trunc('second', ts)) WHEN event_id % 3 = 2 THEN epoch_ms(ts) ELSE epoch_ms(date_trunc('day', ts)) END AS parsed_ms FROM events""")
+@query("""SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 3 = 1 THEN epoch_ms(date_trunc('second', ts)) WHEN event_id % 3 = 2 THEN epoch_us(ts) // 1000 ELSE epoch_ms(date_trunc('day', ts)) END AS parsed_ms FROM events""")
 def p3_parse_times(spark, table):
     e = table("events")
     raw = F.when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 3 == 2, F.unix_millis("ts").cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd"))

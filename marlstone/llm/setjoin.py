@@ -187,8 +187,9 @@ def links(d: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFram
     twice = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
     lists = shared.cut(entries.join(twice, "token"), "lists")
     lead = lists.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("_last"), F.min_by("size", "sid").alias("lsize"), F.min_by("pos", "sid").alias("lpos")).where("leader <> _last").drop("_last")
-    # the overlap is at most what may lie before the shared token, itself, and what may lie behind it
-    bound = lambda p, n, q, m: F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1)
+    # a pair's first shared token bounds its overlap by what lies behind it on either side;
+    # so a similar pair meets at a token whose positions allow for it, and others can be skipped
+    bound = lambda p, n, q, m: F.least(n - p, m - q)
     possible = lambda p, n, q, m: (den * F.least(n, m) >= num * F.greatest(n, m)) & ((den + num) * bound(p, n, q, m) >= num * (n + m))
     c = F.col
     star = lists.join(lead, "token").where((c("sid") != c("leader")) & possible(c("pos"), c("size"), c("lpos"), c("lsize")))

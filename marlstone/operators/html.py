@@ -33,6 +33,17 @@ class _Blocks(HTMLParser):
             self.out.append((self.main > 0, self.kind or "paragraph", self.level, text))
         self.text = []
 
+    def end_cell(self) -> None:
+        if self.cell is not None and self.row is not None:
+            self.row += [" ".join("".join(self.cell).split())] + [""] * (self.span - 1)
+        self.cell = None
+
+    def end_row(self) -> None:
+        self.end_cell()
+        if self.row:
+            self.out.append((self.main > 0, "header_row" if self.header else "row", len(self.row), " | ".join(self.row)))
+        self.row = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
         if tag in VOID:
@@ -63,8 +74,10 @@ class _Blocks(HTMLParser):
                 self.lists[-1][1] += 1
         elif tag == "tr":
             self.flush()
+            self.end_row()
             self.row, self.header = [], False
         elif tag in ("td", "th") and self.row is not None:
+            self.end_cell()
             self.cell, self.span = [], int(a.get("colspan") or 1)
             self.header = self.header or tag == "th"
 
@@ -83,13 +96,10 @@ class _Blocks(HTMLParser):
         elif tag in ("main", "article"):
             self.flush()
             self.main = max(0, self.main - 1)
-        elif tag in ("td", "th") and self.cell is not None and self.row is not None:
-            self.row += [" ".join("".join(self.cell).split())] + [""] * (self.span - 1)
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            if self.row:
-                self.out.append((self.main > 0, "header_row" if self.header else "row", len(self.row), " | ".join(self.row)))
-            self.row = None
+        elif tag in ("td", "th"):
+            self.end_cell()
+        elif tag in ("tr", "table"):
+            self.end_row()
 
     def handle_data(self, data: str) -> None:
         if not self.skip:

@@ -89,6 +89,8 @@ def fill(entries: DataFrame, look: int = 64) -> DataFrame:
     early = late.select("_s", F.explode(F.aggregate("_late", start, step)["got"]).alias("x")).select(F.col("_s").alias("_fs"), F.col("x.pass").alias("_fp"), F.col("x.doc_id").alias("_fd"), F.col("x.finish").alias("_ff")).distinct()
     on = (F.col("_s") == F.col("_fs")) & (F.col("pass") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("finish") == F.col("_ff"))
     out = entries.join(early, on, "left").withColumn("finish", F.when(F.col("_fs").isNotNull(), F.lit(1.0)).otherwise(F.col("finish")))
+    # a document whose service would only begin past the target is not queued at all
+    out = out.where((F.col("finish") <= 1) | (F.col("finish") - F.col("size") / F.col("target") < 1))
     return out.drop("_fs", "_fp", "_fd", "_ff", "n_docs")
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import lexical_score
+from .retrieval import lexical_score, settle
 
 
 def select_quotes(candidates: DataFrame, query: str, id_col: str, question: str, text: str, most: int = 400) -> DataFrame:
     """Best line of each candidate by lexical relevance, the first of equal ones, cut to `most` characters."""
     seg = candidates.select(query, id_col, question, F.posexplode(F.split(text, "\n")).alias("pos", "seg")).where(F.trim("seg") != "")
-    seg = seg.withColumn("_s", F.round(lexical_score(F.col(question), F.col("seg")), 6))
+    seg = seg.withColumn("_s", settle(lexical_score(F.col(question), F.col("seg"))))
     best = seg.groupBy(query, id_col).agg(F.max_by("seg", F.struct("_s", -F.col("pos"))).alias("quote"), F.max("_s").alias("quote_score"))
     return best.withColumn("quote", F.substring("quote", 1, most))
 

@@ -102,8 +102,8 @@ def r5_concat_unique(spark, table):
 _LEX = """ toks AS (SELECT c.item_id, c.doc_id, c.score, c.rank, b.text AS q, d.text AS t, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*')) AS qa, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*')) AS da
    FROM bm c JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
  cm AS (SELECT *, len(list_intersect(qa, da)) AS common FROM toks),
- lx AS (SELECT item_id, doc_id, score, rank, round(CASE WHEN len(qa) = 0 THEN 0 ELSE least(1.0, 0.7 * common / len(qa) + 0.2 * common / (len(qa) + len(da) - common) + CASE WHEN contains(regexp_replace(lower(t), '\\s+', '', 'g'), regexp_replace(lower(q), '\\s+', '', 'g')) THEN 0.1 ELSE 0 END) END, 6) AS rerank_score FROM cm),
- rr AS (SELECT item_id, doc_id, score, rerank_score, round(0.75 * rerank_score + 0.25 * CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) WHEN max(score) OVER p > 0 THEN 1.0 ELSE 0.0 END, 6) AS final_score FROM lx WINDOW p AS (PARTITION BY item_id)) """
+ lx AS (SELECT item_id, doc_id, score, rank, round(CASE WHEN len(qa) = 0 THEN 0 ELSE least(1.0, 0.7 * common / len(qa) + 0.2 * common / (len(qa) + len(da) - common) + CASE WHEN contains(regexp_replace(lower(t), '\\s+', '', 'g'), regexp_replace(lower(q), '\\s+', '', 'g')) THEN 0.1 ELSE 0 END) END + 1e-9, 6) AS rerank_score FROM cm),
+ rr AS (SELECT item_id, doc_id, score, rerank_score, round(0.75 * rerank_score + 0.25 * CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) WHEN max(score) OVER p > 0 THEN 1.0 ELSE 0.0 END + 1e-9, 6) AS final_score FROM lx WINDOW p AS (PARTITION BY item_id)) """
 
 
 def candidates(table):
@@ -140,9 +140,9 @@ def r9_blend_scores(spark, table):
     return retrieval.blend(c, "item_id", "doc_id", {"semantic": 0.70, "temporal": 0.12, "version": 0.08, "evidence": 0.10}).select("item_id", "doc_id", "final_score", "rank")
 
 
-@query(_BASE + "SELECT item_id, doc_id, round(CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) WHEN max(score) OVER p > 0 THEN 1.0 ELSE 0.0 END, 6) AS scaled FROM bm WINDOW p AS (PARTITION BY item_id)")
+@query(_BASE + "SELECT item_id, doc_id, round(CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) WHEN max(score) OVER p > 0 THEN 1.0 ELSE 0.0 END + 1e-9, 6) AS scaled FROM bm WINDOW p AS (PARTITION BY item_id)")
 def r10_minmax_by_query(spark, table):
-    return bm(table).select("item_id", "doc_id", F.round(retrieval.minmax(F.col("score"), "item_id"), 6).alias("scaled"))
+    return bm(table).select("item_id", "doc_id", retrieval.settle(retrieval.minmax(F.col("score"), "item_id")).alias("scaled"))
 
 
 def quotes(table, k=5):
@@ -153,7 +153,7 @@ def quotes(table, k=5):
 _QUOTES = _BASE + """, cand AS (SELECT * FROM bm WHERE rank <= 5), seg AS (SELECT c.item_id, c.doc_id, c.rank, b.text AS q, unnest(string_split(d.text, chr(10))) AS seg, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos FROM cand c JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
  sw AS (SELECT *, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*')) AS qa, list_distinct(regexp_extract_all(lower(seg), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*')) AS da FROM seg WHERE trim(seg) <> ''),
  sv AS (SELECT *, len(list_intersect(qa, da)) AS common FROM sw),
- sx AS (SELECT *, round(CASE WHEN len(qa) = 0 THEN 0 ELSE least(1.0, 0.7 * common / len(qa) + 0.2 * common / (len(qa) + len(da) - common) + CASE WHEN contains(regexp_replace(lower(seg), '\\s+', '', 'g'), regexp_replace(lower(q), '\\s+', '', 'g')) THEN 0.1 ELSE 0 END) END, 6) AS s FROM sv),
+ sx AS (SELECT *, round(CASE WHEN len(qa) = 0 THEN 0 ELSE least(1.0, 0.7 * common / len(qa) + 0.2 * common / (len(qa) + len(da) - common) + CASE WHEN contains(regexp_replace(lower(seg), '\\s+', '', 'g'), regexp_replace(lower(q), '\\s+', '', 'g')) THEN 0.1 ELSE 0 END) END + 1e-9, 6) AS s FROM sv),
  qu AS (SELECT item_id, doc_id, rank, left(seg, 400) AS quote, s AS quote_score FROM sx QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY s DESC, pos) = 1) """
 
 

@@ -21,8 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of five-word shingle sets linked at 0.8."""
-    g = setjoin.groups(docs)
-    return _keep(docs, g.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).dropDuplicates(["doc_id"])
+    g = shared.cut(setjoin.groups(docs), "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = _keep(docs, g)
+    if g.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    # repeated rows: the same id and text stays once
+    return kept.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

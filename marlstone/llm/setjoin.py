@@ -205,8 +205,12 @@ def links(d: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFram
     rest = named.join(open_, "token").join(known, ["leader", "sid"], "left").withColumn("common", F.when(c("sid") == c("leader"), c("size")).otherwise(c("common")))
     rest = rest.withColumn("block", F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int"))
     rest = shared.cut(rest.select("token", "sid", "size", "pos", "comp", "common", "block").distinct(), "open")
-    x = rest.select("token", "block", *[c(n).alias("x_" + n) for n in ("sid", "size", "pos", "comp", "common")])
-    y = rest.select("token", F.explode(F.array(c("block"), c("block") + 1)).alias("block"), c("block").alias("y_block"), *[c(n).alias("y_" + n) for n in ("sid", "size", "pos", "comp", "common")])
+    # a pair meets at the first token it shares: entries know their set's tokens before them
+    every = rest.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_all"))
+    rest = rest.join(every, "sid").withColumn("before", F.transform(F.filter("_all", lambda e: e["pos"] < F.col("pos")), lambda e: e["token"])).drop("_all")
+    own = ("sid", "size", "pos", "comp", "common", "before")
+    x = rest.select("token", "block", *[c(n).alias("x_" + n) for n in own])
+    y = rest.select("token", F.explode(F.array(c("block"), c("block") + 1)).alias("block"), c("block").alias("y_block"), *[c(n).alias("y_" + n) for n in own])
     # with both overlaps with the leader known, theirs is bounded by them and by what the leader lacks
     derived = F.least("x_common", "y_common") + F.least(c("x_size") - c("x_common"), c("y_size") - c("y_common"))
     on = (
@@ -214,6 +218,7 @@ def links(d: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFram
         & ((c("block") != c("y_block")) | (c("x_sid") < c("y_sid")))
         & possible(c("x_pos"), c("x_size"), c("y_pos"), c("y_size"))
         & (derived.isNull() | ((den + num) * derived >= num * (c("x_size") + c("y_size"))))
+        & ~F.arrays_overlap("x_before", "y_before")
     )
     more = x.join(y, ["token", "block"]).where(on).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
     more = shared.cut(more.join(pairs, ["a", "b"], "left_anti"), "more")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # fixed values: query keys that only track, beside utm_*
 TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref_src")
+# fixed values: lines that are page chrome
 BOILERPLATE = r"(?i)^(?:accept (?:all )?cookies?|cookie (?:settings|preferences|policy)|privacy preferences|skip to (?:main )?content|back to top)$"
 
 

@@ -49,12 +49,16 @@ class Spans:
 
     def __init__(self, values: np.ndarray):
         n = len(values)
+        self.values = values
         self.inv = _powers(n + 1)[1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * _powers(max(n, 1))[0][:n], out=self.sums[1:])
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def hash(self, start: np.ndarray, end: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """One hash for each range; with `first` as if each range began with that value."""
         h = (self.sums[end] - self.sums[start]) * self.inv[start]
+        if first is not None:
+            h += first - self.values[start]
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -234,6 +234,23 @@ def test_decontamination(spark, empty):
     assert not any(r.contaminated for r in decontaminate.judge(spark.createDataFrame(rows, "doc_id long, text string"), b.where("false")).collect())
 
 
+def test_decontamination_of_slot_dense_and_short_items(spark):
+    items = [
+        (1, "12 pens at 3 dollars 15 pads at 4 dollars 7"), (2, "short one here"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (4, "Which train leaves the old station first"),
+        (5, "Alice has 5 red apples and gives them away"), (6, "4 8 15 16 23 42 31 37 11 2 19 old clocks were sold there"), (7, "he saw how Maria took the old road"),
+    ]
+    want = {
+        "we sold 12 pens at 3 dollars 15 pads at 4 dollars 7 of them": [1], "we sold 20 pens at 5 dollars 11 pads at 6 dollars 9 of them": [1], "we sold 20 pens at 5 dollars 20 pads at 5 dollars 9 of them": [],
+        "a SHORT one, here": [2], "short one there": [], "so 1 2 3 4 5 6 7 8 9 10 11 12 13 it goes": [3], "so 1 2 3 4 5 6 7 8 9 10 11 12 14 it goes": [],
+        "they asked Which train leaves the old station first": [4], "Now. Which train leaves the old station first": [4], "they asked which train leaves the old station first": [4],
+        "we know Petra has 7 red apples and gives them away": [5], "Petra has 7 red apples and gives them away": [5], "there 1 2 3 6 7 8 9 20 21 22 5 old clocks were sold there": [6], "there 5 old clocks were sold there": [],
+        "he saw how Petra took the old road": [7], "he saw how they took the old road": [],
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == want
+
+
 def test_preference(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "A"), (1, 0, "user", "hi"), (1, 1, "assistant", "B"), (1, 2, "user", None), (3, 0, None, "x"), (4, 0, "user", "q"), (5, 0, "user", "q"), (None, 0, "user", "z")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -45,7 +45,7 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_shingle_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import setjoin
 
-    return setjoin.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return setjoin.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ share one of.  An index list is dealt in blocks by set size, and an entry's posi
 bound the overlap, so blocks and entries that cannot match are skipped.
 
 Answers are derived incrementally: each list's members are first compared with its
-leader only.  The overlaps with the leader, and the components they already give, then
-answer or rule out most other pairs of the list; the rest is compared set by set.
+leader only.  The overlaps with the leader then answer or rule out other pairs of the
+list; the rest is compared set by set.
+
+`join` finds every link between different sets.  `groups` only wants the components: it
+also leaves out pairs whose sets are joined already, a short cut that loses links.
 
 Defined cases: a null text or one without words has an empty set and no link; fewer
 words than a shingle make one shingle; repeated rows link with each other; an empty
@@ -28,6 +31,7 @@ from . import graph, repeats, shared, textkit
 
 SLOTS = 1 << 19
 BLOCK = 1 << 12
+BEFORE = 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -181,8 +185,11 @@ def verify(d: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFr
     return shared.cut(first.where("not _near").drop("_near").unionByName(exact), "verified")
 
 
-def links(d: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) between different sets that join all similar ones, and the components they give."""
+def links(d: DataFrame, k: int, num: int, den: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) between different sets, and the components they give.
+
+    With `whole` every link, each once; else as many as join all similar sets.
+    """
     entries = index(d, k, num, den)
     twice = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
     lists = shared.cut(entries.join(twice, "token"), "lists")
@@ -196,20 +203,24 @@ def links(d: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFram
     pairs = shared.cut(star.select(c("leader").alias("a"), c("sid").alias("b")).distinct(), "stars")
     done = verify(d, pairs, k, num, den)
     found = done.where("linked").select(c("a").alias("u"), c("b").alias("v"))
-    comp = graph.components(found)
-
-    # what is left: pairs of one list in different components
-    named = lists.join(comp, lists["sid"] == comp["node"], "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
-    open_ = named.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z"), F.min("sid").alias("leader")).where("_a <> _z").select("token", "leader")
+    if whole:
+        # what is left: all other pairs of one list
+        named = lists.withColumn("comp", c("sid"))
+    else:
+        # what is left: pairs of one list in different components
+        comp = graph.components(found)
+        named = lists.join(comp, lists["sid"] == comp["node"], "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
+    open_ = named.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z"), F.min("sid").alias("leader"), F.min_by("size", "sid").alias("lsize")).where("_a <> _z").select("token", "leader", "lsize")
     known = done.select(c("a").alias("leader"), c("b").alias("sid"), "common")
     rest = named.join(open_, "token").join(known, ["leader", "sid"], "left").withColumn("common", F.when(c("sid") == c("leader"), c("size")).otherwise(c("common")))
     rest = rest.withColumn("block", F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int"))
-    rest = shared.cut(rest.select("token", "sid", "size", "pos", "comp", "common", "block").distinct(), "open")
-    # a pair meets at the first token it shares: entries know their set's tokens before them
-    every = rest.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_all"))
+    rest = shared.cut(rest.select("token", "sid", "size", "pos", "comp", "common", "lsize", "block").distinct(), "open")
+    # a pair meets at the first token it shares: entries know their set's tokens before them, the first BEFORE
+    # of them at least; a pair that meets more than once for want of the others is still one pair
+    every = rest.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, BEFORE).alias("_all"))
     rest = rest.join(every, "sid").withColumn("before", F.transform(F.filter("_all", lambda e: e["pos"] < F.col("pos")), lambda e: e["token"])).drop("_all")
     own = ("sid", "size", "pos", "comp", "common", "before")
-    x = rest.select("token", "block", *[c(n).alias("x_" + n) for n in own])
+    x = rest.select("token", "block", "lsize", *[c(n).alias("x_" + n) for n in own])
     y = rest.select("token", F.explode(F.array(c("block"), c("block") + 1)).alias("block"), c("block").alias("y_block"), *[c(n).alias("y_" + n) for n in own])
     # with both overlaps with the leader known, theirs is bounded by them and by what the leader lacks
     derived = F.least("x_common", "y_common") + F.least(c("x_size") - c("x_common"), c("y_size") - c("y_common"))
@@ -220,24 +231,52 @@ def links(d: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFram
         & (derived.isNull() | ((den + num) * derived >= num * (c("x_size") + c("y_size"))))
         & ~F.arrays_overlap("x_before", "y_before")
     )
-    more = x.join(y, ["token", "block"]).where(on).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
+    # what both have in common with the leader beyond its size, they have in common with one another;
+    # short hashes may have made either overlap too large, so that answers near the threshold are left to a comparison
+    least = c("x_common") + c("y_common") - c("lsize")
+    sure = F.coalesce((den + num) * (least - 12) >= num * (c("x_size") + c("y_size")), F.lit(False))
+    more = x.join(y, ["token", "block"]).where(on).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"), sure.alias("sure"))
+    more = more.groupBy("a", "b").agg(F.max("sure").alias("sure"))
     more = shared.cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        found = shared.cut(found.unionByName(verify(d, more, k, num, den).where("linked").select(c("a").alias("u"), c("b").alias("v"))), "links")
+        got = more.where("sure").select("a", "b").unionByName(verify(d, more.where("not sure").select("a", "b"), k, num, den).where("linked").select("a", "b"))
+        found = shared.cut(found.unionByName(got.select(c("a").alias("u"), c("b").alias("v"))), "links")
+        comp = graph.components(found)
+    elif whole:
         comp = graph.components(found)
     return found, comp
 
 
-def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of the rows linked, directly or not) for each row; links: Jaccard >= num/den."""
+def _results(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
     g = math.gcd(num, den)
     num, den = num // g, den // g
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = shared.cut(members(d, k), "members")
-    _, comp = links(d, k, num, den)
-    sets = every.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(comp, sets["sid"] == comp["node"], "left").withColumn("root", F.coalesce("root", "sid")).select("sid", "root", "least")
+    found, comp = links(d, k, num, den, whole)
+    sets = every.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    if whole:
+        # each link's two ends count one another's rows, and a row those of its own set
+        ends = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = ends.join(sets.select(F.col("sid").alias("v"), "n"), "v").groupBy(F.col("u").alias("sid")).agg(F.sum("n").alias("_others"))
+        sets = sets.join(ends, "sid", "left").withColumn("n_links", F.coalesce("_others", F.lit(0)) + F.col("n") - 1).drop("_others")
+    else:
+        sets = sets.withColumn("n_links", F.lit(None).cast("long"))
+    sets = sets.join(comp, sets["sid"] == comp["node"], "left").withColumn("root", F.coalesce("root", "sid")).select("sid", "root", "least", "n_links")
     roots = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    per = sets.join(roots, "root").select(F.col("sid").alias("_sid"), "component_id")
+    per = sets.join(roots, "root").select(F.col("sid").alias("_sid"), "component_id", F.col("least").alias("class_id"), "n_links")
     out = every.join(per, (every["sid"] == per["_sid"]) & (every["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", *[F.coalesce(x, y).alias(x) for x, y in (("component_id", F.col("doc_id")), ("class_id", F.col("doc_id")), ("n_links", F.lit(0).cast("long")))])
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_links for each row; links: Jaccard >= num/den.
+
+    class_id is the least id of the rows with the same set, n_links the number of other
+    rows linked with this one, those of its class among them.
+    """
+    return _results(docs, k, num, den, id_col, text_col, True)
+
+
+def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id of the rows linked, directly or not) for each row; links: Jaccard >= num/den."""
+    return _results(docs, k, num, den, id_col, text_col, False).select("doc_id", "n_shingles", "component_id")

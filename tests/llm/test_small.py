@@ -160,6 +160,20 @@ def test_set_join(spark, docs, texts, empty, k, num):
     assert setjoin.groups(empty).count() == 0
 
 
+def test_set_join_links(spark, docs, texts, empty):
+    sets = []
+    for _, t in texts:
+        w = [fold(x) for x in words(t)]
+        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset({tuple(w)} if w else ()))
+    linked = lambda i, j: bool(sets[i] and sets[j]) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    every = range(len(sets))
+    want = [(texts[i][0], min(texts[j][0] for j in every if j == i or (sets[i] and sets[i] == sets[j])), sum(linked(i, j) for j in every if j != i)) for i in every]
+    got = setjoin.join(docs, 4, 85, 100)
+    same([(r.doc_id, r.class_id, r.n_links) for r in got.collect()], want)
+    same(got.select("doc_id", "n_shingles", "component_id").collect(), setjoin.groups(docs, 4, 85, 100).collect())
+    assert max(n for _, _, n in want) > 3 and setjoin.join(empty).count() == 0
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]

@@ -173,11 +173,16 @@ def compare(d: DataFrame, pairs: DataFrame, k: int, bits: int) -> DataFrame:
     return both.mapInArrow(meet, "a long, b long, na long, nb long, common long")
 
 
+def slack(n):
+    """How much too large an overlap by 32-bit hashes can be, for two sets of n shingles together: twice the chance matches to be expected, and some."""
+    return 6 + n.cast("double") * n / float(1 << 32)
+
+
 def verify(d: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b, na, nb, common, linked: short hashes first, whole ones for pairs within their error of the threshold."""
     first = shared.cut(compare(d, pairs, k, 32), "compared")
     margin = den * F.col("common") - num * (F.col("na") + F.col("nb") - F.col("common"))
-    first = first.withColumn("linked", margin >= 0).withColumn("_near", F.abs(margin) <= 6 * (num + den))
+    first = first.withColumn("linked", margin >= 0).withColumn("_near", F.abs(margin) <= (num + den) * slack(F.col("na") + F.col("nb")))
     near = first.where("_near").select("a", "b")
     if near.isEmpty():
         return first.drop("_near")
@@ -224,17 +229,18 @@ def links(d: DataFrame, k: int, num: int, den: int, whole: bool = False) -> tupl
     y = rest.select("token", F.explode(F.array(c("block"), c("block") + 1)).alias("block"), c("block").alias("y_block"), *[c(n).alias("y_" + n) for n in own])
     # with both overlaps with the leader known, theirs is bounded by them and by what the leader lacks
     derived = F.least("x_common", "y_common") + F.least(c("x_size") - c("x_common"), c("y_size") - c("y_common"))
+    error = slack(F.greatest("x_size", "y_size") + c("lsize"))  # of either overlap
     on = (
         (c("x_comp") != c("y_comp"))
         & ((c("block") != c("y_block")) | (c("x_sid") < c("y_sid")))
         & possible(c("x_pos"), c("x_size"), c("y_pos"), c("y_size"))
-        & (derived.isNull() | ((den + num) * derived >= num * (c("x_size") + c("y_size"))))
+        & (derived.isNull() | ((den + num) * (derived + error) >= num * (c("x_size") + c("y_size"))))
         & ~F.arrays_overlap("x_before", "y_before")
     )
     # what both have in common with the leader beyond its size, they have in common with one another;
     # short hashes may have made either overlap too large, so that answers near the threshold are left to a comparison
     least = c("x_common") + c("y_common") - c("lsize")
-    sure = F.coalesce((den + num) * (least - 12) >= num * (c("x_size") + c("y_size")), F.lit(False))
+    sure = F.coalesce((den + num) * (least - 2 * error) >= num * (c("x_size") + c("y_size")), F.lit(False))
     more = x.join(y, ["token", "block"]).where(on).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"), sure.alias("sure"))
     more = more.groupBy("a", "b").agg(F.max("sure").alias("sure"))
     more = shared.cut(more.join(pairs, ["a", "b"], "left_anti"), "more")

@@ -174,6 +174,16 @@ def test_set_join_links(spark, docs, texts, empty):
     assert max(n for _, _, n in want) > 3 and setjoin.join(empty).count() == 0
 
 
+def test_set_join_long(spark):
+    # chance matches of short hashes lift an overlap 12 shingles short of the threshold above it
+    n, common = 500_000, 444_445 - 12
+    texts = [" ".join(f"{i:x}" for i in range(a, a + n)) for a in (0, n - common)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sid = [r.sid for r in setjoin.members(d, 1).collect()]
+    got = setjoin.verify(d, spark.createDataFrame([tuple(sid)], "a long, b long"), 1, 4, 5).first()
+    assert (got.na, got.nb, got.common, got.linked) == (n, n, common, False)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]

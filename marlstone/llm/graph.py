@@ -11,7 +11,9 @@ from . import shared
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (u, v).
 
-    Each round joins the edges with per-node minima; hubs are split by the join.
+    Each round joins the edges with per-node minima; hubs are split by the join, and a
+    round's folder goes when the next one is written.  Edges with a null end count for
+    nothing; loops and repeated edges change nothing.
     """
     e = shared.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
@@ -21,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = shared.cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, e = e, shared.cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        shared.drop(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

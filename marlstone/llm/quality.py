@@ -37,12 +37,12 @@ def _windows(words: Column, k: int = 3) -> Column:
     return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("i"))))
 
 
-def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts that the rules read, one row for each document.
+def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Counts that the rules read, one row for each document; with `whole` its row of docs as `_row` too.
 
     Each step is a projection of its own, so that arrays are built once.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if whole else []))
     d = d.withColumn("_w", _words(F.col("_t")))
     d = d.withColumn("_k", _windows(F.col("_w")))
     # neighbours in hash order: a window is repeated if its hash equals the one before or after it
@@ -57,6 +57,7 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("_l", lines)
     return d.select(
         "doc_id",
+        *(["_row"] if whole else []),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -128,10 +129,7 @@ def posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rounds: int = 60) -> DataFrame:
-    """Signals, votes, `base_failed`, `posterior` and `kept` for each row of docs."""
-    # the signals are small and are read twice: texts are gone through once
-    voted = votes(shared.cut(signals(docs, id_col, text_col), "signals"))
+def _judged(voted: DataFrame, threshold: float, rounds: int) -> DataFrame:
     model = fit(voted.where("n_words > 0").select("_v"), rounds)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
@@ -140,3 +138,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
         .drop("_v")
     )
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rounds: int = 60) -> DataFrame:
+    """Signals, votes, `base_failed`, `posterior` and `kept` for each row of docs."""
+    # the signals are small and are read twice: texts are gone through once
+    return _judged(votes(shared.cut(signals(docs, id_col, text_col), "signals")), threshold, rounds)
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rounds: int = 60) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs; rows travel beside their signals, so nothing is joined."""
+    voted = votes(shared.cut(signals(docs, id_col, text_col, True), "signals"))
+    return _judged(voted, threshold, rounds).where("kept").select("_row.*")

@@ -2,19 +2,24 @@
 
 Sets are word shingles; equal sets collapse to one.  Every set is indexed under the
 first shingles of a global order (rare first), as many as any set similar enough must
-share one of.  An index list is dealt in blocks by set size, and an entry's positions
-bound the overlap, so blocks and entries that cannot match are skipped.
+share one of.  Index lists are skipped by block and position: an entry stays only if its
+neighbourhood of set sizes in the list holds another one whose position and size leave
+room for the overlap that a link needs.
 
-Answers are derived incrementally: each list's members are first compared with its
-leader only.  The overlaps with the leader then answer or rule out other pairs of the
-list; the rest is compared set by set.
+Every list names its most central entry, the one with the fewest rare shingles before
+it.  Sets that meet under one centre form a cluster, and a centre that lies in a larger
+cluster hands its own over to that one.  Two similar sets thus meet in some cluster.
 
-`join` finds every link between different sets.  `groups` only wants the components: it
-also leaves out pairs whose sets are joined already, a short cut that loses links.
+A cluster's answers are derived from one set's: the overlaps with it bound all others
+from both sides, and what the bounds leave open follows from the few shingles in which
+sets differ from it.  Clusters are dealt to tasks in pairs of blocks of bounded size, and
+each task gives one row for each set (its number of links and the set that stands for
+its part), never one for each pair.
 
 Defined cases: a null text or one without words has an empty set and no link; fewer
-words than a shingle make one shingle; repeated rows link with each other; an empty
-table gives an empty result; extra columns are ignored.
+words than a shingle make one shingle; repeated rows link with each other; a null id is
+a row like any other, whose class and component are named by the other ids in it; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, repeats, shared, textkit
+from . import graph, shared, textkit
 
-SLOTS = 1 << 19
 BLOCK = 1 << 12
-BEFORE = 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -61,213 +64,263 @@ def names(off: np.ndarray, h: np.ndarray) -> np.ndarray:
     return textkit.mix((total[off[1:]] - total[off[:-1]]) + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
 
 
-def members(d: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, sid of every row."""
+def slots_for(rows: int) -> int:
+    """Slots of the shingle counts: they grow with the table, from 2**19 to 2**23."""
+    return 1 << min(max(rows.bit_length(), 19), 23)
+
+
+def survey(d: DataFrame, k: int, slots: int) -> DataFrame:
+    """One pass over the texts: rows (doc_id, n_shingles, sid), and each task's shingle counts by slot (block, salt, counts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(slots, np.int64)
+        empty = lambda n, kind: pa.nulls(n, kind)
         for b in batches:
             size, sid = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for first, off, h in shingle_sets(b.column(1), k):
                 n = len(off) - 1
                 size[first : first + n], sid[first : first + n] = np.diff(off), names(off, h)
-            yield pa.record_batch([b.column(0), pa.array(size), pa.array(sid)], names=["doc_id", "n_shingles", "sid"])
-
-    return d.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, sid long")
-
+                total += np.bincount((h & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+            n = b.num_rows
+            yield pa.record_batch([b.column(0), pa.array(size), pa.array(sid), empty(n, pa.int32()), empty(n, pa.int32()), empty(n, pa.binary())], names=columns)
+        if total.any():
+            part, n = TaskContext.get().partitionId(), slots // BLOCK
+            packed = [x.astype(f"<u{1 if x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4}").tobytes() for x in np.minimum(total, 2**32 - 1).reshape(-1, BLOCK)]
+            yield pa.record_batch([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part % 64, np.int32)), pa.array(packed, pa.binary())], names=columns)
 
-def frequencies(d: DataFrame, k: int) -> np.ndarray:
-    """Shingle counts over all rows, by slot of a table of fixed size; summed up in two steps."""
+    columns = ["doc_id", "n_shingles", "sid", "block", "salt", "counts"]
+    return d.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, sid long, block int, salt int, counts binary")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        total = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            for _, _, h in shingle_sets(b.column(0), k):
-                total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        if total.any():
-            part = TaskContext.get().partitionId()
-            yield pa.record_batch([pa.array(np.arange(SLOTS // BLOCK, dtype=np.int32)), pa.array(np.full(SLOTS // BLOCK, part % 64, np.int32)), pa.array([x.astype("<u4").tobytes() for x in np.minimum(total, 2**32 - 1).reshape(-1, BLOCK)], pa.binary())], names=["block", "salt", "counts"])
+def frequencies(parts: DataFrame, slots: int) -> np.ndarray:
+    """Shingle counts over all rows by slot, summed up in two steps: a table of fixed size, whatever the input."""
 
     def add(key, pdf):
         import pandas as pd
 
         total = np.zeros(BLOCK, np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, "<u4")
+            total += np.frombuffer(x, f"<u{len(x) // BLOCK}")
         return pd.DataFrame({"block": [key[0]], "salt": [0], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     kind = "block int, salt int, counts binary"
-    part = d.select("text").mapInArrow(count, kind).groupBy("block", "salt").applyInPandas(add, kind)
-    out = np.zeros(SLOTS, np.uint64)
-    for r in part.groupBy("block").applyInPandas(add, kind).collect():  # SLOTS counts, whatever the input
+    out = np.zeros(slots, np.uint32)
+    for r in parts.groupBy("block", "salt").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind).collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<u4")
-    return out
+    return np.minimum(out, (1 << 24) - 1)
 
 
-def index(d: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Prefix entries: token, sid, size, pos."""
-    freq = d.sparkSession.sparkContext.broadcast(np.minimum(frequencies(d, k), (1 << 24) - 1))
+def index(d: DataFrame, freq: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+    """Prefix entries: token, sid, size, pos.  Rows with equal sets give equal entries."""
+    held = d.sparkSession.sparkContext.broadcast(freq)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = freq.value, set()
+        table = held.value
+        mask = np.uint64(len(table) - 1)
         for b in batches:
             for _, off, h in shingle_sets(b.column(0), k):
                 size, sid = np.diff(off), names(off, h)
-                fresh = np.fromiter((x not in seen and not seen.add(x) for x in sid.tolist()), bool, len(sid)) & (size > 0)
-                if not fresh.any():
-                    continue
+                fresh = np.zeros(len(sid), bool)
+                fresh[np.unique(sid, return_index=True)[1]] = True
                 row = np.repeat(np.arange(len(size)), size)
-                rank = (table[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(40)) | (h >> np.uint64(24))
+                rank = (table[(h & mask).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
                 order = np.lexsort((h, rank, row))
                 need = -(-size * num // den)  # the least overlap with any set that matches
-                prefix = np.where(fresh, size - need + 1, 0)
+                prefix = np.where(fresh & (size > 0), size - need + 1, 0)
                 at = textkit.ranges(off[:-1], prefix)
                 own = row[at]
-                yield pa.record_batch([pa.array(h[order[at]].view(np.int64)), pa.array(sid[own]), pa.array(size[own]), pa.array(at - off[own])], names=["token", "sid", "size", "pos"])
+                if len(at):
+                    yield pa.record_batch([pa.array(h[order[at]].view(np.int64)), pa.array(sid[own]), pa.array(size[own].astype(np.int32)), pa.array((at - off[own]).astype(np.int32))], names=["token", "sid", "size", "pos"])
 
-    return d.select("text").mapInArrow(work, "token long, sid long, size long, pos long")
+    return d.select("text").mapInArrow(work, "token long, sid long, size int, pos int")
 
 
-def compare(d: DataFrame, pairs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Overlap of the sets of distinct pairs (a, b): a, b, na, nb, common."""
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid")))
-    held = d.sparkSession.sparkContext.broadcast(repeats.sieve(ids))
-    kind = np.dtype(f"<u{bits // 8}")
+def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries (token, sid, size, pos) that may have a partner in their list, as far as sizes and positions tell.
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = held.value, set()
+    The remainders behind a pair's first shared token bound its overlap, so that with
+    room = (den+num)(size-pos) - num*size each one's room must reach num times the other's
+    size.  Entries look at their own and the two neighbouring cells of set sizes.
+    """
+    c = F.col
+    twice = shared.cut(entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "tokens")
+    lists = shared.cut(shared.matching(entries, twice, "token").distinct(), "lists")
+    shared.drop(twice)
+    lists_ = lists.withColumn("cell", F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int")).withColumn("room", (den + num) * (c("size") - c("pos")).cast("long") - num * c("size"))
+    near = lists_.select("token", F.explode(F.array(c("cell") - 1, c("cell"), c("cell") + 1)).alias("cell"), "size", "room")
+    near = near.groupBy("token", "cell").agg(F.count("*").alias("_n"), F.sum("size").alias("_s"), F.sum("room").alias("_r"), F.max("room").alias("_most"), F.min("size").alias("_least"))
+    other, room = c("_s") - c("size"), c("_r") - c("room")  # of the one other entry, where there is just one
+    one = (den * F.least("size", other) >= num * F.greatest("size", other)) & (c("room") >= num * other) & (room >= num * c("size"))
+    more = (c("_most") >= num * c("size")) & (c("room") >= num * c("_least"))
+    out = shared.cut(lists_.join(near, ["token", "cell"]).where(F.when(c("_n") == 2, one).otherwise((c("_n") > 2) & more)).select("token", "sid", "size", "pos"), "open")
+    shared.drop(lists)
+    return out
+
+
+def clusters(open_: DataFrame) -> DataFrame:
+    """sid, centre, away (how far from central), size: the clusters in which each set meets others."""
+    c = F.col
+    away = (c("pos") / c("size")).alias("away")
+    lead = open_.groupBy("token").agg(F.min(F.struct(away, "sid")).alias("_m"), F.count("*").alias("_n")).where("_n > 1").select("token", c("_m.sid").alias("centre"))
+    at = open_.join(lead, "token").groupBy("sid", "centre").agg(F.min(away).alias("away"), F.first("size").alias("size"))
+    at = shared.cut(at, "centres")
+    count = at.groupBy("centre").agg(F.count("*").alias("_c"))
+    up = at.where("sid <> centre").join(count, "centre").join(count.select(c("centre").alias("sid"), c("_c").alias("_own")), "sid")
+    up = up.where((c("_c") > c("_own")) | ((c("_c") == c("_own")) & (c("centre") < c("sid")))).groupBy("sid").agg(F.max(F.struct("_c", -c("centre"), "centre")).alias("_up"))
+    up = up.select(c("sid").alias("centre"), c("_up.centre").alias("_to"))
+    out = at.join(up, "centre", "left").groupBy("sid", F.coalesce("_to", "centre").alias("centre")).agg(F.min("away").alias("away"), F.first("size").alias("size"))
+    out = shared.cut(out, "clusters")
+    shared.drop(at)
+    return out
+
+
+def load(d: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """sid, items (sorted 64-bit shingle hashes) of the sets named in ids."""
+    bitmap = shared.sieve(ids, "sid")
+    held = d.sparkSession.sparkContext.broadcast(bitmap)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, off, h in shingle_sets(b.column(0), k):
                 sid = names(off, h)
-                slot = sid & ((1 << repeats.SIEVE_BITS) - 1)
-                inside = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                rows = [i for i in inside.tolist() if off[i + 1] > off[i] and sid[i] not in seen and not seen.add(sid[i])]
+                rows = np.unique(sid, return_index=True)[1]
+                rows = rows[(np.diff(off)[rows] > 0) & (True if held.value is None else shared.within(held.value, sid[rows]))]
                 for i in range(0, len(rows), 256):
                     own = rows[i : i + 256]
-                    yield pa.record_batch([pa.array(sid[own]), pa.array([(h[off[j] : off[j + 1]] >> np.uint64(64 - bits)).astype(kind).tobytes() for j in own], pa.binary())], names=["sid", "items"])
+                    yield pa.record_batch([pa.array(sid[own]), pa.array([h[off[j] : off[j + 1]].tobytes() for j in own], pa.binary())], names=["sid", "items"])
+
+    return d.select("text").mapInArrow(work, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
+
+
+def in_common(owner: np.ndarray, elem: np.ndarray, g: int, few: int = 32) -> np.ndarray:
+    """How many elements each two of g owners share; rows (owner, elem) are distinct."""
+    order = np.argsort(elem, kind="stable")
+    o, e = owner[order], elem[order]
+    edge = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else np.zeros(0, np.int64)
+    held = np.diff(np.append(edge, len(e)))
+    out = np.zeros(g * g, np.int64)
+    for n in np.unique(held[(held > 1) & (held <= few)]).tolist():
+        first, step = edge[held == n], max(1, (1 << 20) // (n * n))
+        for i in range(0, len(first), step):
+            m = o[first[i : i + step, None] + np.arange(n)]
+            out += np.bincount((m[:, :, None] * g + m[:, None, :]).ravel(), minlength=g * g)
+    out = out.reshape(g, g)
+    first, n = edge[held > few], held[held > few]
+    step = max(1, (1 << 22) // g)
+    for i in range(0, len(first), step):  # elements that many owners hold: a matrix product
+        own = n[i : i + step]
+        x = np.zeros((g, len(own)), np.float32)
+        x[o[textkit.ranges(first[i : i + step], own)], np.repeat(np.arange(len(own)), own)] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
 
-    sets = d.select("text").mapInArrow(load, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
-    sets = shared.cut(sets, "sets")
-    salts = 8  # a leader with very many members is compared in several tasks
-    right = pairs.join(sets, pairs["b"] == sets["sid"]).select("a", F.pmod("b", F.lit(salts)).cast("int").alias("salt"), "b", "items")
-    lead = pairs.select("a", F.pmod("b", F.lit(salts)).cast("int").alias("salt")).distinct().join(sets, F.col("a") == sets["sid"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "items")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, mine = None, None
-        for b in batches:
-            out = []
-            for a, salt, other, items in zip(*(b.column(i).to_pylist() for i in range(4))):
-                x = np.frombuffer(items, kind)
-                if other is None:
-                    key, mine = (a, salt), x
-                else:
-                    assert key == (a, salt)
-                    both = np.concatenate([mine, x])
-                    both.sort()
-                    out.append((a, other, len(mine), len(x), int((both[1:] == both[:-1]).sum())))
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "na", "nb", "common"])
-
-    both = lead.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(meet, "a long, b long, na long, nb long, common long")
-
-
-def slack(n):
-    """How much too large an overlap by 32-bit hashes can be, for two sets of n shingles together: twice the chance matches to be expected, and some."""
-    return 6 + n.cast("double") * n / float(1 << 32)
-
-
-def verify(d: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """a, b, na, nb, common, linked: short hashes first, whole ones for pairs within their error of the threshold."""
-    first = shared.cut(compare(d, pairs, k, 32), "compared")
-    margin = den * F.col("common") - num * (F.col("na") + F.col("nb") - F.col("common"))
-    first = first.withColumn("linked", margin >= 0).withColumn("_near", F.abs(margin) <= (num + den) * slack(F.col("na") + F.col("nb")))
-    near = first.where("_near").select("a", "b")
-    if near.isEmpty():
-        return first.drop("_near")
-    exact = compare(d, near, k, 64).withColumn("linked", margin >= 0)
-    return shared.cut(first.where("not _near").drop("_near").unionByName(exact), "verified")
-
-
-def links(d: DataFrame, k: int, num: int, den: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) between different sets, and the components they give.
-
-    With `whole` every link, each once; else as many as join all similar sets.
+def linked(sets: list[np.ndarray], base: int, num: int, den: int, room: int = 1 << 21) -> np.ndarray:
+    """Which two of the sets are similar, derived from the overlaps with sets[base]."""
+    g = len(sets)
+    size = np.asarray([len(x) for x in sets], np.int64)
+    owner, elem = np.repeat(np.arange(g), size), np.concatenate(sets)
+    z = sets[base] if g * len(sets[base]) <= room else sets[base][:0]
+    at = np.minimum(np.searchsorted(z, elem), max(len(z) - 1, 0))
+    inside = z[at] == elem if len(z) else np.zeros(len(elem), bool)
+    common = np.bincount(owner[inside], minlength=g)
+    least = common[:, None] + common[None, :] - len(z)
+    most = np.minimum(common[:, None], common[None, :]) + np.minimum((size - common)[:, None], (size - common)[None, :])
+    need = num * (size[:, None] + size[None, :])
+    sure = (den + num) * least >= need
+    if (sure == ((den + num) * most >= need)).all():
+        return sure
+    lacks = np.ones((g, len(z)), bool)
+    lacks[owner[inside], at[inside]] = False
+    who, what = np.nonzero(lacks)
+    both = in_common(np.concatenate([owner[~inside], who]), np.concatenate([elem[~inside], z[what]]), g)
+    return (den + num) * (least + both) >= need
+
+
+def meet(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """sid, n (rows linked with it), root (a set it is joined with) of every set with a link in its task.
+
+    rows: centre, i, j, block, sid, away, weight, before, items.  A pair counts in the first
+    of the clusters in which it meets: `before` has a set's clusters ahead of this one.
     """
-    entries = index(d, k, num, den)
-    twice = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-    lists = shared.cut(entries.join(twice, "token"), "lists")
-    lead = lists.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("_last"), F.min_by("size", "sid").alias("lsize"), F.min_by("pos", "sid").alias("lpos")).where("leader <> _last").drop("_last")
-    # a pair's first shared token bounds its overlap by what lies behind it on either side;
-    # so a similar pair meets at a token whose positions allow for it, and others can be skipped
-    bound = lambda p, n, q, m: F.least(n - p, m - q)
-    possible = lambda p, n, q, m: (den * F.least(n, m) >= num * F.greatest(n, m)) & ((den + num) * bound(p, n, q, m) >= num * (n + m))
+    columns = ["centre", "i", "j", "block", "sid", "away", "weight", "before", "items"]
+
+    def answer(held: list[tuple]) -> pa.RecordBatch | None:
+        if len(held) < 2:
+            return None
+        block, sid, weight = (np.asarray([r[c] for r in held], np.int64) for c in (3, 4, 6))
+        joined = linked([np.frombuffer(r[8], np.uint64) for r in held], min(range(len(held)), key=lambda x: (held[x][5], held[x][4])), num, den)
+        np.fill_diagonal(joined, False)
+        if not joined.any():
+            return None
+        own = np.arange(len(held))
+        root = own
+        while True:
+            now = np.minimum(root, np.where(joined, root[None, :], len(held)).min(axis=1))
+            if (now == root).all():
+                break
+            root = now
+        count = joined if held[0][1] == held[0][2] else joined & (block[:, None] != block[None, :])
+        ahead = [r[7] for r in held]
+        if sum(map(bool, ahead)) > 1:
+            count = count & (in_common(np.repeat(own, [len(x) for x in ahead]), np.asarray([y for x in ahead for y in x], np.int64), len(held)) == 0)
+        out = np.flatnonzero(joined.any(axis=1))
+        return pa.record_batch([pa.array(sid[out]), pa.array((count @ weight)[out]), pa.array(sid[root[out]])], names=["sid", "n", "root"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in columns)):
+                if held and held[0][:3] != row[:3]:
+                    if (out := answer(held)) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if (out := answer(held)) is not None:
+            yield out
+
+    return rows.select(columns).repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "sid").mapInArrow(work, "sid long, n long, root long")
+
+
+def links(d: DataFrame, every: DataFrame, freq: np.ndarray, k: int, num: int, den: int, block_sets: int = 512, block_items: int = 1 << 20) -> DataFrame:
+    """sid, n, root rows of all links between different sets (see meet).  every: sid of each row."""
     c = F.col
-    star = lists.join(lead, "token").where((c("sid") != c("leader")) & possible(c("pos"), c("size"), c("lpos"), c("lsize")))
-    pairs = shared.cut(star.select(c("leader").alias("a"), c("sid").alias("b")).distinct(), "stars")
-    done = verify(d, pairs, k, num, den)
-    found = done.where("linked").select(c("a").alias("u"), c("b").alias("v"))
-    if whole:
-        # what is left: all other pairs of one list
-        named = lists.withColumn("comp", c("sid"))
-    else:
-        # what is left: pairs of one list in different components
-        comp = graph.components(found)
-        named = lists.join(comp, lists["sid"] == comp["node"], "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
-    open_ = named.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z"), F.min("sid").alias("leader"), F.min_by("size", "sid").alias("lsize")).where("_a <> _z").select("token", "leader", "lsize")
-    known = done.select(c("a").alias("leader"), c("b").alias("sid"), "common")
-    rest = named.join(open_, "token").join(known, ["leader", "sid"], "left").withColumn("common", F.when(c("sid") == c("leader"), c("size")).otherwise(c("common")))
-    rest = rest.withColumn("block", F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int"))
-    rest = shared.cut(rest.select("token", "sid", "size", "pos", "comp", "common", "lsize", "block").distinct(), "open")
-    # a pair meets at the first token it shares: entries know their set's tokens before them, the first BEFORE
-    # of them at least; a pair that meets more than once for want of the others is still one pair
-    every = rest.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, BEFORE).alias("_all"))
-    rest = rest.join(every, "sid").withColumn("before", F.transform(F.filter("_all", lambda e: e["pos"] < F.col("pos")), lambda e: e["token"])).drop("_all")
-    own = ("sid", "size", "pos", "comp", "common", "before")
-    x = rest.select("token", "block", "lsize", *[c(n).alias("x_" + n) for n in own])
-    y = rest.select("token", F.explode(F.array(c("block"), c("block") + 1)).alias("block"), c("block").alias("y_block"), *[c(n).alias("y_" + n) for n in own])
-    # with both overlaps with the leader known, theirs is bounded by them and by what the leader lacks
-    derived = F.least("x_common", "y_common") + F.least(c("x_size") - c("x_common"), c("y_size") - c("y_common"))
-    error = slack(F.greatest("x_size", "y_size") + c("lsize"))  # of either overlap
-    on = (
-        (c("x_comp") != c("y_comp"))
-        & ((c("block") != c("y_block")) | (c("x_sid") < c("y_sid")))
-        & possible(c("x_pos"), c("x_size"), c("y_pos"), c("y_size"))
-        & (derived.isNull() | ((den + num) * (derived + error) >= num * (c("x_size") + c("y_size"))))
-        & ~F.arrays_overlap("x_before", "y_before")
-    )
-    # what both have in common with the leader beyond its size, they have in common with one another;
-    # short hashes may have made either overlap too large, so that answers near the threshold are left to a comparison
-    least = c("x_common") + c("y_common") - c("lsize")
-    sure = F.coalesce((den + num) * (least - 2 * error) >= num * (c("x_size") + c("y_size")), F.lit(False))
-    more = x.join(y, ["token", "block"]).where(on).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"), sure.alias("sure"))
-    more = more.groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    more = shared.cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        got = more.where("sure").select("a", "b").unionByName(verify(d, more.where("not sure").select("a", "b"), k, num, den).where("linked").select("a", "b"))
-        found = shared.cut(found.unionByName(got.select(c("a").alias("u"), c("b").alias("v"))), "links")
-        comp = graph.components(found)
-    elif whole:
-        comp = graph.components(found)
-    return found, comp
-
-
-def _results(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    entries = shared.cut(index(d, freq, k, num, den), "entries")
+    open_ = open_lists(entries, num, den)
+    shared.drop(entries)
+    at = clusters(open_)
+    shared.drop(open_)
+    per = at.groupBy("centre").agg(F.count("*").alias("_g"), F.sum("size").alias("_z")).where("_g > 1")
+    per = per.select(c("centre").alias("_c"), F.greatest(F.ceil(c("_g") / block_sets), F.ceil(c("_z") / block_items)).cast("int").alias("blocks"))
+    at = at.join(per, c("centre") == c("_c")).drop("_c", "size")
+    many = at.groupBy("sid").agg(F.sort_array(F.collect_set("centre")).alias("_all")).where(F.size("_all") > 1)
+    at = at.join(many, "sid", "left").withColumn("before", F.coalesce(F.filter("_all", lambda x: x < c("centre")), F.array().cast("array<bigint>"))).drop("_all")
+    weight = every.join(at.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.count("*").alias("weight"))
+    at = shared.cut(at.join(weight, "sid"), "met")
+    rows = at.join(load(d, at.select("sid").distinct(), k), "sid").withColumn("block", F.pmod(F.xxhash64("sid"), c("blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+    out = shared.cut(meet(rows, num, den), "links")
+    shared.drop(at)
+    return out
+
+
+def _results(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     g = math.gcd(num, den)
     num, den = num // g, den // g
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = shared.cut(members(d, k), "members")
-    found, comp = links(d, k, num, den, whole)
+    slots = slots_for(d.count())
+    seen = shared.cut(survey(d, k, slots), "survey")
+    every = seen.where("block is null").select("doc_id", "n_shingles", "sid")
+    freq = frequencies(seen.where("block is not null").select("block", "salt", "counts"), slots)
+    found = links(d, every.select("sid"), freq, k, num, den)
+    comp = graph.components(found.where("sid <> root").select(F.col("sid").alias("u"), F.col("root").alias("v")))
     sets = every.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    if whole:
-        # each link's two ends count one another's rows, and a row those of its own set
-        ends = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        ends = ends.join(sets.select(F.col("sid").alias("v"), "n"), "v").groupBy(F.col("u").alias("sid")).agg(F.sum("n").alias("_others"))
-        sets = sets.join(ends, "sid", "left").withColumn("n_links", F.coalesce("_others", F.lit(0)) + F.col("n") - 1).drop("_others")
-    else:
-        sets = sets.withColumn("n_links", F.lit(None).cast("long"))
-    sets = sets.join(comp, sets["sid"] == comp["node"], "left").withColumn("root", F.coalesce("root", "sid")).select("sid", "root", "least", "n_links")
+    more = found.groupBy("sid").agg(F.sum("n").alias("_more"))
+    more = more.join(comp.withColumnRenamed("node", "sid"), "sid", "full").select(F.col("sid").alias("_s"), "_more", "root")
+    sets = sets.join(more, sets["sid"] == more["_s"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"), (F.coalesce("_more", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    sets = shared.cut(sets, "sets")
     roots = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     per = sets.join(roots, "root").select(F.col("sid").alias("_sid"), "component_id", F.col("least").alias("class_id"), "n_links")
     out = every.join(per, (every["sid"] == per["_sid"]) & (every["n_shingles"] > 0), "left")
@@ -277,12 +330,13 @@ def _results(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links for each row; links: Jaccard >= num/den.
 
-    class_id is the least id of the rows with the same set, n_links the number of other
-    rows linked with this one, those of its class among them.
+    component_id is the least id of the rows linked, directly or not, class_id the least
+    one of the rows with the same set, n_links the number of other rows linked with this
+    one, those of its class among them.
     """
-    return _results(docs, k, num, den, id_col, text_col, True)
+    return _results(docs, k, num, den, id_col, text_col)
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of the rows linked, directly or not) for each row; links: Jaccard >= num/den."""
-    return _results(docs, k, num, den, id_col, text_col, False).select("doc_id", "n_shingles", "component_id")
+    """doc_id, n_shingles, component_id for each row."""
+    return _results(docs, k, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")

@@ -91,7 +91,7 @@ class Slice:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[Slice]:
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[Slice]:
     """Cuts a string column into slices of about `most` bytes, whole rows each; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -174,14 +174,30 @@ def test_set_join_links(spark, docs, texts, empty):
     assert max(n for _, _, n in want) > 3 and setjoin.join(empty).count() == 0
 
 
-def test_set_join_long(spark):
-    # chance matches of short hashes lift an overlap 12 shingles short of the threshold above it
-    n, common = 500_000, 444_445 - 12
-    texts = [" ".join(f"{i:x}" for i in range(a, a + n)) for a in (0, n - common)]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sid = [r.sid for r in setjoin.members(d, 1).collect()]
-    got = setjoin.verify(d, spark.createDataFrame([tuple(sid)], "a long, b long"), 1, 4, 5).first()
-    assert (got.na, got.nb, got.common, got.linked) == (n, n, common, False)
+def test_set_join_in_blocks(spark, docs):
+    """Clusters dealt in many small blocks, and counts of sets that meet in several clusters, stay the same."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    slots = setjoin.slots_for(10)
+    seen = setjoin.survey(d, 4, slots).cache()
+    every = seen.where("block is null").select("sid")
+    freq = setjoin.frequencies(seen.where("block is not null").select("block", "salt", "counts"), slots)
+    count = lambda **how: {r.sid: r.n for r in setjoin.links(d, every, freq, 4, 17, 20, **how).groupBy("sid").agg(F.sum("n").alias("n")).collect()}
+    assert count() == count(block_sets=3) == count(block_items=200) and max(count().values()) > 3
+
+
+def test_set_join_answers():
+    r = np.random.Generator(np.random.PCG64(8))
+    for _ in range(40):
+        base = r.integers(0, 1 << 60, r.integers(1, 90)).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[r.random(len(base)) < r.choice([0.5, 0.9, 1.0])], r.choice(base, 1), r.integers(0, 40, r.integers(0, 9)).astype(np.uint64)])) for _ in range(r.integers(1, 50))]
+        want = [[100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)) for y in map(np.ndarray.tolist, sets)] for x in map(np.ndarray.tolist, sets)]
+        for room in (1 << 21, 1):
+            got = setjoin.linked(sets, int(r.integers(0, len(sets))), 80, 100, room)
+            np.fill_diagonal(got, True)
+            assert got.tolist() == want
+        owner, elem = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        got, want = setjoin.in_common(owner, elem, len(sets), 3), [[len(set(x) & set(y)) for y in map(np.ndarray.tolist, sets)] for x in map(np.ndarray.tolist, sets)]
+        assert ((got == want) | np.eye(len(sets), dtype=bool)).all()
 
 
 def test_components(spark):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats, textkit
+from . import repeats, shared, textkit
 
 # fixed values: unit words that count as units after a number
 UNITS = "percent kg g mg lb lbs oz km m cm mm mi mile miles foot feet inch inches yard yards meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ton tons liter liters litre litres ml hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents degree degrees mph kmh volt volts watt watts joule joules newton newtons".split()
@@ -139,8 +139,7 @@ def windows(d: DataFrame, lengths: tuple[int, ...] | None, width: int, reach: in
                             h = spans.hash(at, at + n, np.where(t.kind[at] > 0, t.word[at], MARK[NAME]))
                         h = h.view(np.int64)
                         if held is not None:
-                            slot = h & ((1 << repeats.SIEVE_BITS) - 1)
-                            inside = (held.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                            inside = shared.within(held.value, h)
                             at, own, h = at[inside], own[inside], h[inside]
                         if not len(at):
                             continue

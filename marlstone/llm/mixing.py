@@ -62,7 +62,7 @@ def mix(sized: DataFrame, per: DataFrame, seed: int = 7, passes: int = 3, bucket
     u = F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / float(16**13)
     src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     own = per.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"), "source_size", "n_docs", "target")
-    d = sized.withColumn("_s", src).withColumn("_u", u).join(F.broadcast(own) if own.count() <= 100_000 else own, "_s")
+    d = sized.withColumn("_s", src).withColumn("_u", u).join(own, "_s")
     d = d.withColumn("_b", F.floor(F.col("_u") * F.ceil(F.col("n_docs") / bucket_docs)).cast("long"))
     d = shared.cut(d, "mix")
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,27 +71,43 @@ def mix(sized: DataFrame, per: DataFrame, seed: int = 7, passes: int = 3, bucket
     d = d.join(buckets.drop("_n"), ["_s", "_b"]).withColumn("_cum", F.col("_before") + F.sum("size").over(inner))
     e = d.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     e = e.where("size > 0 and target > 0").withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("_cum")) / F.col("target"))
-    return fill(e.select("doc_id", "source", "size", "source_size", "n_docs", "target", "pass", "finish", "_s"))
+    return fill(e.select("doc_id", "source", "size", "source_size", "n_docs", "target", "pass", "finish", "_s", "_b"))
 
 
-def fill(entries: DataFrame, look: int = 64) -> DataFrame:
-    """Gives the documents just after a source's target, in their order, what one too long left unused.
+def fill(entries: DataFrame) -> DataFrame:
+    """Gives entries behind a source's target, in their order, the room that one too long left before it.
 
-    Those that fit get finish time 1: they are served before the too long one.  About
-    `look` documents a source are looked at, a bounded array.
+    Rounds over all that is behind the targets: a round takes, for each source, entries
+    that fit by themselves as long as their running sum fits, and the room shrinks, until
+    no entry fits.  Running sums are taken by buckets first, so only rows of the buckets
+    that the room reaches are summed one by one.  Entries so taken finish at 1.
     """
-    near = F.least(F.lit(2.0), 1 + look * F.col("source_size") / F.col("n_docs") / F.col("target"))
-    used = entries.where("finish <= 1").groupBy("_s").agg(F.sum("size").alias("_used"))
-    late = entries.where((F.col("finish") > 1) & (F.col("finish") <= near)).groupBy("_s", "target")
-    late = late.agg(F.array_sort(F.collect_list(F.struct("finish", "pass", "doc_id", "size"))).alias("_late")).join(used, "_s", "left")
-    start = F.struct((F.col("target") - F.coalesce(F.col("_used"), F.lit(0))).alias("left"), F.array().cast("array<struct<finish:double,pass:int,doc_id:bigint,size:bigint>>").alias("got"))
-    step = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["got"], F.array(x)).alias("got"))).otherwise(acc)
-    early = late.select("_s", F.explode(F.aggregate("_late", start, step)["got"]).alias("x")).select(F.col("_s").alias("_fs"), F.col("x.pass").alias("_fp"), F.col("x.doc_id").alias("_fd"), F.col("x.finish").alias("_ff")).distinct()
-    on = (F.col("_s") == F.col("_fs")) & (F.col("pass") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("finish") == F.col("_ff"))
-    out = entries.join(early, on, "left").withColumn("finish", F.when(F.col("_fs").isNotNull(), F.lit(1.0)).otherwise(F.col("finish")))
+    c = F.col
+    used = entries.where("finish <= 1").groupBy(c("_s").alias("_us")).agg(F.sum("size").alias("_used"))
+    room = entries.groupBy("_s", "target").agg(F.count("*")).join(used, c("_s") == c("_us"), "left").select(c("_s").alias("_rs"), (c("target") - F.coalesce("_used", F.lit(0))).alias("_room"))
+    late = entries.where("finish > 1").select("_s", "pass", "_b", "finish", "doc_id", "size")
+    room, got = shared.cut(room, "room"), None
+    key = ("_s", "pass", "_b", "finish", "doc_id", "size")
+    before = Window.partitionBy("_s").orderBy("pass", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_s", "pass", "_b").orderBy("finish", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        fits = late.join(room, c("_s") == c("_rs")).where(c("size") <= c("_room")).drop("_rs")
+        if got is not None:
+            fits = fits.join(got.select(*[c(x).alias("g" + x) for x in key]), (c("_s") == c("g_s")) & (c("pass") == c("gpass")) & (c("_b") == c("g_b")) & (c("finish") == c("gfinish")) & c("doc_id").eqNullSafe(c("gdoc_id")), "left_anti")
+        cells = fits.groupBy("_s", "pass", "_b").agg(F.sum("size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        near = fits.join(cells, ["_s", "pass", "_b"]).where(c("_before") < c("_room"))
+        new = shared.cut(near.withColumn("_run", c("_before") + F.sum("size").over(inner)).where(c("_run") <= c("_room")).select(*key), "filled")
+        if new.isEmpty():
+            break
+        got = new if got is None else shared.cut(got.unionByName(new), "filled")
+        spent = new.groupBy(c("_s").alias("_us")).agg(F.sum("size").alias("_spent"))
+        room = shared.cut(room.join(spent, c("_rs") == c("_us"), "left").select("_rs", (c("_room") - F.coalesce("_spent", F.lit(0))).alias("_room")), "room")
+    if got is not None:
+        early = got.select(*[c(x).alias("g" + x) for x in key]).distinct()
+        entries = entries.join(early, (c("_s") == c("g_s")) & (c("pass") == c("gpass")) & (c("_b") == c("g_b")) & (c("finish") == c("gfinish")) & c("doc_id").eqNullSafe(c("gdoc_id")), "left")
+        entries = entries.withColumn("finish", F.when(c("g_s").isNotNull(), F.lit(1.0)).otherwise(c("finish"))).drop(*["g" + x for x in key])
     # a document whose service would only begin past the target is not queued at all
-    out = out.where((F.col("finish") <= 1) | (F.col("finish") - F.col("size") / F.col("target") < 1))
-    return out.drop("_fs", "_fp", "_fd", "_ff", "n_docs")
+    return entries.where((c("finish") <= 1) | (c("finish") - c("size") / c("target") < 1)).drop("_b", "n_docs")
 
 
 def cut_at_budget(entries: DataFrame, budget: float, grid: int = 4096) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules combined by weak supervision, with DataFrame functions only.
 
-Every rule votes good (1), bad (-1) or abstains (0).  Votes of all documents are
+Every rule votes good (1), bad (-1) or abstains (0); the rules read counts of characters,
+words and lines and know no language.  Votes of all documents are
 counted by pattern (at most 3**rules rows), expectation-maximisation fits each
 rule's vote distribution under the two classes to those counts, and a document is
 kept when its posterior probability of being good is at least `threshold`.
@@ -21,9 +22,10 @@ from . import shared
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-# fixed values: frequent function words of the languages the rules know
-FUNCTION_WORDS = "the of and to in is that for with as on was are der die und das den von mit ist ein nicht le la les de des et en un une que pour du el los las y del por con no una se".split()
-RULES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "variety", "function_words", "pipes", "shouting")
+LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"  # a whole word without a letter
+MARKS = r"[^\p{L}\p{N}\x20\x09-\x0D]{2,}"  # marks in a row
+LISTED = r"^[\x20\x09]*[-*+\u2022\u2023\u00B7]|(\.\.\.|\u2026)[\x20\x09-\x0D]*$"  # a line that begins as a list's or breaks off
+RULES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "variety", "other_chars", "letterless", "marks", "listed_lines")
 
 
 def _words(text: Column) -> Column:
@@ -67,9 +69,10 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", who
         F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("_t", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.size(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(F.lower(w))))).cast("long").alias("n_unique"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
-        F.size(F.filter("_w", lambda w: w == "|")).cast("long").alias("n_pipes"),
-        F.size(F.filter("_w", lambda w: w.endswith("!!") | w.endswith("!!,"))).cast("long").alias("n_shouts"),
+        F.regexp_count("_t", F.lit(r"\p{N}")).cast("long").alias("n_digits"),
+        F.regexp_count("_t", F.lit(LETTERLESS)).cast("long").alias("n_letterless"),
+        F.regexp_count("_t", F.lit(MARKS)).cast("long").alias("n_marks"),
+        F.size(F.filter("_l", lambda s: s.rlike(LISTED))).cast("long").alias("n_listed"),
     )
 
 
@@ -81,6 +84,7 @@ def votes(s: DataFrame) -> DataFrame:
 
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     mean = share("word_chars", "n_words")
+    other = (F.col("word_chars") - F.col("n_letters") - F.col("n_digits")) / F.greatest("word_chars", F.lit(1))
     expected_unique = F.sqrt(F.col("n_words").cast("double"))
     each = {
         "symbols": vote(share("n_symbols", "n_words") > 0.3, share("n_symbols", "n_words") < 0.05),
@@ -89,9 +93,10 @@ def votes(s: DataFrame) -> DataFrame:
         "word_length": vote((mean < 2.5) | (mean > 12), (mean >= 3.5) & (mean <= 9)),
         "upper": vote(share("n_upper", "n_letters") > 0.5, share("n_upper", "n_letters") < 0.15),
         "variety": vote(F.col("n_unique") < expected_unique, F.col("n_unique") > 2 * expected_unique),
-        "function_words": vote((F.col("n_words") >= 50) & (F.col("n_function") == 0), share("n_function", "n_words") > 0.03),
-        "pipes": vote(share("n_pipes", "n_words") > 0.1, F.col("n_pipes") == 0),
-        "shouting": vote(share("n_shouts", "n_words") > 0.3, F.col("n_shouts") == 0),
+        "other_chars": vote(other > 0.15, other < 0.08),
+        "letterless": vote(share("n_letterless", "n_words") > 0.2, share("n_letterless", "n_words") < 0.05),
+        "marks": vote(share("n_marks", "n_words") > 0.1, share("n_marks", "n_words") < 0.03),
+        "listed_lines": vote(share("n_listed", "n_lines") > 0.9, share("n_listed", "n_lines") < 0.3),
     }
     return s.withColumn("_v", F.array(*[each[r].cast("int") for r in RULES]))
 

@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from . import shared, textkit
 
-SIEVE_BITS = 22
-
 
 def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -127,24 +125,18 @@ def split(d: DataFrame, heavy: DataFrame, unit: str, window: int, k: int, step:
     return texts.select("rid", "text", "spots").mapInArrow(work, "rid long, gram long, piece long, a long, m int")
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (2**SIEVE_BITS bits) that holds every rid of ids, and others by chance."""
-    slots = ids.select((F.col("rid").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))).cast("int").alias("s")).distinct()
-    flags = np.zeros(1 << SIEVE_BITS, bool)
-    for b in slots.toArrow().column(0).chunks:
-        flags[np.asarray(b)] = True
-    return np.packbits(flags, bitorder="little")
+def sieve(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap, sized by the number of ids, that holds every rid of them, and others by chance; None if it would hold nearly all."""
+    return shared.sieve(ids, "rid")
 
 
-def sift(d: DataFrame, bitmap: np.ndarray, schema: str, rest: Callable | None = None) -> DataFrame:
+def sift(d: DataFrame, bitmap: np.ndarray | None, schema: str, rest: Callable | None = None) -> DataFrame:
     """Rows of d that the sieve holds; or with `rest` what it makes of the slices of the others."""
     held = d.sparkSession.sparkContext.broadcast(bitmap)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for b in batches:
-            slot = np.asarray(b.column("rid")) & ((1 << SIEVE_BITS) - 1)
-            inside = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            inside = np.ones(b.num_rows, bool) if held.value is None else shared.within(held.value, np.asarray(b.column("rid")))
             if rest is None:
                 yield b.filter(pa.array(inside))
             elif not inside.all():

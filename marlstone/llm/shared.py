@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BITS, MOST_IDS = 26, 1 << 24
+SKIP = 19  # an order of shingles by slots prefers some low and some high bits of their hashes; those in between are even
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -42,6 +43,12 @@ def drop(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.written_at)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """Makes an empty folder, so that a table without rows can be read back."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -70,8 +77,8 @@ def sieve(ids: DataFrame, col: str) -> np.ndarray | None:
     if n > MOST_IDS:
         return None
     bits = min(max((8 * n).bit_length(), 16), MOST_BITS)
-    slot = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
-    words = ids.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(`{col}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    slot = F.shiftright(col, SKIP).bitwiseAND(F.lit((1 << bits) - 1))
+    words = ids.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftright(`{col}`, {SKIP}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), "<i8")
     for b in words.to_batches():
         out[np.asarray(b.column(0))] = np.asarray(b.column(1))
@@ -80,7 +87,7 @@ def sieve(ids: DataFrame, col: str) -> np.ndarray | None:
 
 def within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the hashes the bitmap holds."""
-    slot = h & np.int64(len(bitmap) * 8 - 1)
+    slot = (h >> np.int64(SKIP)) & np.int64(len(bitmap) * 8 - 1)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 

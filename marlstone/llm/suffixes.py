@@ -2,10 +2,13 @@
 
 Stage one sorts only the suffixes that are smaller than their successors; stage two
 scans the buckets of first bytes in order and induces every other suffix from its
-successor's place.  Adjacent suffixes with a common prefix of the window's length are
-repeated.  Spark deals the text that can repeat at all (see repeats) to small arrays
-by common gram, so that no array grows with the table; a gram with very many unlike
-contents is counted by window hashes instead, which spread over all tasks.
+successor's place.  Common prefixes of adjacent suffixes are computed, and those of the
+window's length mark repeats.  Spark deals the text that can repeat (see repeats) to small
+arrays by common gram, so that no array grows with the table.  Pieces with equal contents
+are merged by their 64-bit hash before: one of them stands for all in the arrays, and
+where nothing else shares its gram none is needed.  A gram with very many unlike contents
+is cut into parts with nearly a whole window in common; the windows of parts that are as
+crowded still are counted by hash, which spreads them over all tasks.
 
 Defined cases: a null text is empty; a text shorter than the window loses nothing;
 repeated rows are occurrences of their own and lose what they share; an empty table
@@ -72,8 +75,36 @@ def two_stage(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of each two neighbours of a suffix array, up to `most`; t is followed by nothing."""
+    n = len(t)
+    wide = np.zeros(n + 8, np.uint64)
+    for k in range(8):
+        wide[: max(n - k, 0)] |= t[k:].astype(np.uint64) << np.uint64(8 * k)
+    x, y = sa[:-1], sa[1:]
+    limit = np.minimum(n - np.maximum(x, y), most)
+    out, live = np.zeros(len(x), np.int64), np.arange(len(x))
+    for at in range(0, most, 8):  # eight bytes at a time, for neighbours that agree so far
+        p, q = np.minimum(x[live] + at, n), np.minimum(y[live] + at, n)
+        differ = wide[p] ^ wide[q]
+        same = differ == 0
+        part = differ[~same]
+        # the lowest set bit lies in the first byte that differs
+        low = np.log2((part & (~part + np.uint64(1))).astype(np.float64)).astype(np.int64) // 8
+        out[live[~same]] = at + low
+        live = live[same]
+        if not len(live):
+            break
+        out[live] = at + 8
+    return np.minimum(out, limit)
+
+
 def repeated_starts(snippets: list[bytes], window: int) -> list[np.ndarray]:
-    """For each snippet the starts of windows that occur elsewhere in the snippets too."""
+    """For each snippet the starts of windows that occur elsewhere in the snippets too.
+
+    A window repeats if its suffix has `window` bytes in common with a neighbour's in the
+    order of those suffixes that hold a whole window.
+    """
     lens = np.asarray([len(s) for s in snippets], np.int64)
     joined = np.frombuffer(b"\0".join(snippets) + b"\0", np.uint8)
     first = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
@@ -83,19 +114,12 @@ def repeated_starts(snippets: list[bytes], window: int) -> list[np.ndarray]:
     sa = sa[valid[sa]]
     hit = np.zeros(len(joined), bool)
     if len(sa) > 1:
-        x, y = sa[:-1], sa[1:]
-        same = np.ones(len(x), bool)
-        for at in (0, window // 4, window // 2, window - 1):
-            same &= joined[x + at] == joined[y + at]
-        raw = joined.tobytes()
-        for i in np.flatnonzero(same):
-            p, q = int(x[i]), int(y[i])
-            if raw[p : p + window] == raw[q : q + window]:
-                hit[p] = hit[q] = True
+        long = common_prefixes(joined, sa, window) >= window
+        hit[sa[:-1][long]] = hit[sa[1:][long]] = True
     return [np.flatnonzero(hit[f : f + n]) for f, n in zip(first, lens)]
 
 
-def arrays(d: DataFrame, window: int, light: DataFrame, array_bytes: int = 1 << 18) -> DataFrame:
+def arrays(d: DataFrame, window: int, light: DataFrame, array_bytes: int = 1 << 17) -> DataFrame:
     """Repeated spans of pieces (rid, gram, a, m, whole) by suffix arrays over each gram's snippets: rid, s, e."""
     per = light.groupBy("rid").agg(F.collect_list(F.struct("gram", "a", "m", "whole")).alias("spots"))
     texts = repeats.sift(d, repeats.sieve(light), "doc_id long, text string, rid long").select("rid", "text").distinct().join(per, "rid")

@@ -1,9 +1,17 @@
 """Token ids in binary shards with Elias-Fano document boundaries.
 
 A shard file holds: a fixed header, the document ids, the Elias-Fano code of the
-documents' start offsets (low bits packed, high bits unary) and one concatenated array
-of ids (two bytes each while the vocabulary allows, else four).  `select(i)` on the
-code gives document i's start without a table of 64-bit offsets.
+documents' start offsets (low bits packed, high bits unary, and the place of every 512th
+set bit among them) and one concatenated array of ids (two bytes each while the
+vocabulary allows, else four).  `select(i)` on the code reads the stretch of high bits
+between two noted places and gives document i's start without a table of 64-bit offsets.
+
+Texts are encoded by the tokenizer's library.  With a byte-level tokenizer that splits by
+its usual expression no pre-token crosses the place before a space that a visible
+character follows, so a text's ids are those of its pieces between such places; each
+distinct piece is encoded once and its ids are kept for the next ones.  The tests compare
+the ids with those of whole texts over whole tables.  Texts that hold an added token, and
+all texts of other tokenizers, are encoded whole.
 
 Defined cases: a null text is an empty one and yields the end id only; repeated rows are
 written once each, next to each other; an empty table writes no shard; a null doc_id
@@ -12,7 +20,6 @@ comes first; extra columns are ignored; texts of any length stay whole in one sh
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,19 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, textkit
 
-MAGIC = b"MTOK1\0\0\0"
-HEAD = struct.Struct("<8sIIqqqIIqq")  # magic, width, low bits, docs, ids, ids before, part, block, low words, high words
+MAGIC = b"MTOK2\0\0\0"
+HEAD = struct.Struct("<8sIIqqqIIqq")  # magic, width, low bits, docs, ids, ids before, part, block, low bytes, high bytes
 NULL_ID = -(1 << 63)
 
 
 class EliasFano:
     """A non-decreasing sequence of n integers up to u in about 2 + log2(u/n) bits each."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._ones = None
+    STEP = 512
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, marks: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.marks = n, low_bits, low, high, marks
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -50,25 +58,31 @@ class EliasFano:
         ups = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(int(ups[-1]) + 1 if n else 0, np.uint8)
         flags[ups] = 1
-        return cls(n, bits, low, np.packbits(flags, bitorder="little"))
-
-    def select(self, i) -> np.ndarray:
-        """Values at positions i (an integer or an array of them)."""
-        if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        i = np.asarray(i, np.int64)
-        up = (self._ones[i] - i).astype(np.uint64) << np.uint64(self.low_bits)
+        return cls(n, bits, low, np.packbits(flags, bitorder="little"), ups[:: cls.STEP].astype("<u4"))
+
+    def stretch(self, k: int) -> np.ndarray:
+        """Values k*STEP to (k+1)*STEP, from the high bits between two marks."""
+        i = np.arange(k * self.STEP, min(self.n, (k + 1) * self.STEP))
+        byte = int(self.marks[k]) >> 3
+        end = (int(self.marks[k + 1]) >> 3) + 1 if k + 1 < len(self.marks) else len(self.high)
+        bit = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")) + 8 * byte
+        bit = bit[np.searchsorted(bit, self.marks[k]) :][: len(i)]
+        out = (bit - i) << self.low_bits
         if not self.low_bits:
-            return up.astype(np.int64)
-        at = i[..., None] * self.low_bits + np.arange(self.low_bits)
-        bit = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (up | (bit.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)).astype(np.int64)
+            return out
+        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return out | (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
+    def select(self, i: int) -> int:
+        """Value i."""
+        return int(self.stretch(i // self.STEP)[i % self.STEP])
 
 
 def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, before: int, part: int, block: int, width: int) -> bytes:
     ef = EliasFano.encode(starts)
     low, high = ef.low.tobytes(), ef.high.tobytes()
-    return HEAD.pack(MAGIC, width, ef.low_bits, len(doc_ids), len(ids), before, part, block, len(low), len(high)) + doc_ids.astype("<i8").tobytes() + low + high + ids.astype(f"<u{width}").tobytes()
+    return HEAD.pack(MAGIC, width, ef.low_bits, len(doc_ids), len(ids), before, part, block, len(low), len(high)) + doc_ids.astype("<i8").tobytes() + ef.marks.tobytes() + low + high + ids.astype(f"<u{width}").tobytes()
 
 
 def unpack(data: bytes) -> dict:
@@ -78,126 +92,76 @@ def unpack(data: bytes) -> dict:
     at = HEAD.size
     doc_ids = np.frombuffer(data, "<i8", n, at)
     at += 8 * n
+    marks = np.frombuffer(data, "<u4", -(-n // EliasFano.STEP), at)
+    at += 4 * len(marks)
     low = np.frombuffer(data, np.uint8, a, at)
     high = np.frombuffer(data, np.uint8, b, at + a)
-    return {"doc_ids": doc_ids, "starts": EliasFano(n, bits, low, high), "ids": np.frombuffer(data, f"<u{width}", m, at + a + b), "before": before, "part": part, "block": block}
+    return {"doc_ids": doc_ids, "starts": EliasFano(n, bits, low, high, marks), "ids": np.frombuffer(data, f"<u{width}", m, at + a + b), "before": before, "part": part, "block": block}
 
 
 class Encoder:
-    """The tokenizer's ids of whole texts, with the ids of pieces seen before kept.
+    """The tokenizer's ids of whole texts, put together from those of their distinct pieces."""
 
-    A text is cut at single spaces between two non-space characters.  No pre-token
-    crosses such a place (a space can only begin one), so the pieces' ids put
-    together are the text's ids.  Texts that hold an added token go through whole.
-    """
-
-    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    def __init__(self, path: str, most: int = 200_000):
+        import json
 
-    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.model, self.most = self.tok.model, most
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok, self.most = Tokenizer.from_file(path), most
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.byte_level = self._is_byte_level()
-        # the public byte-to-character table: printable bytes stand for themselves, others are moved up in order
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        moved = iter(range(256, 512))
-        self.shown = {b: chr(b if b in kept else next(moved)) for b in range(256)}
-        self.simple = re.compile(f"( ?[{self.LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
-        self.cuts = re.compile(r"(?<=\S) (?=\S)")
-        self.plain = re.compile(f"[{self.LETTERS}]+")
-        self.later: dict[str, bytes] = {}
-        self.pre: dict[str, bytes] = {}
-        self.marks = {c: self._pre_token(c) for c in ".,"} if self.byte_level else {}
-
-    def _is_byte_level(self) -> bool:
-        import json
-
         j = json.loads(self.tok.to_str())
         pre = j.get("pre_tokenizer") or {}
-        return j.get("normalizer") is None and j["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not j["model"].get("dropout")
-
-    def _raw(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _pre_token(self, x: str) -> bytes:
-        got = self.pre.get(x)
-        if got is None:
-            if len(self.pre) >= self.most:
-                self.pre.clear()
-            got = self.pre[x] = self._raw([t.id for t in self.model.tokenize("".join([self.shown[c] for c in x.encode()]))])
-        return got
-
-    def _word(self, w: str) -> bytes | None:
-        """Ids of a space and a word of plain letters."""
-        if not self.plain.fullmatch(w):
-            return None
-        if len(self.later) >= self.most:
-            self.later.clear()
-        got = self.later[w] = self._raw([t.id for t in self.model.tokenize("".join([self.shown[c] for c in (" " + w).encode()]))])
-        return got
-
-    def _line(self, x: str) -> bytes | None:
-        """Ids of an optional space, plain letters and optional marks."""
-        m = self.simple.fullmatch(x)
-        if m is None:
-            return None
-        w, marks = m[1], m[2]
-        got = (self.later.get(w[1:]) or self._word(w[1:])) if w[0] == " " else self._pre_token(w)
-        return got + self._pre_token(marks) if marks else got
-
-    def _piece(self, x: str) -> bytes:
-        got = self._line(x)
-        if got is not None:
-            return got
-        # a single line feed between two non-space characters is a pre-token of its own
-        if "\n" in x:
-            lines = x.split("\n")
-            if all(lines) and not any(y[0] == " " for y in lines[1:]):
-                found = [self._line(y) for y in lines]
-                if None not in found:
-                    return self._pre_token("\n").join(found)
-        return self._raw(self.tok.encode(x, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.byte_level or any(a in text for a in self.added):
-            return self._raw(self.tok.encode(text, add_special_tokens=False).ids)
-        head, *rest = text.split(" ")
-        if rest and (not head or head[-1].isspace()):
-            return self._slow(text)
-        out = list(map(self.later.get, rest))
-        if None in out:
-            # words kept so far are letters only, so that every cut next to them is a safe one
-            for i in [i for i, o in enumerate(out) if o is None]:
-                p = rest[i]
-                if p[-1:] in self.marks:
-                    w = p[:-1]
-                    got = self.later.get(w) or self._word(w)
-                    if got is not None:
-                        out[i] = got + self.marks[p[-1]]
-                        continue
-                else:
-                    out[i] = self._word(p)
-                if out[i] is None:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        return self._slow(text)
-                    out[i] = self._piece(" " + p)
-        return self._piece(head) + b"".join(out)
-
-    def _slow(self, text: str) -> bytes:
-        head, *rest = self.cuts.split(text)
-        return self._piece(head) + b"".join([self._piece(" " + p) for p in rest])
+        self.in_pieces = j.get("normalizer") is None and j["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not j["model"].get("dropout")
+        # bytes that begin a visible character for sure: others may begin a space beyond ASCII
+        self.visible = np.zeros(256, bool)
+        self.visible[0x21:0x7F] = self.visible[0xC3:0xE1] = self.visible[0xE4:] = True
+        self.kept: dict[bytes, bytes] = {}
+
+    def cuts(self, s: textkit.Slice) -> np.ndarray:
+        """Where pieces begin: at the rows' starts, and at spaces before a visible character."""
+        at = s.off[:-1][np.diff(s.off) > 0]
+        if not self.in_pieces or not len(s.data):
+            return at
+        inner = np.flatnonzero((s.data[:-1] == 0x20) & self.visible[s.data[1:]])
+        inner = inner[~np.isin(inner + 1, s.off)]  # the next row's first byte says nothing
+        whole = s.data.tobytes()
+        if any(x in whole for x in self.added):
+            row = np.searchsorted(s.off, inner, "right") - 1
+            inner = inner[~np.isin(row, [i for i in range(s.rows) if any(x in s.text(i) for x in self.added)])]
+        return np.union1d(at, inner)
+
+    def encode(self, s: textkit.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a slice's rows one after another, and each row's number of ids."""
+        at = self.cuts(s)
+        if not len(at):
+            return np.zeros(0, self.dtype), np.zeros(s.rows, np.int64)
+        ends = np.append(at, len(s.data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(s.data))]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        new = [x for x in distinct if x not in self.kept]
+        if len(self.kept) + len(new) > self.most:
+            self.kept.clear()
+            new = distinct
+        for x, e in zip(new, self.tok.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
+            self.kept[x] = np.asarray(e.ids, self.dtype).tobytes()
+        own = [self.kept[x] for x in distinct]
+        n = np.asarray([len(x) for x in own], np.int64) // self.width
+        first = np.cumsum(n) - n
+        which = np.asarray(pieces.indices)
+        ids = np.frombuffer(b"".join(own), self.dtype)[textkit.ranges(first[which], n[which])]
+        row = np.searchsorted(s.off, at, "right") - 1
+        return ids, np.bincount(row, weights=n[which], minlength=s.rows).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -212,31 +176,27 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, block_ids:
         from pyspark import TaskContext
 
         enc = encoder(tokenizer)
-        end = np.asarray([end_id], enc.dtype).tobytes()
         part, block, before, made = TaskContext.get().partitionId(), 0, 0, []
-        doc_ids: list[int] = []
-        parts: list[bytes] = []
-        lens: list[int] = []
-        held = 0
+        doc_ids: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        lens: list[np.ndarray] = []
 
         def flush() -> None:
-            nonlocal block, before, held
-            name = f"{to}/ids-{part:06d}-{block:04d}.tok"
-            starts = np.zeros(len(lens), np.int64)
-            np.cumsum(lens[:-1], out=starts[1:])
-            shared.put(name, pack(np.asarray(doc_ids, np.int64), starts, np.frombuffer(b"".join(parts), enc.dtype), before, part, block, enc.width))
-            made.append((part, block, name.rsplit("/", 1)[1], len(lens), held, before))
-            before, block, held = before + held, block + 1, 0
+            nonlocal block, before
+            name, n = f"{to}/ids-{part:06d}-{block:04d}.tok", np.concatenate(lens)
+            shared.put(name, pack(np.concatenate(doc_ids), np.cumsum(n) - n, np.concatenate(parts), before, part, block, enc.width))
+            made.append((part, block, name.rsplit("/", 1)[1], len(n), int(n.sum()), before))
+            before, block = before + int(n.sum()), block + 1
             doc_ids.clear(), parts.clear(), lens.clear()
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = enc.encode(t) + end
-                doc_ids.append(NULL_ID if i is None else i)
-                parts.append(raw)
-                lens.append(len(raw) // enc.width)
-                held += lens[-1]
-                if held >= block_ids:
+            ids = np.asarray(b.column(0).fill_null(NULL_ID))
+            for s in textkit.slices(b.column(1), 1 << 21):
+                got, n = enc.encode(s)
+                parts.append(np.insert(got, np.cumsum(n), end_id))
+                doc_ids.append(ids[s.first : s.first + s.rows])
+                lens.append(n + 1)
+                if sum(map(len, parts)) >= block_ids:
                     flush()
         if lens:
             flush()
@@ -253,13 +213,16 @@ def read(spark: SparkSession, at: str) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 x = unpack(data.as_py())
-                n = len(x["doc_ids"])
-                starts = x["starts"].select(np.arange(n))
-                ends = np.append(starts[1:], len(x["ids"]))
-                wide = np.ascontiguousarray(x["ids"].astype("<u4"))
-                crc = [zlib.crc32(wide[s:e].tobytes()) for s, e in zip(starts, ends)]
-                ids = pa.array(x["doc_ids"], pa.int64(), mask=x["doc_ids"] == NULL_ID)
-                yield pa.record_batch([ids, pa.array([x["part"]] * n, pa.int32()), pa.array(starts + x["before"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
+                ef, step = x["starts"], EliasFano.STEP
+                for k in range(len(ef.marks)):
+                    starts = ef.stretch(k)
+                    last = ef.select((k + 1) * step) if k + 1 < len(ef.marks) else len(x["ids"])
+                    ends = np.append(starts[1:], last)
+                    wide = x["ids"][starts[0] : last].astype("<u4")
+                    crc = [zlib.crc32(wide[s:e]) for s, e in zip(starts - starts[0], ends - starts[0])]
+                    own = x["doc_ids"][k * step : (k + 1) * step]
+                    n = len(own)
+                    yield pa.record_batch([pa.array(own, pa.int64(), mask=own == NULL_ID), pa.array([x["part"]] * n, pa.int32()), pa.array(starts + x["before"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.tok").load(at)
     return files.select("content").mapInArrow(work, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")

@@ -5,12 +5,15 @@ skippable frame with the seek table (the public seekable format: compressed and
 size of every frame, their number, and a magic number at the very end).  A record is
 found by bundle, frame and offset inside the frame, so one frame is all that is read.
 
-Records with equal payloads of at least `least` bytes are stored once: the one with the
-largest id is the response, the others are revisits without a payload.
-
-Defined cases: a null payload is empty; repeated ids keep a record each (equal rows with
-the largest id are all responses); an empty table writes no bundle; extra columns are
-ignored; frames grow beyond their usual size for one long record only.
+Records are those of WARC 1.1: a warcinfo record opens every bundle, a response holds an
+HTTP head and the payload, a revisit the head alone.  Pages have no time of capture;
+`date` stands for it.  Records with equal payloads of at least `least` bytes are stored
+once: the one with the largest id is the response, the others are revisits.
+
+Defined cases: a null payload is empty; a null url is written as the record's id and read
+as null; repeated ids keep a record each (equal rows with the largest id are all
+responses) and so does a null id; an empty table writes an empty folder, which reads as no rows; extra columns
+are ignored; frames grow beyond their usual size for one long record only.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-NO_PAYLOAD = hashlib.sha1(b"").hexdigest()
 INDEX = "page_id long, bundle string, frame int, frame_at long, frame_bytes long, offset long, length long"
 
 
@@ -40,24 +42,43 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     return out.select("page_id", "url", "payload", "digest", "bytes", F.when(F.col("_top") != F.col("page_id"), F.col("_top")).alias("refers_to"))
 
 
-def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"), f"WARC-Payload-Digest: sha1:{digest}"]
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {size}"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+def name(page_id) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}"
+
+
+def _lines(kind: str, record_id: str, date: str, more: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(bundle: str, date: str) -> bytes:
+    """The warcinfo record that opens a bundle."""
+    return _lines("warcinfo", f"urn:bundle:{bundle}", date, [f"WARC-Filename: {bundle}", "Content-Type: application/warc-fields"], b"software: marlstone\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url, payload: bytes, digest: str, size: int, refers_to, date: str) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    more = ["WARC-Target-URI: " + (name(page_id) if url is None else url.replace("\r", "%0D").replace("\n", "%0A")), f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    if refers_to is None:
+        return _lines("response", name(page_id), date, more, http + payload)
+    more += [f"WARC-Refers-To: <{name(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    return _lines("revisit", name(page_id), date, more, http)
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
-    """The record at `at`: headers, payload, and where the next one starts."""
+    """The record at `at`: headers, block, and where the next one starts."""
     end = data.index(b"\r\n\r\n", at)
     head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
     size = int(head["Content-Length"])
     return head, data[end + 4 : end + 4 + size], end + 4 + size + 4
 
 
+def http(block: bytes) -> tuple[int, bytes]:
+    """The length that an HTTP head states, and what follows it."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    return int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:]), payload
+
+
 def bundle(records: Iterator[bytes], frame_bytes: int, level: int) -> tuple[bytes, list[tuple[int, int, int, int, int]]]:
     """The file, and for each record: frame, the frame's place and size, offset in the plain frame, length."""
     import zstandard
@@ -103,8 +124,12 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def write(decided: DataFrame, to: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 25, level: int = 3) -> DataFrame:
-    """Writes the bundles and returns the record index (a written table)."""
+def write(decided: DataFrame, to: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 25, level: int = 3, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """Writes the bundles and returns the record index (a written table).
+
+    A task bundles its rows in the order in which they come; a page is found by the index.
+    """
+    shared.make(decided.sparkSession, to)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,15 +137,15 @@ def write(decided: DataFrame, to: str, frame_bytes: int = 1 << 18, bundle_bytes:
         part, k, rows, held = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            name = f"{to}/pages-{part:06d}-{k:04d}.warc.zst"
-            data, index = bundle((r for _, r in rows), frame_bytes, level)
-            shared.put(name, data)
-            frame, at, packed, offset, length = map(list, zip(*index))
-            return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([name.rsplit("/", 1)[1]] * len(rows)), pa.array(frame, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, packed, offset, length))], names=["page_id", "bundle", "frame", "frame_at", "frame_bytes", "offset", "length"])
+            file = f"pages-{part:06d}-{k:04d}.warc.zst"
+            data, index = bundle((r for r in [info(file, date), *(r for _, r in rows)]), frame_bytes, level)
+            shared.put(f"{to}/{file}", data)
+            frame, at, packed, offset, length = map(list, zip(*index[1:]))
+            return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([file] * len(rows)), pa.array(frame, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, packed, offset, length))], names=["page_id", "bundle", "frame", "frame_at", "frame_bytes", "offset", "length"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "bytes", "refers_to"))):
-                rows.append((row[0], record(*row)))
+                rows.append((row[0], record(*row, date)))
                 held += len(rows[-1][1])
                 if held >= bundle_bytes:
                     yield flush()
@@ -128,7 +153,6 @@ def write(decided: DataFrame, to: str, frame_bytes: int = 1 << 18, bundle_bytes:
         if rows:
             yield flush()
 
-    # frames hold records in id order inside each task's share
     return shared.cut(decided.select("page_id", "url", "payload", "digest", "bytes", "refers_to").mapInArrow(work, INDEX), "warc-index")
 
 
@@ -145,10 +169,15 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 for place, packed, _ in seek_table(data):
                     plain, pos, rows = un.decompress(data[place : place + packed]), 0, []
                     while pos < len(plain):
-                        head, payload, pos = parse(plain, pos)
+                        head, block, pos = parse(plain, pos)
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
                         number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-                        revisit = head["WARC-Type"] == "revisit"
-                        rows.append((number(head["WARC-Record-ID"]), int(head["X-Payload-Length"]) if revisit else len(payload), head["WARC-Payload-Digest"][5:] if revisit else hashlib.sha1(payload).hexdigest(), head["WARC-Type"], number(head.get("WARC-Refers-To")), head["WARC-Target-URI"], None if revisit else payload))
+                        (size, payload), revisit = http(block), head["WARC-Type"] == "revisit"
+                        url = head["WARC-Target-URI"]
+                        rows.append((number(head["WARC-Record-ID"]), size if revisit else len(payload), head["WARC-Payload-Digest"][5:] if revisit else hashlib.sha1(payload).hexdigest(), head["WARC-Type"], number(head.get("WARC-Refers-To")), None if f"<{url}>" == head["WARC-Record-ID"] else url, None if revisit else payload))
+                    if not rows:
+                        continue
                     cols = list(zip(*rows))
                     yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.int64()), pa.array(cols[5]), pa.array(cols[6], pa.binary())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
@@ -157,7 +186,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
 
 def fetch(at: str, row: dict) -> tuple[dict, bytes]:
-    """One record by its index row: reads and unpacks its frame only."""
+    """Headers and payload of one record by its index row: reads and unpacks its frame only."""
     import zstandard
     from pyarrow import fs
 
@@ -165,4 +194,5 @@ def fetch(at: str, row: dict) -> tuple[dict, bytes]:
     with store.open_input_file(path) as f:
         f.seek(row["frame_at"])
         plain = zstandard.ZstdDecompressor().decompress(f.read(row["frame_bytes"]))
-    return parse(plain[row["offset"] : row["offset"] + row["length"]])[:2]
+    head, block, _ = parse(plain[row["offset"] : row["offset"] + row["length"]])
+    return head, http(block)[1]

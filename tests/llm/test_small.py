@@ -71,23 +71,34 @@ def test_tokens(spark, docs, texts, empty):
 
 
 def test_encoder():
+    """Ids of texts put together from pieces are those of whole texts, on odd strings and on whole tables."""
+    import duckdb
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
-    tok, enc, r = Tokenizer.from_file(path), tokens.Encoder(path, most=50), random.Random(1)
-    bits = ["a", "the", "é", " ", "  ", "\n", "\t", "\x1c", "'s", "don't", ".", ",", "!!", "12", "½", "日本", "|", "<|endoftext|>", "　", "İ", "\x85"]
-    for _ in range(3000):
-        x = "".join(r.choice(bits) for _ in range(r.randint(0, 9)))
-        assert np.frombuffer(enc.encode(x), "<u2").tolist() == tok.encode(x, add_special_tokens=False).ids, repr(x)
+    tok, r = Tokenizer.from_file(path), random.Random(1)
+    bits = ["a", "the", "é", " ", "  ", "\n", "\t", "\x1c", "'s", "don't", ".", ",", "!!", "12", "½", "日本", "|", "<|endoftext|>", "　", "İ", "\x85", "\xa0", "ß"]
+    odd = ["".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(4000)] + [None, "", "x " * 5000, "y" * 5000]
+    tables = [[x for (x,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall()] for sf in ("sf0.001", "sf0.01")]
+    for texts, most in ((odd, 50), *((t, 200_000) for t in tables)):
+        enc, got, lens = tokens.Encoder(path, most), [], []
+        for s in textkit.slices(pa.array(texts, pa.string()), 1 << 16):
+            ids, n = enc.encode(s)
+            got.append(ids)
+            lens.append(n)
+        want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert np.concatenate(lens).tolist() == [len(x) for x in want] and np.concatenate(got).tolist() == [y for x in want for y in x]
 
 
 def test_elias_fano():
     r = np.random.Generator(np.random.PCG64(1))
-    for n, u in ((0, 1), (1, 1), (7, 3), (50, 10**9), (1000, 2000)):
+    for n, u in ((0, 1), (1, 1), (7, 3), (50, 10**9), (1000, 2000), (3000, 40), (2048, 10**6)):
         v = np.sort(r.integers(0, u, n))
         ef = tokens.EliasFano.encode(v)
-        assert ef.select(np.arange(n)).tolist() == v.tolist()
-        assert 8 * (len(ef.low) + len(ef.high)) <= n * (2 + max(0, np.log2(max(u, 1) / max(n, 1))) + 1) + 16
+        assert [x for k in range(len(ef.marks)) for x in ef.stretch(k).tolist()] == v.tolist()
+        assert all(ef.select(i) == v[i] for i in range(0, n, 97))
+        assert 8 * (len(ef.low) + len(ef.high)) + 32 * len(ef.marks) <= n * (2 + max(0, np.log2(max(u, 1) / max(n, 1))) + 1) + 64
 
 
 def brute_cover(seqs, window):
@@ -107,7 +118,11 @@ def test_suffix_arrays():
     for _ in range(300):
         t = r.integers(97, 97 + r.integers(1, 5), r.integers(0, 40)).astype(np.uint8)
         raw = t.tobytes()
-        assert suffixes.two_stage(t, 64).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        sa = suffixes.two_stage(t, 64)
+        assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        for most in (1, 7, 8, 20):
+            want = [next((k for k in range(most) if raw[i + k : i + k + 1] != raw[j + k : j + k + 1] or max(i, j) + k >= len(raw)), most) for i, j in zip(sa[:-1].tolist(), sa[1:].tolist())]
+            assert len(t) == 0 or suffixes.common_prefixes(t, sa, most).tolist() == want
 
 
 @pytest.mark.parametrize("most", [512, 1])
@@ -240,6 +255,71 @@ def test_mixing(spark, docs, texts, empty):
     assert mixing.taken(empty).count() == 0
 
 
+def brute_mix(rows, seed=7):
+    """Words taken of each (doc_id, source, size), by the rule alone: rows have distinct ids."""
+    per = collections.defaultdict(int)
+    for _, s, z in rows:
+        per[s] += z
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    weight, total, full = {s: 1 + i % 3 for i, s in enumerate(order)}, sum(per.values()), set()
+    while True:
+        level = (total - sum(3 * per[s] for s in full)) / (sum(w for s, w in weight.items() if s not in full) or 1)
+        more = {s for s in order if s not in full and weight[s] * level >= 3 * per[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 3 * per[s] if s in full else weight[s] * level for s in order}
+    entries = []
+    for s in order:
+        queue = sorted((int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16), i, z) for i, o, z in rows if o == s)
+        at = 0
+        for p in range(3):
+            for _, i, z in queue:
+                at += z
+                if z:
+                    entries.append([at / target[s], s, i, p, z])
+    for s in order:
+        own = [e for e in entries if e[1] == s]
+        room = target[s] - sum(e[4] for e in own if e[0] <= 1)
+        late = [e for e in own if e[0] > 1]
+        while True:
+            fits, run, got = [e for e in late if e[4] <= room], 0, []
+            for e in fits:
+                run += e[4]
+                if run > room:
+                    break
+                got.append(e)
+            if not got:
+                break
+            room -= sum(e[4] for e in got)
+            late = [e for e in late if e not in got]
+            for e in got:
+                e[0] = 1.0
+    left, out = total, collections.Counter()
+    key = lambda e: (e[0], "n" if e[1] is None else "s" + e[1], e[2], e[3])
+    for e in sorted((e for e in entries if e[0] <= 1 or e[0] - e[4] / target[e[1]] < 1), key=key):
+        if e[4] > left:
+            break
+        left -= e[4]
+        out[e[2]] += e[4]
+    return target, out
+
+
+def test_mixing_by_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, None if i % 13 == 0 else f"s{min(r.randrange(6), r.randrange(6))}", r.choice([0, 1, 5, 30, 200, 900]) + r.randrange(9)) for i in range(260)] + [(999, "tiny", 3)]
+    d = spark.createDataFrame([(i, s, "w " * z) for i, s, z in rows], "doc_id long, source string, text string")
+    target, want = brute_mix(rows)
+    got = mixing.taken(d).collect()
+    assert {r.doc_id: r.taken for r in got} == {i: want[i] for i, _, _ in rows}
+    assert all(abs(r.target - target[r.source]) < 1e-6 * r.target for r in got)
+    mixed = mixing.mixture(d).collect()
+    sums = collections.Counter()
+    for x in mixed:
+        sums[x.doc_id] += x["size"]
+    assert sums == +want and [x.finish for x in mixed] == sorted(x.finish for x in mixed)
+
+
 def test_language(spark, empty):
     r = random.Random(4)
     stock = {"aa": "kal mor tus", "bb": "xyn quor fix", "cc": "öla üben ßer"}
@@ -304,21 +384,30 @@ def test_preference(spark):
 
 def test_warc(spark):
     big = "é" * 700
-    rows = [(1, "http://a", big), (2, "http://b", big), (3, "http://c", "x"), (4, None, "x"), (5, "http://d", None), (6, "http://e", "y\r\n\r\nWARC/1.1" * 200), (9, "http://a", big)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(1, "http://a", big), (2, "http://b", big), (3, "http://c", "x"), (4, None, "x"), (5, "http://d", None), (6, "http://e", "y\r\n\r\nWARC/1.1" * 200), (9, "http://a", big), (10, "http://f", ""), (11, "http://g", "z" * 999), (12, "http://h", "z" * 999)]
+    # digest, bytes and offset clash with names the operator uses itself
+    d = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "page_id long, url string, html string, digest string, bytes int, offset int")
     to = shared.folder(spark, "warc")
     index = warc.write(warc.decide(d), to, frame_bytes=2000)
     got = {r.page_id: r for r in warc.read(spark, to).collect()}
-    for i, _, h in rows:
+    assert len(got) == len(rows)
+    for i, url, h in rows:
         raw, twin = (h or "").encode(), i in (1, 2)
-        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].url) == (len(raw), hashlib.sha1(raw).hexdigest(), url)
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 9) if twin else ("response", None))
         assert got[i].payload == (None if twin else raw)
     for r in index.collect():
         head, payload = warc.fetch(to, r.asDict())
-        assert head["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and (payload == (got[r.page_id].payload or b""))
+        assert head["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and head["WARC-Date"] and (payload == (got[r.page_id].payload or b""))
     none = shared.folder(spark, "warc")
-    assert warc.write(warc.decide(d.where("false")), none).count() == 0
+    assert warc.write(warc.decide(d.where("false")), none).count() == 0 and warc.read(spark, none).count() == 0
+
+
+def test_warc_repeated_rows(spark):
+    d = spark.createDataFrame([(7, "http://a", "v" * 2000), (7, "http://a", "v" * 2000), (3, "http://b", "v" * 2000), (None, None, "v" * 2000)], "page_id long, url string, html string")
+    to = shared.folder(spark, "warc")
+    warc.write(warc.decide(d), to)
+    same([(r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, to).collect()], [(7, "response", None), (7, "response", None), (3, "revisit", 7), (None, "response", None)])
 
 
 def test_textkit():

@@ -8,8 +8,9 @@ between two noted places and gives document i's start without a table of 64-bit
 
 Texts are encoded by the tokenizer's library.  With a byte-level tokenizer that splits by
 its usual expression no pre-token crosses the place before a space that a visible
-character follows, so a text's ids are those of its pieces between such places; each
-distinct piece is encoded once and its ids are kept for the next ones.  The tests compare
+character follows, and none the one between an ASCII letter and an ASCII mark, so a text's
+ids are those of its pieces between such places; each distinct piece is encoded once and
+its ids are kept for the next ones.  The tests compare
 the ids with those of whole texts over whole tables.  Texts that hold an added token, and
 all texts of other tokenizers, are encoded whole.
 
@@ -102,7 +103,7 @@ def unpack(data: bytes) -> dict:
 class Encoder:
     """The tokenizer's ids of whole texts, put together from those of their distinct pieces."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         import json
 
         from tokenizers import Tokenizer
@@ -117,42 +118,61 @@ class Encoder:
         # bytes that begin a visible character for sure: others may begin a space beyond ASCII
         self.visible = np.zeros(256, bool)
         self.visible[0x21:0x7F] = self.visible[0xC3:0xE1] = self.visible[0xE4:] = True
-        self.kept: dict[bytes, bytes] = {}
-
-    def cuts(self, s: textkit.Slice) -> np.ndarray:
-        """Where pieces begin: at the rows' starts, and at spaces before a visible character."""
-        at = s.off[:-1][np.diff(s.off) > 0]
-        if not self.in_pieces or not len(s.data):
-            return at
-        inner = np.flatnonzero((s.data[:-1] == 0x20) & self.visible[s.data[1:]])
-        inner = inner[~np.isin(inner + 1, s.off)]  # the next row's first byte says nothing
-        whole = s.data.tobytes()
-        if any(x in whole for x in self.added):
-            row = np.searchsorted(s.off, inner, "right") - 1
-            inner = inner[~np.isin(row, [i for i in range(s.rows) if any(x in s.text(i) for x in self.added)])]
-        return np.union1d(at, inner)
+        self.letter = np.zeros(256, bool)
+        self.letter[0x41:0x5B] = self.letter[0x61:0x7B] = True
+        self.mark = self.visible & ~self.letter
+        self.mark[0x30:0x3A] = self.mark[0x80:] = False
+        self._clear()
+
+    def _clear(self) -> None:
+        """Kept pieces: their numbers, and where the ids of each lie."""
+        self.kept: dict[bytes, int] = {}
+        self.ids, self.first, self.n = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        got = [e.ids for e in self.tok.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.ids = np.concatenate([self.ids, np.fromiter((y for x in got for y in x), self.dtype, int(n.sum()))])
+        self.kept.update(zip(pieces, range(len(self.kept), len(self.kept) + len(pieces))))
+
+    def starts(self, s: textkit.Slice) -> np.ndarray:
+        """Where pieces begin: at rows' starts, at spaces before a visible character, and at marks after a letter (both ASCII)."""
+        d, begin = s.data, np.zeros(len(s.data), bool)
+        if self.in_pieces and len(d):
+            begin[:-1] = (d[:-1] == 0x20) & self.visible[d[1:]]
+            begin[1:] |= self.letter[d[:-1]] & self.mark[d[1:]]
+            edge = s.off[1:-1] - 1
+            edge = edge[edge >= 0]
+            begin[edge] &= d[edge] != 0x20  # what follows a row's last byte is another row's
+            whole = d.tobytes()
+            if any(x in whole for x in self.added):
+                for i in range(s.rows):
+                    if any(x in s.text(i) for x in self.added):
+                        begin[s.off[i] : s.off[i + 1]] = False
+        begin[s.off[:-1][np.diff(s.off) > 0]] = True
+        return np.flatnonzero(begin)
 
     def encode(self, s: textkit.Slice) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a slice's rows one after another, and each row's number of ids."""
-        at = self.cuts(s)
+        at = self.starts(s)
         if not len(at):
             return np.zeros(0, self.dtype), np.zeros(s.rows, np.int64)
         ends = np.append(at, len(s.data)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(s.data))]).dictionary_encode()
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s.data))]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         new = [x for x in distinct if x not in self.kept]
-        if len(self.kept) + len(new) > self.most:
-            self.kept.clear()
+        if new and len(self.kept) + len(new) > self.most:
+            self._clear()
             new = distinct
-        for x, e in zip(new, self.tok.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            self.kept[x] = np.asarray(e.ids, self.dtype).tobytes()
-        own = [self.kept[x] for x in distinct]
-        n = np.asarray([len(x) for x in own], np.int64) // self.width
-        first = np.cumsum(n) - n
-        which = np.asarray(pieces.indices)
-        ids = np.frombuffer(b"".join(own), self.dtype)[textkit.ranges(first[which], n[which])]
-        row = np.searchsorted(s.off, at, "right") - 1
-        return ids, np.bincount(row, weights=n[which], minlength=s.rows).astype(np.int64)
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.kept.__getitem__, distinct), np.int64, len(distinct))[np.asarray(pieces.indices)]
+        n = self.n[which]
+        row = np.searchsorted(at, s.off)
+        total = np.append(0, np.cumsum(n))
+        return self.ids[textkit.ranges(self.first[which], n)], np.diff(total[row])
 
 
 _encoders: dict[str, Encoder] = {}

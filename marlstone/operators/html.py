@@ -14,12 +14,20 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
+def whole(x: str | None) -> int:
+    """A number attribute; 1 where it is none."""
+    try:
+        return int(x or 1)
+    except ValueError:
+        return 1
+
+
 class _Blocks(HTMLParser):
-    """Collects (root, kind, level, text) for headings, paragraphs, list items, quotes, code and table rows."""
+    """Collects (root, kind, level, text, cells) for headings, paragraphs, list items, quotes, code and table rows."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[bool, str, int, str]] = []
+        self.out: list[tuple[bool, str, int, str, list[str]]] = []
         self.skip: list[str] = []
         self.kind, self.level, self.text = "", 0, []
         self.lists: list[list] = []
@@ -30,7 +38,7 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split()) if self.kind != "code" else "".join(self.text).strip("\n")
         if text:
-            self.out.append((self.main > 0, self.kind or "paragraph", self.level, text))
+            self.out.append((self.main > 0, self.kind or "paragraph", self.level, text, []))
         self.text = []
 
     def end_cell(self) -> None:
@@ -41,7 +49,7 @@ class _Blocks(HTMLParser):
     def end_row(self) -> None:
         self.end_cell()
         if self.row:
-            self.out.append((self.main > 0, "header_row" if self.header else "row", len(self.row), " | ".join(self.row)))
+            self.out.append((self.main > 0, "header_row" if self.header else "row", len(self.row), " | ".join(self.row), self.row))
         self.row = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -65,7 +73,7 @@ class _Blocks(HTMLParser):
             self.kind, self.level = {"blockquote": "quote", "pre": "code"}.get(tag, "paragraph"), 0
         elif tag in ("ul", "ol"):
             self.flush()
-            self.lists.append([tag, int(a.get("start") or 1)])
+            self.lists.append([tag, whole(a.get("start"))])
         elif tag == "li":
             self.flush()
             self.kind, self.level = "item", len(self.lists)
@@ -78,7 +86,7 @@ class _Blocks(HTMLParser):
             self.row, self.header = [], False
         elif tag in ("td", "th") and self.row is not None:
             self.end_cell()
-            self.cell, self.span = [], int(a.get("colspan") or 1)
+            self.cell, self.span = [], min(max(whole(a.get("colspan")), 1), 1000)
             self.header = self.header or tag == "th"
 
     def handle_endtag(self, tag: str) -> None:
@@ -107,7 +115,11 @@ class _Blocks(HTMLParser):
 
 
 def blocks_of(html: str, least: int = 80) -> list[tuple[str, int, str]]:
-    """Blocks of the main or article part, or of the whole page if that part is too short."""
+    return [x[:3] for x in cells_of(html, least)]
+
+
+def cells_of(html: str, least: int = 80) -> list[tuple[str, int, str, list[str]]]:
+    """Blocks, with the cells of rows, of the main or article part, or of the whole page if that part is too short."""
     p = _Blocks()
     p.feed(html or "")
     p.close()
@@ -129,8 +141,13 @@ def pages_to_blocks(pages: DataFrame) -> DataFrame:
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """page_id, pos, is_header, cells of every table row, padded by colspan."""
-    b = pages_to_blocks(pages).where(F.col("kind").isin("row", "header_row"))
-    return b.select("page_id", "pos", (F.col("kind") == "header_row").alias("is_header"), F.split("text", r" \| ").alias("cells"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, n, x[0] == "header_row", x[3]) for i, h in zip(b["page_id"], b["html"]) for n, x in enumerate(cells_of(h)) if x[0] in ("row", "header_row")]
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "is_header", "cells"])
+
+    return pages.select("page_id", "html").mapInPandas(work, "page_id long, pos int, is_header boolean, cells array<string>")
 
 
 def embedded_state(pages: DataFrame, least: int = 40) -> DataFrame:

@@ -69,15 +69,31 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """First of equal absolute links of each page, without fragments, mail and scripts."""
+def resolve_link(base: Column, href: Column) -> Column:
+    """An absolute, canonical address of href as it stands on the page at base."""
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    full = (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .otherwise(F.concat(folder, href))
+    )
+    return canonical_url(full)
+
+
+def page_links(pages: DataFrame, prefix: str | None = None) -> DataFrame:
+    """First of equal absolute links of each page, without fragments, mail and scripts; with `prefix` those below it on the page's site only."""
     a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<a [^>]*href=\"([^\"]*)\""), 1)).alias("pos", "href"))
-    a = a.where(~F.lower("href").rlike(r"^(#|mailto:|javascript:)") & (F.col("href") != ""))
-    origin = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1)
-    full = F.when(F.col("href").rlike(r"^[A-Za-z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, F.col("href"))).otherwise(F.concat(origin, F.lit("/"), F.col("href")))
-    a = a.withColumn("link", full)
+    a = a.where(~F.lower("href").rlike(r"^(#|mailto:|javascript:|tel:|data:)") & (F.col("href") != ""))
+    site = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    a = a.withColumn("link", resolve_link(F.col("url"), F.trim("href"))).withColumn("same_origin", site(F.col("link")) == site(canonical_url(F.col("url"))))
+    if prefix is not None:
+        a = a.where(F.col("same_origin") & F.regexp_extract("link", r"^[^:]+://[^/]*([^?#]*)", 1).startswith(prefix))
     w = Window.partitionBy("page_id", "link").orderBy("pos")
-    return a.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "pos", "link", F.col("link").startswith(origin).alias("same_origin"))
+    return a.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "pos", "link", "same_origin")
 
 
 def visible_text(pages: DataFrame, least: int = 200) -> DataFrame:

@@ -42,7 +42,7 @@ def c6_chunk_documents(spark, table):
     return chunks.chunk_documents(d).select("doc_id", "section", "chunk_index", "char_start", "char_end")
 
 
-_GOLD = _BASE + ", gd AS (SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 3 ELSE 1 END AS grade FROM sc JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE contains(d.text, b.text) OR (sc.common >= 20 AND doc_id % 7 = item_id % 7)) "
+_GOLD = _BASE + ", gd AS (SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 3 ELSE 1 END AS grade FROM sc JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE contains(d.text, b.text) OR sc.common >= 20) "
 
 
 def gold_grades(table):
@@ -51,7 +51,7 @@ def gold_grades(table):
     s = q.join(retrieval.postings(table("documents"), "doc_id", {"text": 1}), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("common"))
     j = s.join(table("documents").select("doc_id", "text"), "doc_id").join(table("benchmark").withColumnRenamed("text", "question"), "item_id")
     hit = F.col("text").contains(F.col("question"))
-    return j.where(hit | ((F.col("common") >= 20) & (F.col("doc_id") % 7 == F.col("item_id") % 7))).select("item_id", "doc_id", F.when(hit, 3).otherwise(1).alias("grade"))
+    return j.where(hit | (F.col("common") >= 20)).select("item_id", "doc_id", F.when(hit, 3).otherwise(1).alias("grade"))
 
 
 _REC = "(SELECT round(avg(coalesce(h.n / r.n, 0)), 6) FROM (SELECT item_id, count(*) AS n FROM gd GROUP BY 1) r LEFT JOIN (SELECT item_id, count(*) AS n FROM {t} JOIN gd USING (item_id, doc_id) WHERE rank <= 10 GROUP BY 1) h USING (item_id))"
@@ -95,11 +95,11 @@ def m14_finalize_gold(spark, table):
     return g.select("item_id", "n", "total", F.array_join(F.transform("p", lambda x: F.concat_ws("=", x["doc_id"].cast("string"), x["grade"].cast("string"))), ",").alias("grades"))
 
 
-@query("WITH s AS (SELECT source, lang, min(doc_id) AS seed, left(arg_min(text, doc_id), 12) AS part FROM documents GROUP BY 1, 2) SELECT s.source, s.lang, count(d.doc_id) AS n_resolved, min(d.doc_id) AS first_doc FROM s LEFT JOIN documents d ON d.source = s.source AND d.lang = s.lang AND contains(d.text, s.part) AND d.n_chars >= 300 GROUP BY 1, 2")
+@query("WITH s AS (SELECT source, lang, min(doc_id) AS seed, left(arg_min(text, doc_id), 12) AS part FROM documents GROUP BY 1, 2) SELECT s.source, s.lang, count(d.doc_id) AS n_resolved, min(d.doc_id) AS first_doc FROM s LEFT JOIN documents d ON d.source = s.source AND d.lang = s.lang AND contains(d.text, s.part) GROUP BY 1, 2")
 def m15_resolve_seeds(spark, table):
     d = table("documents")
     s = d.groupBy("source", "lang").agg(F.min("doc_id").alias("seed"), F.substring(F.min_by("text", "doc_id"), 1, 12).alias("part"))
-    hit = s.join(d.where("n_chars >= 300").select("source", "lang", "doc_id", "text"), ["source", "lang"], "left").where(F.col("doc_id").isNull() | F.col("text").contains(F.col("part")))
+    hit = s.join(d.select("source", "lang", "doc_id", "text"), ["source", "lang"], "left").where(F.col("doc_id").isNull() | F.col("text").contains(F.col("part")))
     g = hit.groupBy("source", "lang").agg(F.count("doc_id").alias("n_resolved"), F.min("doc_id").alias("first_doc"))
     return s.select("source", "lang").join(g, ["source", "lang"], "left").select("source", "lang", F.coalesce("n_resolved", F.lit(0)).alias("n_resolved"), "first_doc")
 
@@ -123,10 +123,9 @@ def r11_retrieve_trace(spark, table):
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents")
 def i6_publish_index(spark, table):
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-index-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     d = table("documents").select("doc_id", "source", "lang", "n_chars")
     tables.publish_index(d, f"{base.rstrip('/')}/marlstone-index-{uuid.uuid4().hex[:12]}", "1", True, "marlstone_index")
     return spark.table("marlstone_index")

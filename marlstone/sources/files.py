@@ -10,12 +10,28 @@ DOCUMENT = "document_id string, version_id string, raw_record_id string, raw_pat
 RUN_COLUMNS = ("run_id", "competitor", "task_id", "task_revision", "task_success", "compile_success", "test_pass_rate", "edit_rounds", "latency_ms", "estimated_cost", "validator_sha256")
 
 
+def _uri(c: Column) -> Column:
+    """A file's address with one slash after the scheme, as readers differ in that."""
+    return F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def read_raw(spark: SparkSession, root: str) -> DataFrame:
-    """Captures from *.meta.json anywhere below root joined to their payloads: capture columns, payload, failure."""
+    """Captures from *.meta.json anywhere below root joined to their payloads: capture columns, meta_path, payload, failure.
+
+    A payload path is absolute, or lies below root, or else beside its sidecar; the whole
+    address must agree, so that equal file names of different runs stay apart.
+    """
     meta = spark.read.schema(CAPTURE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(root)
     meta = meta.withColumn("meta_path", F.input_file_name())
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(~F.col("path").endswith(".meta.json")).select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.col("content").alias("payload"))
-    j = meta.join(data, F.element_at(F.split("payload_path", "/"), -1) == F.col("_name"), "left").drop("_name")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    folder, scheme = F.regexp_replace("meta_path", r"/[^/]*$", ""), base.split(":", 1)[0]
+    at = F.col("payload_path")
+    places = F.when(at.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:/"), F.array(at)).when(at.startswith("/"), F.array(F.concat(F.lit(scheme + ":"), at))).otherwise(F.array(F.concat(F.lit(base + "/"), at), F.concat(folder, F.lit("/"), at)))
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(~F.col("path").endswith(".meta.json")).select(_uri(F.col("path")).alias("_place"), F.col("content").alias("payload"))
+    want = meta.where("payload_path is not null").select("meta_path", F.posexplode(F.transform(places, _uri)).alias("_n", "_place"))
+    found = want.join(data.select("_place"), "_place").groupBy(F.col("meta_path").alias("_m")).agg(F.min(F.struct("_n", "_place"))["_place"].alias("_place"))
+    j = meta.join(found, F.col("meta_path") == F.col("_m"), "left").join(data, "_place", "left").drop("_place", "_m")
     digest = F.concat(F.lit("sha256:"), F.sha2("payload", 256))
     why = F.when(F.col("_bad").isNotNull(), "invalid_json").when(F.col("payload_path").isNotNull() & F.col("payload").isNull(), "missing_payload").when(F.col("payload").isNotNull() & F.col("payload_hash").isNotNull() & (digest != F.col("payload_hash")), "hash_mismatch")
     return j.withColumn("failure", why).drop("_bad")

@@ -65,13 +65,45 @@ def test_windows(spark):
 def test_chunkers(spark):
     d = spark.createDataFrame([(1, "v1.2.0\n### Fixed bugs\n- a\n1.1.0\nnew thing"), (2, "Free plan $0\nPro $20 per month\nbilled yearly")], "doc_id long, text string")
     r = chunks.release_sections(d.where("doc_id = 1")).orderBy("section").collect()
-    assert [(x.version, x.change_category) for x in r] == [("1.2.0", "other"), ("1.2.0", "fixed"), ("1.1.0", "other")]
+    assert [(x.version, x.change_category) for x in r] == [("1.2.0", "other"), ("1.2.0", "fixes"), ("1.1.0", "other")]
     p = chunks.plan_sections(d.where("doc_id = 2"), ["free", "pro"]).orderBy("pos").collect()
     assert [(x.plan, x.price, x.currency, x.billing_period, list(x.applicable_plans)) for x in p] == [("Free", 0.0, "USD", None, ["Free"]), ("Pro", 20.0, "USD", "month", ["Pro"]), (None, None, None, "year", ["Free", "Pro"])]
     s = spark.createDataFrame([(1, "# 2024-01-02 x\na\n# 2023-01-01 old\nb\n# 2024-01-02 x\nc")], "doc_id long, text string")
     assert [(str(x.date), x.ordinal) for x in chunks.dated_sections(s, "2024-01-01").orderBy("ordinal").collect()] == [("2024-01-02", 1), ("2024-01-02", 2)]
 
 
+def test_cuts():
+    t = "One two. Three four five.\n\nSix " + "x" * 30 + " seven   "
+    marks = chunks.Marks(t)
+    assert (marks.word_from(3), marks.word_from(len(t)), marks.word_until(len(t)), marks.word_until(0)) == (4, None, len(t) - 3, 0)
+    assert marks.cut(5, 20, 40) == 20 and marks.cut(10, 26, 40) == 26 and marks.cut(33, 40, 50) == 50
+    got = chunks.windows(marks, 0, len(t), 20, 30, 5, 4)
+    assert [t[a:b] for a, b in got] == ["One two. Three four", "four five.\n\nSix", "Six " + "x" * 26, "xxxx seven"]
+
+
+def test_changes(spark):
+    t = "# 2.0\n## Security fixes\na\n## Known issues\nb\n### Details\nc\n# Release notes\n## New\nd"
+    r = chunks.release_sections(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("section").collect()
+    assert [x.change_category for x in r] == ["other", "security", "known_issues", "known_issues", "other", "features"]
+    d = spark.createDataFrame([(1, t, "changelog"), (2, "# A\nbody text", "blog"), (3, "plain", None)], "doc_id long, text string, source_type string")
+    got = chunks.chunk_documents(d).collect()
+    assert {x.change_category for x in got if x.doc_id == 1} >= {"security", "features"} and sorted(x.doc_id for x in got if x.doc_id > 1) == [2, 3]
+
+
+def test_links(spark):
+    hrefs = ["x.html", "//cdn.com/y", "../up", "/root?b=2&a=1", "?q=1", "mailto:a@b", "#top", "http://e.com/a/b/x.html", "https://o.com"]
+    d = spark.createDataFrame([(1, "http://e.com/a/b/page?z#f", "".join(f'<a class=c href="{h}">t</a>' for h in hrefs))], "page_id long, url string, html string")
+    want = [("http://e.com/a/b/x.html", True), ("http://cdn.com/y", False), ("http://e.com/a/up", True), ("http://e.com/root?a=1&b=2", True), ("http://e.com/a/b/page?q=1", True), ("https://o.com/", False)]
+    assert [(r.link, r.same_origin) for r in prepare.page_links(d).orderBy("pos").collect()] == want
+    assert [r.link for r in prepare.page_links(d, "/a/b").orderBy("pos").collect()] == ["http://e.com/a/b/x.html", "http://e.com/a/b/page?q=1"]
+
+
+def test_table_rows(spark):
+    page = '<main><ol start="x"><li>a</ol><table><tr><th colspan="100%">A<th>b | c</tr><tr><td colspan=2>1<td>2</tr></table></main>'
+    got = html.table_rows(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("pos").collect()
+    assert [(r.is_header, list(r.cells)) for r in got] == [(True, ["A", "b | c"]), (False, ["1", "", "2"])]
+
+
 def test_flatten():
     assert flatten.text_of({"id": 1, "b": True, "title": "T", "a": {"url": "u", "text": "x"}, "n": [1, None]}) == ["T", "x", "b: true", "n: 1"]
 
@@ -81,12 +113,17 @@ def test_raw(spark, tmp_path):
 
     (tmp_path / "a").mkdir()
     (tmp_path / "a/p.html").write_bytes(b"hi")
-    (tmp_path / "a/p.meta.json").write_text(json.dumps({"raw_record_id": "1", "payload_path": "x/p.html", "payload_hash": "sha256:" + hashlib.sha256(b"hi").hexdigest()}))
+    (tmp_path / "a/p.meta.json").write_text(json.dumps({"raw_record_id": "1", "payload_path": "p.html", "payload_hash": "sha256:" + hashlib.sha256(b"hi").hexdigest()}))
     (tmp_path / "q.meta.json").write_text(json.dumps({"raw_record_id": "2", "payload_path": "x/none.html"}))
-    (tmp_path / "r.meta.json").write_text(json.dumps({"raw_record_id": "3", "payload_path": "p.html", "payload_hash": "sha256:0"}))
+    (tmp_path / "r.meta.json").write_text(json.dumps({"raw_record_id": "3", "payload_path": "a/p.html", "payload_hash": "sha256:0"}))
     (tmp_path / "s.meta.json").write_text("{broken")
     got = {r.raw_record_id: r.failure for r in files.read_raw(spark, str(tmp_path)).collect()}
     assert got == {"1": None, "2": "missing_payload", "3": "hash_mismatch", None: "invalid_json"}
+    for run in ("r1", "r2"):  # an unchanged page captured twice has one file name in two folders
+        (tmp_path / "two" / run).mkdir(parents=True)
+        (tmp_path / "two" / run / "same.html").write_bytes(run.encode())
+        (tmp_path / "two" / run / "same.meta.json").write_text(json.dumps({"raw_record_id": run, "payload_path": f"{run}/same.html"}))
+    assert sorted((r.raw_record_id, bytes(r.payload)) for r in files.read_raw(spark, str(tmp_path / "two")).collect()) == [("r1", b"r1"), ("r2", b"r2")]
 
 
 def test_documents(spark, tmp_path):

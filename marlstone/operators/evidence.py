@@ -53,16 +53,23 @@ def extract_facts(chunks: DataFrame, id_col: str, fields: dict[str, Column], kee
 def detect_conflicts(facts: DataFrame, group: list[str], chunk: str, start: str = "valid_from", end: str = "valid_to", order: list[Column] | None = None) -> DataFrame:
     """One row for each group with unlike values valid at the same time: values, chunks, n_pairs, preferred.
 
-    Intervals are half-open, so adjacent ones do not conflict.  Groups with one value
-    leave before the self-join; each side of a pair meets on the group only.
+    Intervals are half-open, so adjacent ones do not conflict; a null start or end is open;
+    a chunk states one value in a group.  Nothing is joined pair by pair: at an interval's
+    end the starts before it are counted, at its start the ends up to it, once for all
+    values of the group and once for its own; the difference is its conflicting partners.
     """
+    c = F.col
     many = facts.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).where("_lo <> _hi").select(*group)
     f = facts.join(many, group)
-    a = f.select(*group, F.col(chunk).alias("_ca"), F.col("value").alias("_va"), F.col(start).alias("_sa"), F.col(end).alias("_ea"))
-    b = f.select(*group, F.col(chunk).alias("_cb"), F.col("value").alias("_vb"), F.col(start).alias("_sb"), F.col(end).alias("_eb"))
-    overlap = (F.col("_ea").isNull() | (F.col("_sb") < F.col("_ea"))) & (F.col("_eb").isNull() | (F.col("_sa") < F.col("_eb")))
-    p = a.join(b, group).where((F.col("_ca") < F.col("_cb")) & (F.col("_va") != F.col("_vb")) & overlap)
-    sides = p.groupBy(*group).agg(F.count("*").alias("n_pairs"), F.array_sort(F.array_union(F.collect_set("_va"), F.collect_set("_vb"))).alias("conflict_values"), F.array_sort(F.array_union(F.collect_set("_ca"), F.collect_set("_cb"))).alias("chunks"))
+    key = [*group, "value", chunk]
+    ends = f.select(*key, c(end).alias("_t"), F.lit(0).alias("_o"), c(end).isNull().cast("int").alias("_x"))
+    starts = f.select(*key, c(start).alias("_t"), F.lit(1).alias("_o"), (-c(start).isNull().cast("int")).alias("_x"))
+    so_far = lambda *by: Window.partitionBy(*by).orderBy("_x", "_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    # starts before an end, less ends up to a start
+    met = lambda w: F.when(c("_o") == 0, F.sum("_o").over(w)).otherwise(-F.sum(1 - c("_o")).over(w))
+    p = ends.unionByName(starts).withColumn("_n", met(so_far(*group)) - met(so_far(*group, "value")))
+    p = p.groupBy(*key).agg(F.sum("_n").alias("_n")).where("_n > 0")
+    sides = p.groupBy(*group).agg((F.sum("_n") / 2).cast("long").alias("n_pairs"), F.array_sort(F.collect_set("value")).alias("conflict_values"), F.array_sort(F.collect_set(chunk)).alias("chunks"))
     who = sides.select(*group, F.explode("chunks").alias(chunk)).join(facts, [*group, chunk])
     best = who.groupBy(*group).agg(F.max_by(chunk, F.struct(*(order or [F.col(end).isNull(), F.col(start)]), F.col(chunk))).alias("preferred"))
     return sides.join(best, group)

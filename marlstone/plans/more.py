@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import flatten
 from ..operators import chunks, evaluate, html, retrieval, tables
 from ..registry import query
-from .retrieval import _BASE, _LEX, bm, candidates, overlap
+from .retrieval import _BASE, _LEX, bm, candidates, dense_docs
 
 
 @query()
@@ -56,13 +56,28 @@ def gold_grades(table):
 
 _REC = "(SELECT round(avg(coalesce(h.n / r.n, 0)), 6) FROM (SELECT item_id, count(*) AS n FROM gd GROUP BY 1) r LEFT JOIN (SELECT item_id, count(*) AS n FROM {t} JOIN gd USING (item_id, doc_id) WHERE rank <= 10 GROUP BY 1) h USING (item_id))"
 _MRR = "(SELECT round(avg(coalesce(1.0 / f, 0)), 6) FROM (SELECT DISTINCT item_id FROM gd) LEFT JOIN (SELECT item_id, min(rank) AS f FROM {t} JOIN gd USING (item_id, doc_id) GROUP BY 1) USING (item_id))"
-_FUSED = ", u3 AS (SELECT *, 0 AS l FROM bm UNION ALL SELECT *, 1 FROM ov), f3 AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS s, min(rank) AS best, min(l * 1000 + rank) AS seen FROM u3 GROUP BY ALL), fu AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, best, seen, doc_id) AS rank FROM f3), " + _LEX + ", lr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM rr) "
+_FUSED = ", u3 AS (SELECT *, 0 AS l FROM bm UNION ALL SELECT *, 1 FROM dn), f3 AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS s, min(rank) AS best, min(l * 1000 + rank) AS seen FROM u3 GROUP BY ALL), fu AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, best, seen, doc_id) AS rank FROM f3), " + _LEX + ", lr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM rr) "
 
 
-@query(_GOLD + _FUSED + " UNION ALL ".join(f"SELECT '{g}' AS grp, {_REC.format(t=t)} AS recall, {_MRR.format(t=t)} AS mrr" for g, t in (("A", "bm"), ("B", "ov"), ("C", "fu"), ("D", "lr"))))
+_LEVEL = "CASE CAST(substr(source, 4) AS INT) % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.55 ELSE 0.3 END"
+_CHAIN = ", u4 AS (SELECT *, 0 AS l FROM bm UNION ALL SELECT *, 1 FROM dn), f4 AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best, min(l * 1000 + rank) AS seen, min(CASE WHEN l = 0 THEN rank END) AS bm25_rank, min(CASE WHEN l = 1 THEN rank END) AS dense_rank FROM u4 GROUP BY ALL), fq AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, best, seen, doc_id) AS rank FROM f4 QUALIFY rank <= 30), "
+_CHAIN += _LEX.replace("FROM bm c", "FROM fq c").replace("toks", "toks4").replace(" cm ", " cm4 ").replace("FROM cm)", "FROM cm4)").replace(" lx ", " lx4 ").replace("FROM lx ", "FROM lx4 ").replace(" rr ", " rr4 ")
+_CHAIN += f""", k4 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS k FROM rr4 QUALIFY k <= 20),
+ a4 AS (SELECT item_id, doc_id, score, rerank_score, final_score AS relevance, round(0.85 * {_LEVEL} + 0.15 * CASE WHEN count(source) OVER (PARTITION BY item_id, source) > 1 THEN 1 ELSE 0 END, 6)::DOUBLE AS evidence_score FROM k4 JOIN documents USING (doc_id)),
+ b4 AS (SELECT *, round(0.8 * relevance + 0.2 * evidence_score, 8) AS final_score FROM a4),
+ fi AS (SELECT item_id, doc_id, bm25_rank, dense_rank, b4.score AS rrf_score, rerank_score, evidence_score, final_score, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM b4 JOIN f4 USING (item_id, doc_id)) """
+
+
+def chain(table):
+    level = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")), F.substring("source", 4, 9).cast("int") % 4 + 1)
+    d = table("documents").select("doc_id", "text", level.alias("level"), F.col("source").alias("fact"))
+    return retrieval.retrieve(table("benchmark"), d, "item_id", "doc_id")
+
+
+@query(_GOLD + _FUSED + _CHAIN + " UNION ALL ".join(f"SELECT '{g}' AS grp, {_REC.format(t=t)} AS recall, {_MRR.format(t=t)} AS mrr" for g, t in (("A", "bm"), ("B", "dn"), ("C", "fu"), ("D", "lr"), ("F", "fi"))))
 def m10_ablation_matrix(spark, table):
     g = gold_grades(table)
-    runs = {"A": bm(table), "B": overlap(table), "C": retrieval.rrf_fuse([bm(table), overlap(table)], "item_id", "doc_id"), "D": retrieval.lexical_rerank(candidates(table), "item_id", "doc_id", "question", "text")}
+    runs = {"A": bm(table), "B": dense_docs(table), "C": retrieval.rrf_fuse([bm(table), dense_docs(table)], "item_id", "doc_id"), "D": retrieval.lexical_rerank(candidates(table), "item_id", "doc_id", "question", "text"), "F": chain(table)}
     long = None
     for name, r in runs.items():
         a = evaluate.recall_precision(r, g, "item_id", "doc_id", 10).select(F.lit(name).alias("grp"), F.lit("recall").alias("metric"), F.col("recall").alias("value"))
@@ -113,12 +128,9 @@ def m16_gold_checks(spark, table):
     return un.unionByName(j.where(~F.col("text").contains(F.col("question"))).select(F.lit("quote_absent").alias("finding"))).unionByName(j.where("lang <> 'en'").select(F.lit("filter_unmet").alias("finding"))).groupBy("finding").agg(F.count("*").alias("n"))
 
 
-@query(_BASE + _FUSED + """ SELECT stage, n FROM (SELECT 'lexical' AS stage, count(*) AS n FROM bm UNION ALL SELECT 'second', count(*) FROM ov UNION ALL SELECT 'fused', count(*) FROM fu WHERE rank <= 30 UNION ALL SELECT 'evidence', count(*) FROM fu WHERE rank <= 5)""")
+@query(_BASE + _CHAIN + "SELECT item_id, doc_id, bm25_rank, dense_rank, rrf_score, rerank_score, evidence_score, final_score, rank FROM fi WHERE rank <= 5")
 def r11_retrieve_trace(spark, table):
-    a, b = bm(table), overlap(table)
-    f = retrieval.rrf_fuse([a, b], "item_id", "doc_id")
-    one = lambda d, s: d.agg(F.count("*").alias("n")).select(F.lit(s).alias("stage"), "n")
-    return one(a, "lexical").unionByName(one(b, "second")).unionByName(one(f.where("rank <= 30"), "fused")).unionByName(one(f.where("rank <= 5"), "evidence"))
+    return chain(table).where("rank <= 5")
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents")

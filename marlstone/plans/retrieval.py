@@ -13,19 +13,25 @@ _BASE = f"""WITH dt AS (SELECT doc_id, unnest({_W.format(c="text")}) AS term FRO
  dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
  sc AS (SELECT item_id, doc_id, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score, count(*) AS common FROM qt JOIN tf USING (term) JOIN dfr USING (term) JOIN dl USING (doc_id), st GROUP BY item_id, doc_id),
  bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 20),
- ov AS (SELECT item_id, doc_id, common::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY common DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20) """
+ fx AS (SELECT 0 AS side, doc_id AS id, {_W.format(c="text")} AS w FROM documents UNION ALL SELECT 1, item_id, {_W.format(c="text")} FROM benchmark),
+ fe AS (SELECT side, id, 'w:' || x AS f FROM (SELECT side, id, unnest(w) AS x FROM fx) UNION ALL SELECT side, id, 'wb:' || w[i] || '_' || w[i + 1] FROM (SELECT side, id, w, unnest(range(1, len(w))) AS i FROM fx WHERE len(w) > 1)),
+ fn AS (SELECT side, id, f, count(*) AS n FROM fe GROUP BY ALL),
+ fv AS (SELECT f, ('0x' || substr(md5(f), 1, 8))::BIGINT % 384 AS bucket, CASE WHEN substr(md5(f), 9, 1) IN ('1','3','5','7','9','b','d','f') THEN 1.0 ELSE -1.0 END AS sign FROM (SELECT DISTINCT f FROM fn)),
+ fr AS (SELECT side, id, bucket, sum(sign::DOUBLE * (1 + ln(n))) AS v FROM fn JOIN fv USING (f) GROUP BY ALL),
+ fl AS (SELECT side, id, sqrt(sum(v * v)) AS norm FROM fr GROUP BY ALL), fw AS (SELECT side, id, bucket, v / norm AS v FROM fr JOIN fl USING (side, id) WHERE norm > 0),
+ fd AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.v * d.v), 6) AS score FROM fw q JOIN fw d USING (bucket) WHERE q.side = 1 AND d.side = 0 GROUP BY ALL),
+ dn AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fd WHERE score > 0 QUALIFY rank <= 20) """
 
 
 def bm(table, k=20):
     return retrieval.bm25(table("benchmark"), table("documents"), "item_id", "text", "doc_id", {"text": 1}, k)
 
 
-def overlap(table, k=20):
-    """Documents by the number of distinct question terms they hold."""
-    q = table("benchmark").select("item_id", F.explode(retrieval.tokens(F.col("text"))).alias("term")).distinct()
-    d = retrieval.postings(table("documents"), "doc_id", {"text": 1}).select("doc_id", "term")
-    s = q.join(d, "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return retrieval.top_k(s, "item_id", [F.col("score").desc(), F.col("doc_id")], k)
+def dense_docs(table, k=20):
+    """Documents nearest to each question by hashed feature vectors of both texts, with a cosine above 0."""
+    q = retrieval.hash_vectors(table("benchmark"), "item_id", "text")
+    d = retrieval.hash_vectors(table("documents"), "doc_id", "text")
+    return retrieval.dense_topk(q, d, k, id_col="doc_id", query_col="item_id").where("score > 0").withColumnsRenamed({"query_id": "item_id", "id": "doc_id"})
 
 
 @query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_W.format(c='text')}) AS term FROM documents) GROUP BY ALL")
@@ -79,24 +85,24 @@ def r2_dense_topk(spark, table):
     return dense(table)
 
 
-@query(_BASE + """, u AS (SELECT *, 0 AS l FROM bm UNION ALL SELECT *, 1 FROM ov), f AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, min(rank) AS best_rank, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL)
+@query(_BASE + """, u AS (SELECT *, 0 AS l FROM bm UNION ALL SELECT *, 1 FROM dn), f AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, min(rank) AS best_rank, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL)
  SELECT item_id, doc_id, rrf_score, best_rank, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, best_rank, seen, doc_id) AS rank FROM f""")
 def r3_rrf_fuse(spark, table):
-    return retrieval.rrf_fuse([bm(table), overlap(table)], "item_id", "doc_id")
+    return retrieval.rrf_fuse([bm(table), dense_docs(table)], "item_id", "doc_id")
 
 
-@query(_BASE + """, j AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS bm25_rank, b.rank AS dense_rank FROM bm a FULL OUTER JOIN ov b ON a.item_id = b.item_id AND a.doc_id = b.doc_id),
+@query(_BASE + """, j AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS bm25_rank, b.rank AS dense_rank FROM bm a FULL OUTER JOIN dn b ON a.item_id = b.item_id AND a.doc_id = b.doc_id),
  s AS (SELECT *, round(coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + dense_rank), 0), 6) AS score FROM j)
  SELECT item_id, doc_id, bm25_rank, dense_rank, score, concat_ws('+', CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END, CASE WHEN dense_rank IS NOT NULL THEN 'dense' END) AS methods,
   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, coalesce(bm25_rank, 1000000000), coalesce(dense_rank, 1000000000), doc_id) AS rank FROM s""")
 def r4_hybrid_join(spark, table):
-    return retrieval.hybrid_join(bm(table), overlap(table), "item_id", "doc_id")
+    return retrieval.hybrid_join(bm(table), dense_docs(table), "item_id", "doc_id")
 
 
-@query(_BASE + """, u AS (SELECT item_id, doc_id, rank AS o FROM bm UNION ALL SELECT item_id, doc_id, 1000 + rank FROM ov), m AS (SELECT item_id, doc_id, min(o) AS o FROM u GROUP BY ALL)
+@query(_BASE + """, u AS (SELECT item_id, doc_id, rank AS o FROM bm UNION ALL SELECT item_id, doc_id, 1000 + rank FROM dn), m AS (SELECT item_id, doc_id, min(o) AS o FROM u GROUP BY ALL)
  SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY o) AS rank FROM m QUALIFY rank <= 25""")
 def r5_concat_unique(spark, table):
-    return retrieval.concat_unique([bm(table), overlap(table)], "item_id", "doc_id", 25)
+    return retrieval.concat_unique([bm(table), dense_docs(table)], "item_id", "doc_id", 25)
 
 
 _LEX = """ toks AS (SELECT c.item_id, c.doc_id, c.score, c.rank, b.text AS q, d.text AS t, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*')) AS qa, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+(?:[._+#/-][a-z0-9]+)*')) AS da
@@ -125,6 +131,33 @@ def r7_temporal_rank(spark, table):
     return out.select("event_id", "time_score", "version_score")
 
 
+_ASKED = """ , a AS (SELECT 'now' AS q, 'the latest state' AS question, NULL::TIMESTAMP AS as_of UNION ALL SELECT 'then', 'what held at that time', TIMESTAMP '2024-03-01' UNION ALL SELECT 'once', 'its history', NULL UNION ALL SELECT 'any', 'anything', NULL),
+ c AS (SELECT q, question, as_of, user_id, version_no, n_seen::DOUBLE AS score, valid_from, valid_to, valid_to IS NULL AS cur FROM h, a WHERE event_type = 'purchase'),
+ k AS (SELECT *, (as_of IS NULL OR (valid_from <= as_of AND (valid_to IS NULL OR as_of < valid_to))) AS inside, exp(-ln(2.0) * greatest((epoch_us(TIMESTAMP '2024-06-30') - epoch_us(valid_from)) / 86400000000.0, 0) / 180.0) AS fresh FROM c),
+ s AS (SELECT *, round(CASE WHEN q = 'then' THEN 1.0 WHEN q = 'now' THEN fresh WHEN q = 'once' THEN 0.6 ELSE 0.5 + 0.5 * fresh END, 6) AS time_score, round(CASE WHEN q = 'then' THEN 1.0 WHEN q = 'now' THEN CASE WHEN cur THEN 1.0 ELSE 0.0 END WHEN q = 'once' THEN CASE WHEN cur THEN 0.2 ELSE 1.0 END ELSE CASE WHEN cur THEN 1.0 ELSE 0.5 END END, 6)::DOUBLE AS version_score FROM k WHERE inside),
+ t AS (SELECT *, round(0.67 * CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END + 0.25 * time_score + 0.08 * version_score + 1e-9, 6) AS final_score FROM s WINDOW w AS (PARTITION BY q)),
+ r AS (SELECT *, user_id || '-' || version_no AS chunk_id, row_number() OVER (PARTITION BY q ORDER BY final_score DESC, user_id || '-' || version_no) AS rank FROM t) """
+
+
+def _asked_sql():
+    from .prepare import _HISTORY
+
+    return _HISTORY + _ASKED
+
+
+@query(_asked_sql() + "SELECT q, chunk_id, time_score, version_score, final_score, rank FROM r")
+def r7_temporal_versions(spark, table):
+    """Purchases as versioned states, ranked for a question about now, one about a day, one about the past and one about nothing in particular."""
+    from .prepare import history
+
+    asked = spark.createDataFrame([("now", "the latest state", None), ("then", "what held at that time", "2024-03-01 00:00:00"), ("once", "its history", None), ("any", "anything", None)], "q string, question string, as_of string").withColumn("as_of", F.col("as_of").cast("timestamp"))
+    h = history(table).where("event_type = 'purchase'")
+    c = h.select(F.concat_ws("-", "user_id", "version_no").alias("chunk_id"), F.col("n_seen").cast("double").alias("score"), F.col("valid_from").alias("publish_time"), "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"), F.lit(None).cast("string").alias("product_version"))
+    none = {"current_only": F.lit(False), "versions": F.array().cast("array<string>"), "start_time": F.lit(None).cast("timestamp"), "end_time": F.lit(None).cast("timestamp")}
+    out = retrieval.temporal_rank(c.crossJoin(F.broadcast(asked)).withColumns(none), "q", "chunk_id", F.lit("2024-06-30").cast("timestamp"))
+    return out.select("q", "chunk_id", "time_score", "version_score", "final_score", "rank")
+
+
 @query(_BASE + """ SELECT item_id, doc_id, round(0.85 * CASE CAST(substr(source, 4) AS INT) % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.55 ELSE 0.3 END + 0.15 * CASE WHEN count(source) OVER (PARTITION BY item_id, source) > 1 THEN 1 ELSE 0 END, 6)::DOUBLE AS evidence_score FROM bm JOIN documents USING (doc_id)""")
 def r8_authority_rank(spark, table):
     c = bm(table).join(table("documents").select("doc_id", "source"), "doc_id")
@@ -162,11 +195,11 @@ def e1_select_quotes(spark, table):
     return quotes(table).select("item_id", "doc_id", F.sha2("quote", 256).alias("quote_digest"), "quote_score")
 
 
-@query(_BASE + """, u AS (SELECT item_id, doc_id, rank FROM bm UNION ALL SELECT item_id, doc_id, rank + 20 FROM ov), f AS (SELECT item_id, doc_id, min(rank) AS rank FROM u GROUP BY ALL),
+@query(_BASE + """, u AS (SELECT item_id, doc_id, rank FROM bm UNION ALL SELECT item_id, doc_id, rank + 20 FROM dn), f AS (SELECT item_id, doc_id, min(rank) AS rank FROM u GROUP BY ALL),
  p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank, doc_id) AS position FROM f)
  SELECT item_id, doc_id, position, substr(sha256(item_id || '|' || doc_id), 1, 16) AS citation_id FROM p WHERE position <= 8""")
 def e2_build_evidence(spark, table):
-    both = bm(table).select("item_id", "doc_id", "rank").unionByName(overlap(table).select("item_id", "doc_id", (F.col("rank") + 20).alias("rank")))
+    both = bm(table).select("item_id", "doc_id", "rank").unionByName(dense_docs(table).select("item_id", "doc_id", (F.col("rank") + 20).alias("rank")))
     return evidence.build_evidence(both, "item_id", "doc_id", 8).select("item_id", "doc_id", "position", "citation_id")
 
 
@@ -278,12 +311,12 @@ def m11_aggregate_runs(spark, table):
     return r.select("event_type", "user_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "min", "max", "n", "consistent")
 
 
-@query(_BASE + """, u AS (SELECT item_id, doc_id, 'a' AS g, rank, false AS s FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 'b', rank, false FROM ov WHERE rank <= 10 UNION ALL SELECT item_id, item_id, NULL, NULL, true FROM benchmark),
+@query(_BASE + """, u AS (SELECT item_id, doc_id, 'a' AS g, rank, false AS s FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 'b', rank, false FROM dn WHERE rank <= 10 UNION ALL SELECT item_id, item_id, NULL, NULL, true FROM benchmark),
  p AS (SELECT item_id, doc_id, bool_or(s) AS seeded, min(rank) AS best_rank, count(DISTINCT g) AS n_groups FROM u GROUP BY ALL)
  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seeded DESC, coalesce(best_rank, 1000000000), doc_id) AS position FROM p""")
 def m12_candidate_pool(spark, table):
     seeds = table("benchmark").select("item_id", F.col("item_id").alias("doc_id"))
-    return evaluate.candidate_pool({"a": bm(table), "b": overlap(table)}, seeds, "item_id", "doc_id", 10)
+    return evaluate.candidate_pool({"a": bm(table), "b": dense_docs(table)}, seeds, "item_id", "doc_id", 10)
 
 
 @query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) ORDER BY r, source, lang, doc_id LIMIT 200")

@@ -42,6 +42,47 @@ def test_conflicts(spark):
     assert [(r.g, r.n_pairs, list(r.chunks), r.preferred) for r in got] == [("g", 2, ["c1", "c2", "c3"], "c2")]
 
 
+def test_conflicts_by_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"c{i}", r.choice("gh"), r.choice("abc"), *(lambda a: (a, r.choice([None, a + r.randint(1, 6)])))(r.randint(0, 20))) for i in range(60)] + [("n", "g", "a", None, 3)]
+    low = lambda x: -1 if x is None else x
+    high = lambda x: 99 if x is None else x
+    want = {}
+    for g in "gh":
+        p = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[1] == y[1] == g and x[2] != y[2] and low(x[3]) < high(y[4]) and low(y[3]) < high(x[4])]
+        want[g] = (len(p), sorted({z[0] for q in p for z in q}), sorted({z[2] for q in p for z in q}))
+    f = spark.createDataFrame(rows, "chunk string, g string, value string, valid_from int, valid_to int")
+    assert {x.g: (x.n_pairs, list(x.chunks), list(x.conflict_values)) for x in evidence.detect_conflicts(f, ["g"], "chunk").collect()} == want
+
+
+def test_temporal(spark):
+    kind = "q string, question string, as_of timestamp, current_only boolean, versions array<string>, start_time timestamp, end_time timestamp, id string, score double, publish_time timestamp, is_current boolean, product_version string, valid_from timestamp, valid_to timestamp"
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    doc = lambda q, i, **x: (q.get("q"), q.get("text", ""), q.get("as_of"), q.get("only"), q.get("versions"), q.get("start"), q.get("end"), i, x.get("score", 1.0), x.get("at"), x.get("cur"), x.get("version"), x.get("a"), x.get("b"))
+    of = lambda rows, **how: {(r.q, r.id): (r.time_score, r.version_score) for r in retrieval.temporal_rank(spark.createDataFrame(rows, kind), "q", "id", F.lit(day(180)), **how).collect()}
+    v, w, t = {"q": "v", "versions": ["v1.2"]}, {"q": "w", "only": True}, {"q": "t", "as_of": day(50)}
+    rows = [doc(v, "a", version="Version 1.2.0", at=day(0)), doc(v, "b", version="1.20"), doc(v, "c"), doc(w, "d", cur=True, at=day(180)), doc(w, "e", cur=False), doc(t, "f", a=day(40), b=day(50)), doc(t, "g", a=day(50)), doc({"q": "s", "start": day(9)}, "h", at=day(3)), doc({"q": "s", "start": day(9)}, "i", at=day(9))]
+    assert of(rows) == {("v", "a"): (0.75, 1.0), ("w", "d"): (1.0, 1.0), ("t", "g"): (1.0, 1.0), ("s", "i"): (round(0.5 + 0.5 * 2 ** (-171 / 180), 6), 0.5)}
+    soft = of(rows, strict=False)
+    assert soft["v", "b"] == (0.625, 0.0) and soft["w", "e"] == (0.25, 0.0) and soft["t", "f"] == (0.0, 0.0) and soft["s", "h"] == (round((0.5 + 0.5 * 2 ** (-177 / 180)) * 0.2, 6), 0.5)
+    with pytest.raises(ValueError):
+        of(rows, temporal_weight=0.9, version_weight=0.2)
+
+
+def test_hashed_vectors(spark):
+    d = spark.createDataFrame([(1, "aa bb aa"), (2, "你好吗"), (3, None), (4, "ＡＡ bb aa")], "id long, text string")
+    got = {r.id: list(r.embedding) for r in retrieval.hash_vectors(d, "id", "text", 64).collect()}
+    assert sorted(got) == [1, 2, 4] and got[1] == got[4] and abs(sum(x * x for x in got[2]) - 1) < 1e-9
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, [0.0, 2.0])], "id long, embedding array<double>")
+    v = spark.createDataFrame([(1, [3.0, 0.0]), (2, [1.0, 1.0]), (3, [5.0, 0.0]), (4, None), (5, [1.0]), (6, [0.0, 0.0])], "id long, embedding array<double>")
+    for block in (1, 4096):
+        assert [(r.query_id, r.id, r["rank"]) for r in retrieval.dense_topk(q, v, 2, block, "id").orderBy("query_id", "rank").collect()] == [(7, 1, 1), (7, 3, 2), (9, 2, 1), (9, 1, 2)]
+
+
 def test_html():
     page = "<html><nav>menu</nav><main><h1>Top</h1><p>One <b>two</b></p><ol start=3><li>x<li>y</ol><table><tr><th colspan=2>A</th></tr><tr><td>1<td>2</tr></table><pre>a\n b</pre><div class=cookie-bar>c</div></main><footer>f</footer></html>"
     assert html.blocks_of(page, 10) == [("heading", 1, "Top"), ("paragraph", 0, "One two"), ("item", 1, "3. x"), ("item", 1, "4. y"), ("header_row", 2, "A | "), ("row", 2, "1 | 2"), ("code", 0, "a\n b")]

@@ -76,31 +76,27 @@ def two_stage(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each two neighbours of a suffix array, up to `most`; t is followed by nothing."""
-    n = len(t)
-    wide = np.zeros(n + 8, np.uint64)
-    for k in range(8):
-        wide[: max(n - k, 0)] |= t[k:].astype(np.uint64) << np.uint64(8 * k)
+    """Length of the common prefix of each two neighbours of a suffix array, up to `most`; t is followed by nothing.
+
+    Lengths are found by hashes of stretches that halve down to one byte; those of `most`
+    bytes are held against each other whole.
+    """
     x, y = sa[:-1], sa[1:]
-    limit = np.minimum(n - np.maximum(x, y), most)
-    out, live = np.zeros(len(x), np.int64), np.arange(len(x))
-    for at in range(0, most, 8):  # eight bytes at a time, for neighbours that agree so far
-        p, q = np.minimum(x[live] + at, n), np.minimum(y[live] + at, n)
-        differ = wide[p] ^ wide[q]
-        same = differ == 0
-        part = differ[~same]
-        # the lowest set bit lies in the first byte that differs
-        low = np.log2((part & (~part + np.uint64(1))).astype(np.float64)).astype(np.int64) // 8
-        out[live[~same]] = at + low
-        live = live[same]
-        if not len(live):
-            break
-        out[live] = at + 8
-    return np.minimum(out, limit)
-
-
-def repeated_starts(snippets: list[bytes], window: int) -> list[np.ndarray]:
-    """For each snippet the starts of windows that occur elsewhere in the snippets too.
+    limit = np.minimum(len(t) - np.maximum(x, y), most)
+    out, spans = np.zeros(len(x), np.int64), textkit.Spans(textkit._BYTE[t])
+    for step in (1 << k for k in range(most.bit_length() - 1, -1, -1)):
+        room = np.flatnonzero(out + step <= limit)
+        p, q = x[room] + out[room], y[room] + out[room]
+        out[room] += step * spans.same(p, q, step)
+    raw, full = t.tobytes(), np.flatnonzero(out == most)
+    for i, p, q in zip(full.tolist(), x[full].tolist(), y[full].tolist()):
+        if raw[p : p + most] != raw[q : q + most]:  # a chance agreement of hashes
+            out[i] = next(k for k in range(most) if raw[p + k] != raw[q + k])
+    return out
+
+
+def repeated_runs(snippets: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that occur elsewhere in the snippets too: snippet, first and last start of each.
 
     A window repeats if its suffix has `window` bytes in common with a neighbour's in the
     order of those suffixes that hold a whole window.
@@ -116,7 +112,11 @@ def repeated_starts(snippets: list[bytes], window: int) -> list[np.ndarray]:
     if len(sa) > 1:
         long = common_prefixes(joined, sa, window) >= window
         hit[sa[:-1][long]] = hit[sa[1:][long]] = True
-    return [np.flatnonzero(hit[f : f + n]) for f, n in zip(first, lens)]
+    at = np.flatnonzero(hit)  # starts of different snippets are never next to each other
+    edge = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else at
+    which = np.searchsorted(first, at[edge], "right") - 1
+    last = at[np.append(edge[1:], len(at)) - 1] if len(at) else at
+    return which, at[edge] - first[which], last - first[which]
 
 
 def arrays(d: DataFrame, window: int, light: DataFrame, array_bytes: int = 1 << 17) -> DataFrame:
@@ -139,15 +139,11 @@ def arrays(d: DataFrame, window: int, light: DataFrame, array_bytes: int = 1 <<
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            s, e, rid = [], [], []
-            for row, at in zip(held, repeated_starts([x[4] for x in held], window)):
-                if row[3] and len(at):
-                    new = np.flatnonzero(np.append(True, np.diff(at) != 1))
-                    s.append(at[new] + row[2])
-                    e.append(at[np.append(new[1:], len(at)) - 1] + row[2] + window)
-                    rid.append(np.full(len(new), row[1]))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            return pa.record_batch([cat(rid), cat(s), cat(e)], names=["rid", "s", "e"])
+            which, low, high = repeated_runs([x[4] for x in held], window)
+            rid, at, own = (np.asarray([x[i] for x in held]) for i in (1, 2, 3))
+            keep = own[which]
+            which = which[keep]
+            return pa.record_batch([pa.array(rid[which]), pa.array(low[keep] + at[which]), pa.array(high[keep] + at[which] + window)], names=["rid", "s", "e"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(5))):

@@ -62,6 +62,11 @@ class Spans:
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+    def same(self, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n values from a on and those from b on have one hash; n is one number, so that nothing need be spread."""
+        return (self.sums[a + n] - self.sums[a]) * self.inv[a] == (self.sums[b + n] - self.sums[b]) * self.inv[b]
+
+
 class Slice:
     """Some rows' texts as one byte array; off[i]:off[i+1] are row i's bytes."""
 

@@ -240,6 +240,41 @@ def test_quality(spark, docs, texts, empty):
     assert quality.judge(empty).count() == 0
 
 
+def brute_em(patterns, rounds=60):
+    """Posterior of each vote pattern by plain expectation-maximisation over (pattern, count)."""
+    m, total = len(patterns[0][0]), sum(n for _, n in patterns)
+    post = [1 / (1 + np.exp(-sum(0.5 if v > 0 else -2.5 if v < 0 else 0 for v in p))) for p, _ in patterns]
+    for _ in range(rounds):
+        mass = [sum(q * n for q, (_, n) in zip(post, patterns))]
+        mass.append(total - mass[0])
+        prior = min(max(mass[0] / total, 0.01), 0.99)
+        table = [[{v: 0.5 for v in (-1, 0, 1)} for _ in range(m)] for _ in range(2)]
+        for q, (p, n) in zip(post, patterns):
+            for j, v in enumerate(p):
+                table[0][j][v] += q * n
+                table[1][j][v] += (1 - q) * n
+        post = []
+        for p, _ in patterns:
+            good, bad = prior, 1 - prior
+            for j, v in enumerate(p):
+                good *= table[0][j][v] / (mass[0] + 1.5)
+                bad *= table[1][j][v] / (mass[1] + 1.5)
+            post.append(good / (good + bad))
+    return {p: q for q, (p, _) in zip(post, patterns)}
+
+
+def test_quality_posterior(spark):
+    """The posterior is that of a plain EM over the same votes, and agrees with the labels that some documents have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    votes = {r.doc_id: (tuple(r._v), r.n_words) for r in quality.votes(quality.signals(docs)).select("doc_id", "_v", "n_words").collect()}
+    want = brute_em(sorted(collections.Counter(v for v, n in votes.values() if n).items()))
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(abs(got[i].posterior - want[v]) < 1e-6 for i, (v, n) in votes.items() if n)
+    labels = [(r.quality, got[r.doc_id]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
+    firm = [(q, g.posterior >= 0.5) for q, g in labels if not g.base_failed]
+    assert np.mean([bool(q) == k for q, k in firm]) > 0.97 and np.mean([k for q, k in firm if q]) > 0.98
+
+
 def test_mixing(spark, docs, texts, empty):
     got = mixing.taken(docs).collect()
     same([(r.doc_id, r["size"]) for r in got], [(i, len(words(t))) for i, t in texts])
@@ -333,6 +368,22 @@ def test_language(spark, empty):
     assert langid.identify(empty.select("doc_id", "text", "lang")).count() == 0
 
 
+def test_language_of_repeats_long_texts_and_many_labels(spark):
+    r = random.Random(6)
+    langs = [f"l{i:02d}" for i in range(12)]
+    stock = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for x in langs}
+    rows = [(i, " ".join(r.choice(stock[x]) for _ in range(40)), x, "lang_pred", 1.0) for i, x in enumerate(langs * 12)]
+    rows += [rows[5], (901, " ".join(r.choice(stock["l03"]) for _ in range(60_000)), None, "x", 0.0), (902, "", "l01", None, None)]
+    # source and score clash with names of the result or are not to be read
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = collections.defaultdict(list)
+    for x in langid.identify(d).collect():
+        got[x.doc_id].append(x)
+    assert len(got[5]) == 2 and got[5][0] == got[5][1] and sum(map(len, got.values())) == len(rows)
+    assert got[901][0].lang_pred == "l03" and got[902][0].lang_pred == "und"
+    assert np.mean([got[i][0].lang_pred == x for i, _, x, *_ in rows[:144]]) > 0.95
+
+
 def test_codewords():
     for n in (2, 3, 4, 6, 7, 20):
         m = langid.codewords(n)
@@ -371,6 +422,36 @@ def test_decontamination_of_slot_dense_and_short_items(spark):
     assert {t: got[i] for i, t in rows} == want
 
 
+def test_decontamination_recall_by_share_of_slots(spark):
+    """Items of 3 to 24 words, none to all of them numbers: every verbatim copy is found, and nothing in texts without one."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    items, rows = [], []
+    for i in range(120):
+        n, share = r.randint(3, 24), (i % 6) / 5
+        items.append((i, " ".join(str(r.randint(100, 99_999)) if r.random() < share else word() for _ in range(n)), "x"))
+    for i, t, _ in items:
+        rows.append((i, " ".join(word() for _ in range(r.randint(0, 40))) + ". " + t + " " + " ".join(word() for _ in range(r.randint(0, 40))), "rid", 1))
+        rows.append((1000 + i, " ".join(word() for _ in range(80)), "rid", 2))
+    rows += [rows[0], (2000, " ".join(word() for _ in range(20_000)) + " " + items[7][1], None, 3)]
+    # rid and w clash with names the operator uses itself; item and document tables share a column
+    d = spark.createDataFrame(rows, "doc_id long, text string, rid string, w int")
+    got = decontaminate.judge(d, spark.createDataFrame(items, "item_id long, text string, rid string")).collect()
+    assert len(got) == len(rows)
+    by = {x.doc_id: list(x.item_ids) for x in got}
+    assert all(i in by[i] for i in range(120)) and not any(by[1000 + i] for i in range(120)) and 7 in by[2000]
+
+
+def test_preference_of_long_and_empty(spark):
+    long = "x" * 200_000
+    rows = [(0, 0, "user", long, "p"), (0, 1, "assistant", "a", "p"), (1, 0, "user", long, "p"), (1, 1, "assistant", "b" * 100_000, "p"), (1, 1, "assistant", "b" * 100_000, "p")]
+    # chosen and prompt clash with names of the result
+    d = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, prompt string, chosen int")
+    (got,) = preference.format_pairs(preference.pair_up(d)).collect()
+    assert got.n_common == 1 and len(got.prompt) == 200_000 + len("<|im_start|>user\n<|im_end|>\n") and got.rejected_text.count("b") == 200_000 and len(got.rejected_mask) == 2
+    assert preference.digest(preference.format_pairs(preference.pair_up(d.where("false")))).count() == 0
+
+
 def test_preference(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "A"), (1, 0, "user", "hi"), (1, 1, "assistant", "B"), (1, 2, "user", None), (3, 0, None, "x"), (4, 0, "user", "q"), (5, 0, "user", "q"), (None, 0, "user", "z")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -142,20 +142,27 @@ def open_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
 
     The remainders behind a pair's first shared token bound its overlap, so that with
     room = (den+num)(size-pos) - num*size each one's room must reach num times the other's
-    size.  Entries look at their own and the two neighbouring cells of set sizes.
+    size.  Whole lists are looked at first, which settles those of two entries; what is
+    left looks at its own and the two neighbouring cells of set sizes.
     """
     c = F.col
     twice = shared.cut(entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "tokens")
     lists = shared.cut(shared.matching(entries, twice, "token").distinct(), "lists")
     shared.drop(twice)
-    lists_ = lists.withColumn("cell", F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int")).withColumn("room", (den + num) * (c("size") - c("pos")).cast("long") - num * c("size"))
-    near = lists_.select("token", F.explode(F.array(c("cell") - 1, c("cell"), c("cell") + 1)).alias("cell"), "size", "room")
-    near = near.groupBy("token", "cell").agg(F.count("*").alias("_n"), F.sum("size").alias("_s"), F.sum("room").alias("_r"), F.max("room").alias("_most"), F.min("size").alias("_least"))
-    other, room = c("_s") - c("size"), c("_r") - c("room")  # of the one other entry, where there is just one
-    one = (den * F.least("size", other) >= num * F.greatest("size", other)) & (c("room") >= num * other) & (room >= num * c("size"))
+    cell = F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int").alias("cell")
+    room = ((den + num) * (c("size") - c("pos")).cast("long") - num * c("size")).alias("room")
+    sums = (F.count("*").alias("_n"), F.sum("size").alias("_s"), F.sum("room").alias("_r"), F.max("room").alias("_most"), F.min("size").alias("_least"))
+    other, others = c("_s") - c("size"), c("_r") - c("room")  # of the one other entry, where there is just one
+    one = (den * F.least("size", other) >= num * F.greatest("size", other)) & (c("room") >= num * other) & (others >= num * c("size"))
     more = (c("_most") >= num * c("size")) & (c("room") >= num * c("_least"))
-    out = shared.cut(lists_.join(near, ["token", "cell"]).where(F.when(c("_n") == 2, one).otherwise((c("_n") > 2) & more)).select("token", "sid", "size", "pos"), "open")
+    may = F.when(c("_n") == 2, one).otherwise((c("_n") > 2) & more)
+    own = lists.select("token", "sid", "size", "pos", room)
+    out = shared.cut(own.join(own.groupBy("token").agg(*sums).where("_n > 1"), "token").where(may).select("token", "sid", "size", "pos"), "open")
     shared.drop(lists)
+    own = out.select("token", "sid", "size", "pos", room, cell)
+    near = own.select("token", F.explode(F.array(c("cell") - 1, c("cell"), c("cell") + 1)).alias("cell"), "size", "room")
+    last, out = out, shared.cut(own.join(near.groupBy("token", "cell").agg(*sums).where("_n > 1"), ["token", "cell"]).where(may).select("token", "sid", "size", "pos"), "open")
+    shared.drop(last)
     return out
 
 

@@ -23,25 +23,59 @@ def build_evidence(ranked: DataFrame, query: str, chunk: str, k: int) -> DataFra
     return e.withColumn("citation_id", F.substring(F.sha2(F.concat_ws("|", F.col(query).cast("string"), F.col(chunk).cast("string")), 256), 1, 16))
 
 
-def squeeze(c: Column) -> Column:
-    """Lower case without blanks: what quotes are compared by."""
-    return F.regexp_replace(F.lower(c), r"\s+", "")
+def plain(c: Column) -> Column:
+    """Entities resolved, blanks collapsed, lower case: what quotes and fields are compared by."""
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
 
 
-def validate_citations(citations: DataFrame, evidence: DataFrame, query: str = "query_id") -> DataFrame:
-    """Findings of each citation (query, chunk_id, quote): unknown chunk, out of scope, quote absent (ellipsis parts in order).
+def _address(c: Column) -> Column:
+    """A web address without fragment and last slash, scheme and host in lower case; null if it is none."""
+    c = F.trim(c)
+    form = r"^((?i:https?)://[^/?#]+)([^?#]*)(\?[^#]*)?"
+    return F.when(c.rlike(form), F.concat(F.lower(F.regexp_extract(c, form, 1)), F.regexp_replace(F.regexp_extract(c, form, 2), r"/+$", ""), F.regexp_extract(c, form, 3)))
+
+
+SAME = ("document_id", "version_id", "title", "product_version", "competitor")
 
-    evidence: query, chunk_id, text.
+
+def validate_citations(citations: DataFrame, evidence: DataFrame, query: str = "query_id") -> DataFrame:
+    """citations with `findings` and `warnings`, arrays of codes, each rule over the columns that both sides have.
+
+    citations: query, chunk_id, quote.  evidence: query, chunk_id, text.  Findings:
+    unknown_chunk; out_of_scope (known to other queries only); quote_absent (neither the
+    quote nor, in order, its two or more parts between ellipses); of columns in both,
+    where the citation states one: url_invalid (either side's), url_mismatch, and
+    <column>_mismatch for SAME, char_start, char_end and publish_time.  Warnings: no_quote,
+    and weak_level for evidence_level C or D.  An unknown chunk has no other finding.
     """
-    known = evidence.select(F.col("chunk_id").alias("_c"), F.col("text").alias("_t")).dropDuplicates(["_c"])
-    scope = evidence.select(F.col(query).alias("_q"), F.col("chunk_id").alias("_s")).distinct()
-    j = citations.join(known, F.col("chunk_id") == F.col("_c"), "left").join(scope, (F.col(query) == F.col("_q")) & (F.col("chunk_id") == F.col("_s")), "left")
-    parts = F.filter(F.split(squeeze(F.col("quote")), r"\.\.\.|…"), lambda p: p != "")
+    c = F.col
+    shared = [x for x in ("url", *SAME, "char_start", "char_end", "publish_time") if x in citations.columns and x in evidence.columns]
+    more = [*shared, *[x for x in ("evidence_level",) if x in evidence.columns]]
+    known = evidence.select(c("chunk_id").alias("_c"), c("text").alias("_t"), *[c(x).alias(f"_e_{x}") for x in more]).dropDuplicates(["_c"])
+    scope = evidence.select(c(query).alias("_q"), c("chunk_id").alias("_s")).distinct()
+    j = citations.join(known, c("chunk_id") == c("_c"), "left").join(scope, (c(query) == c("_q")) & (c("chunk_id") == c("_s")), "left")
+    have, quote, text = c("_c").isNotNull(), plain(c("quote")), plain(c("_t"))
+    parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…+"), lambda p: F.trim(p)), lambda p: p != "")
     # after each part only what follows it is searched for the next
-    rest = F.aggregate(parts, squeeze(F.col("_t")), lambda a, p: F.when(a.contains(p), F.substring(a, F.position(p, a) + F.length(p), F.length(a))))
-    present = rest.isNotNull()
-    f = F.array_compact(F.array(F.when(F.col("_c").isNull(), "unknown_chunk"), F.when(F.col("_c").isNotNull() & F.col("_s").isNull(), "out_of_scope"), F.when(F.col("_c").isNotNull() & ~present, "quote_absent")))
-    return j.withColumn("findings", f).drop("_c", "_t", "_q", "_s")
+    rest = F.aggregate(parts, text, lambda a, p: F.when(a.contains(p), F.substring(a, F.position(p, a) + F.length(p), F.length(a))))
+    present = text.contains(quote) | ((F.size(parts) > 1) & rest.isNotNull())
+    rules = [F.when(~have, "unknown_chunk"), F.when(have & c("_s").isNull(), "out_of_scope"), F.when(have & (quote != "") & ~present, "quote_absent")]
+    for x in shared:
+        stated, kept = c(x), c(f"_e_{x}")
+        if x == "url":
+            bad = _address(kept).isNull() | ((F.coalesce(stated, F.lit("")) != "") & _address(stated).isNull())
+            rules.append(F.when(have & bad, "url_invalid").when(have & (_address(stated) != _address(kept)), "url_mismatch"))
+        elif x in SAME:
+            rules.append(F.when(have & (plain(stated) != "") & (plain(stated) != plain(kept)), f"{x}_mismatch"))
+        else:
+            rules.append(F.when(have & stated.isNotNull() & ~stated.eqNullSafe(kept), f"{x}_mismatch"))
+    warn = [F.when(have & (quote == ""), "no_quote")]
+    if "evidence_level" in more:
+        warn.append(F.when(F.upper("_e_evidence_level").isin("C", "D"), "weak_level"))
+    return j.withColumns({"findings": F.array_compact(F.array(*rules)), "warnings": F.array_compact(F.array(*warn))}).drop("_c", "_t", "_q", "_s", *[f"_e_{x}" for x in more])
 
 
 def extract_facts(chunks: DataFrame, id_col: str, fields: dict[str, Column], keep: list[str]) -> DataFrame:

@@ -57,12 +57,16 @@ def first_match(text: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns])
 
 
+def page_title(h: Column) -> Column:
+    return first_match(h, r"(?is)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"", r"(?is)<h1[^>]*>([^<]*)</h1>", r"(?is)<title[^>]*>([^<]*)</title>")
+
+
 def page_metadata(pages: DataFrame) -> DataFrame:
     """Title (og:title, h1, title), canonical link, published time and author where stated."""
     h = F.col("html")
     return pages.select(
         "page_id",
-        first_match(h, r"(?is)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"", r"(?is)<h1[^>]*>([^<]*)</h1>", r"(?is)<title[^>]*>([^<]*)</title>").alias("title"),
+        page_title(h).alias("title"),
         first_match(h, r"(?is)<link[^>]+rel=\"canonical\"[^>]+href=\"([^\"]*)\"").alias("canonical_link"),
         first_match(h, r"(?is)<meta[^>]+property=\"article:published_time\"[^>]+content=\"([^\"]*)\"", r"(?is)<time[^>]+datetime=\"([^\"]*)\"").alias("published"),
         first_match(h, r"(?is)<meta[^>]+name=\"author\"[^>]+content=\"([^\"]*)\"").alias("author"),

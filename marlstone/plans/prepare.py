@@ -9,26 +9,30 @@ from ..registry import query
 RULES = {"D1": ["license", "licensed", "that"], "D2": ["und", "der", "die"], "D3": ["les", "des", "que"], "D4": ["worthless", "trash"], "D5": ["version", "email"]}
 
 
-def _sql_hits(low="low"):
+def _sql_hits(rules, low="low"):
     def one(t):
         return f"CASE WHEN regexp_matches({low}, '(^|[^a-z0-9]){t}(?:s|es)?([^a-z0-9]|$)') THEN '{t}' END"
 
-    return ", ".join(f"list_filter([{', '.join(one(t) for t in ts)}], lambda x: x IS NOT NULL) AS m_{d}" for d, ts in RULES.items())
+    return ", ".join(f"list_filter([{', '.join(one(t) for t in ts)}], lambda x: x IS NOT NULL) AS m_{d}" for d, ts in rules.items())
 
 
-_LABEL_SQL = f"""
+def label_sql(rules):
+    return f"""
  WITH d AS (SELECT doc_id, source, lower(text) AS low, CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN 'E1' WHEN CAST(substr(source, 4) AS INT) % 3 = 1 THEN 'E2' END AS event_type FROM documents),
- h AS (SELECT doc_id, event_type, {_sql_hits()} FROM d),
- t AS (SELECT *, list_filter([{", ".join(f"CASE WHEN len(m_{d}) > 0 THEN '{d}' END" for d in RULES)}], lambda x: x IS NOT NULL) AS tags, {" + ".join(f"len(m_{d})" for d in RULES)} AS n_matches FROM h),
+ h AS (SELECT doc_id, event_type, {_sql_hits(rules)} FROM d),
+ t AS (SELECT *, list_filter([{", ".join(f"CASE WHEN len(m_{d}) > 0 THEN '{d}' END" for d in rules)}], lambda x: x IS NOT NULL) AS tags, {" + ".join(f"len(m_{d})" for d in rules)} AS n_matches FROM h),
  c AS (SELECT *, CASE WHEN len(tags) = 0 THEN CASE WHEN event_type IS NOT NULL THEN 0.35 ELSE 0.0 END
         ELSE least(0.95, 0.52 + 0.08 * least(n_matches, 4) + 0.03 * least(len(tags) - 1, 3)) END AS conf FROM t)
 """
 
 
-def _labelled(table):
+_LABEL_SQL = label_sql(RULES)
+
+
+def _labelled(table, rules=RULES):
     n = F.substring("source", 4, 9).cast("int") % 3
     d = table("documents").withColumn("event_type", F.when(n == 0, "E1").when(n == 1, "E2"))
-    return labels.label(d, F.col("text"), RULES)
+    return labels.label(d, F.col("text"), rules)
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'),
@@ -37,12 +41,16 @@ def p1_normalize_text(spark, table):
     return table("documents").select("doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("digest"))
 
 
-@query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+# address, canonical address of each page
+_URLS = r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
- c AS (SELECT page_id, scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END || '/' ||
+ c AS (SELECT page_id, url, scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END || '/' ||
    array_to_string(list_filter(string_split(path, '/'), lambda s: s <> '' AND s <> '.'), '/') AS base,
-   array_to_string(list_sort(list_transform(list_filter(string_split(q, '&'), lambda k: k <> '' AND NOT starts_with(lower(k), 'utm_') AND NOT list_contains(['fbclid','gclid','igshid','mc_cid','mc_eid','ref_src'], lower(string_split(k, '=')[1]))), lambda k: CASE WHEN contains(k, '=') THEN k ELSE k || '=' END)), '&') AS q FROM u)
- SELECT base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url, count(*) AS n_pages, min(page_id) AS first_page FROM c GROUP BY 1""")
+   array_to_string(list_sort(list_transform(list_filter(string_split(q, '&'), lambda k: k <> '' AND NOT starts_with(lower(k), 'utm_') AND NOT list_contains(['fbclid','gclid','igshid','mc_cid','mc_eid','ref_src'], lower(string_split(k, '=')[1]))), lambda k: CASE WHEN contains(k, '=') THEN k ELSE k || '=' END)), '&') AS q FROM u),
+ ca AS (SELECT page_id, url, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM c) """
+
+
+@query(_URLS + "SELECT canonical_url, count(*) AS n_pages, min(page_id) AS first_page FROM ca GROUP BY 1")
 def p2_canonical_urls(spark, table):
     return prepare.canonical_urls(table("pages"))
 
@@ -88,7 +96,10 @@ def p8_drop_repeat_blocks(spark, table):
     return prepare.drop_repeat_blocks(table("documents"))
 
 
-@query(r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '')) AS title FROM pages""")
+_TITLES = r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '')) AS title FROM pages"""
+
+
+@query(_TITLES)
 def p10_page_title(spark, table):
     return prepare.page_metadata(table("pages")).select("page_id", "title")
 
@@ -143,7 +154,11 @@ def l3_label_confidence(spark, table):
     return _labelled(table).select("doc_id", F.round("confidence", 6).alias("confidence"), "needs_review")
 
 
-@query(_LABEL_SQL + "SELECT doc_id, array_to_string(list_filter([CASE WHEN event_type IS NOT NULL THEN 'source->' || event_type END, " + ", ".join(f"CASE WHEN len(m_{d}) > 0 THEN '{d}:keywords=' || array_to_string(m_{d}[1:5], ',') END" for d in RULES) + "], lambda x: x IS NOT NULL), ';') AS reasons FROM c")
+# reasons of the labels in c
+_REASONS = "array_to_string(list_filter([CASE WHEN event_type IS NOT NULL THEN 'source->' || event_type END, " + ", ".join(f"CASE WHEN len(m_{d}) > 0 THEN '{d}:keywords=' || array_to_string(m_{d}[1:5], ',') END" for d in RULES) + "], lambda x: x IS NOT NULL), ';')"
+
+
+@query(_LABEL_SQL + f"SELECT doc_id, {_REASONS} AS reasons FROM c")
 def l4_label_evidence(spark, table):
     return _labelled(table).select("doc_id", "reasons")
 

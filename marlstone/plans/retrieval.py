@@ -203,14 +203,16 @@ def e2_build_evidence(spark, table):
     return evidence.build_evidence(both, "item_id", "doc_id", 8).select("item_id", "doc_id", "position", "citation_id")
 
 
-@query("""WITH ev AS (SELECT conv_id AS query_id, conv_id || ':' || turn AS chunk_id, text, turn FROM conversations), n AS (SELECT max(conv_id) + 1 AS n FROM conversations),
- ci AS (SELECT CASE WHEN turn = 3 THEN query_id + 1 ELSE query_id END AS query_id, CASE WHEN turn = 2 THEN chunk_id || 'x' ELSE chunk_id END AS chunk_id, CASE WHEN turn = 1 THEN 'zz' || text WHEN turn = 0 AND length(text) >= 40 THEN upper(left(text, 10)) || '…' || right(text, 5) ELSE text END AS quote, turn FROM ev)
- SELECT query_id, c.chunk_id, concat_ws(',', CASE WHEN e.chunk_id IS NULL THEN 'unknown_chunk' END, CASE WHEN e.chunk_id IS NOT NULL AND e.query_id <> c.query_id THEN 'out_of_scope' END, CASE WHEN c.turn = 1 THEN 'quote_absent' END) AS findings FROM ci c LEFT JOIN (SELECT query_id, chunk_id FROM ev) e USING (chunk_id)""".replace("SELECT query_id, c.chunk_id", "SELECT c.query_id, c.chunk_id"))
+@query("""WITH ev AS (SELECT conv_id AS query_id, conv_id || ':' || turn AS chunk_id, text, turn, role FROM conversations),
+ ci AS (SELECT CASE WHEN turn = 3 THEN query_id + 1 ELSE query_id END AS query_id, CASE WHEN turn = 2 THEN chunk_id || 'x' ELSE chunk_id END AS chunk_id, text, turn FROM ev)
+ SELECT c.query_id, c.chunk_id, concat_ws(',', CASE WHEN e.chunk_id IS NULL THEN 'unknown_chunk' END, CASE WHEN e.query_id <> c.query_id THEN 'out_of_scope' END, CASE WHEN c.turn = 1 THEN 'quote_absent' END, CASE WHEN e.turn = 4 THEN 'char_end_mismatch' END) AS findings,
+  concat_ws(',', CASE WHEN e.chunk_id IS NOT NULL AND trim(c.text) = '' AND c.turn <> 1 THEN 'no_quote' END, CASE WHEN e.role <> 'user' THEN 'weak_level' END) AS warnings FROM ci c LEFT JOIN ev e USING (chunk_id)""")
 def e3_validate_citations(spark, table):
-    ev = table("conversations").select(F.col("conv_id").alias("query_id"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "text", "turn")
+    ev = table("conversations").select(F.col("conv_id").alias("query_id"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "text", "turn", F.col("role").alias("title"), F.length("text").alias("char_end"), F.when(F.col("role") == "user", "A").otherwise("C").alias("evidence_level"))
     t = F.col("turn")
-    ci = ev.select(F.when(t == 3, F.col("query_id") + 1).otherwise(F.col("query_id")).alias("query_id"), F.when(t == 2, F.concat("chunk_id", F.lit("x"))).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(t == 1, F.concat(F.lit("zz"), "text")).when((t == 0) & (F.length("text") >= 40), F.concat(F.upper(F.substring("text", 1, 10)), F.lit("…"), F.right("text", F.lit(5)))).otherwise(F.col("text")).alias("quote"))
-    return evidence.validate_citations(ci, ev).select("query_id", "chunk_id", F.concat_ws(",", "findings").alias("findings"))
+    quote = F.when(t == 1, F.concat(F.lit("zz"), "text")).when((t == 0) & (F.length("text") >= 40), F.concat(F.upper(F.substring("text", 1, 10)), F.lit("…"), F.right("text", F.lit(5)))).otherwise(F.col("text"))
+    ci = ev.select(F.when(t == 3, F.col("query_id") + 1).otherwise(F.col("query_id")).alias("query_id"), F.when(t == 2, F.concat("chunk_id", F.lit("x"))).otherwise(F.col("chunk_id")).alias("chunk_id"), quote.alias("quote"), F.upper("title").alias("title"), F.when(t == 4, F.col("char_end") + 1).otherwise(F.col("char_end")).alias("char_end"))
+    return evidence.validate_citations(ci, ev).select("query_id", "chunk_id", F.concat_ws(",", "findings").alias("findings"), F.concat_ws(",", "warnings").alias("warnings"))
 
 
 def _facts(table):

@@ -4,8 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import prepare, tables as T
+from ..operators import audit, prepare, tables as T
 from ..registry import query
+from .prepare import _HISTORY, _REASONS, _TITLES, _URLS, RULES, _labelled, history, label_sql
 
 _F1 = "CASE WHEN event_type = 'view' AND event_id % 7 = 0 OR value < 5 THEN 'skip' WHEN event_type = 'error' OR value >= 180 THEN 'acquisition_failure' WHEN event_id % 5 = 0 THEN 'missing_payload' ELSE 'process' END"
 
@@ -85,16 +86,17 @@ def f11_expand_queries(spark, table):
     return e.select("item_id", F.sha2("expanded", 256).alias("digest"), "n_added")
 
 
-_A1 = """WITH d AS (SELECT doc_id, text, n_chars, CASE WHEN doc_id % 10 = 3 THEN 'x' ELSE sha256(text) END AS stored, CAST(substr(source, 4) AS INT) AS s, doc_id % 6 AS k FROM documents),
- fi AS (SELECT doc_id, list_filter([CASE WHEN stored <> sha256(text) THEN 'hash_mismatch' END, CASE WHEN n_chars < CASE WHEN s % 3 = 0 THEN 200 WHEN s % 3 = 1 THEN 120 ELSE 80 END THEN 'too_short' END, CASE WHEN k = 0 AND n_chars > 5000 THEN 'bad_interval' END], lambda x: x IS NOT NULL) AS f FROM d) """
+# shortest contents by top-level domain
+MINIMA = {"org": 1500, "net": 1200}
+_A1 = _URLS + f""", ti AS ({_TITLES}), d AS (SELECT ca.page_id AS doc_id, ca.url, canonical_url, title, length(html) AS n, regexp_extract(ca.url, '^[a-z]+://[^/?#]*[.]([a-z]+)', 1) AS source_type FROM ca JOIN ti USING (page_id) JOIN pages USING (page_id)),
+ fi AS (SELECT doc_id, source_type, list_filter([CASE WHEN NOT regexp_matches(lower(url), '^https?://[^/?#]+') THEN 'url_invalid' WHEN url <> canonical_url THEN 'url_not_canonical' END, CASE WHEN n < CASE source_type WHEN 'org' THEN 1500 WHEN 'net' THEN 1200 ELSE 1000 END THEN 'too_short' END, CASE WHEN title IS NULL THEN 'untitled' END], lambda x: x IS NOT NULL) AS f FROM d) """
 
 
 def content_findings(table):
-    s = F.substring("source", 4, 9).cast("int") % 3
-    d = table("documents").withColumn("stored", F.when(F.col("doc_id") % 10 == 3, "x").otherwise(F.sha2("text", 256)))
-    least = F.when(s == 0, 200).when(s == 1, 120).otherwise(80)
-    f = F.array_compact(F.array(F.when(F.col("stored") != F.sha2("text", 256), "hash_mismatch"), F.when(F.col("n_chars") < least, "too_short"), F.when((F.col("doc_id") % 6 == 0) & (F.col("n_chars") > 5000), "bad_interval")))
-    return d.select("doc_id", "source", f.alias("f"))
+    p = table("pages")
+    d = p.select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("content"), F.sha2("html", 256).alias("content_hash"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*[.]([a-z]+)", 1).alias("source_type"))
+    d = d.withColumn("title", prepare.page_title(F.col("content")))
+    return audit.content_checks(d, F.lit("2024-01-20").cast("timestamp"), MINIMA, 1000).select("doc_id", "source_type", F.col("findings").alias("f"))
 
 
 @query(_A1 + "SELECT doc_id, array_to_string(f, ',') AS findings FROM fi")
@@ -102,6 +104,12 @@ def a1_content_checks(spark, table):
     return content_findings(table).select("doc_id", F.concat_ws(",", "f").alias("findings"))
 
 
+@query(_HISTORY + """SELECT user_id, version_no, concat_ws(',', CASE WHEN valid_from > TIMESTAMP '2024-01-21' OR valid_to > TIMESTAMP '2024-01-21' THEN 'future_time' END, CASE WHEN valid_to < valid_from THEN 'bad_interval' END) AS findings FROM h""")
+def a1_interval_checks(spark, table):
+    h = audit.content_checks(history(table).select("user_id", "version_no", "valid_from", "valid_to", "is_current"), F.lit("2024-01-20").cast("timestamp"))
+    return h.select("user_id", "version_no", F.concat_ws(",", "findings").alias("findings"))
+
+
 _NO = r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), rl AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, line FROM l WHERE length(line) >= 20 GROUP BY 1, 2 HAVING count(*) >= 3)),
  nf AS (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)<\s*/?\s*(?:script|style|nav|footer|header|button|input|select|option)\b') THEN 'html_artifact' END, CASE WHEN regexp_matches(text, '(?i)\b(?:accept all cookies|manage cookie preferences|cookie settings)\b') THEN 'cookie_banner' END, CASE WHEN regexp_matches(text, '(?i)(?:^|\n)\s*(?:skip to content|back to top)\s*(?:\n|$)') THEN 'navigation' END, CASE WHEN rl.doc_id IS NOT NULL THEN 'repeated_line' END) AS flags FROM documents LEFT JOIN rl USING (doc_id)) """
 
@@ -121,28 +129,40 @@ def a3_sensitive_flags(spark, table):
     return table("documents").select("source", F.explode(T.flags(F.col("text"), T.SENSITIVE)).alias("flag")).groupBy("source", "flag").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])license(?:s|es)?([^a-z0-9]|$)') AS a, regexp_matches(lower(text), '(^|[^a-z0-9])(license|licensed)(?:s|es)?([^a-z0-9]|$)') AS b FROM documents) SELECT doc_id, a AS stored, b AS recomputed FROM l WHERE a <> b""")
+# what the labels were stored by: the rules before their last terms came in
+EARLIER = {d: terms[:-1] for d, terms in RULES.items()}
+
+
+def _drift_sql():
+    kept = lambda name, rules: f"{name} AS ({label_sql(rules)} SELECT doc_id, event_type, tags, round(conf, 6) AS conf, {_REASONS} AS reasons, len(tags) = 0 OR conf < 0.55 AS needs_review FROM c)"
+    unlike = lambda x, code: f"CASE WHEN s.{x} IS DISTINCT FROM n.{x} THEN '{code}' END"
+    both = ", ".join(unlike(*p) for p in (("event_type", "event_mismatch"), ("tags", "dimension_mismatch"), ("conf", "confidence_mismatch"), ("reasons", "reasons_mismatch"), ("needs_review", "review_flag_mismatch")))
+    weak = "CASE WHEN len(s.tags) = 0 THEN 'no_dimension' WHEN n.needs_review THEN 'low_confidence' END"
+    return f"WITH {kept('s', EARLIER)}, {kept('n', RULES)} SELECT doc_id, concat_ws(',', {both}, {weak}) AS findings FROM s JOIN n USING (doc_id)"
+
+
+@query(_drift_sql())
 def a4_label_drift(spark, table):
-    low = F.lower("text")
-    d = table("documents").select("doc_id", X.matches_term(low, "license").alias("stored"), (X.matches_term(low, "license") | X.matches_term(low, "licensed")).alias("recomputed"))
-    return d.where(~F.col("stored").eqNullSafe(F.col("recomputed")))
+    return audit.label_drift(_labelled(table, EARLIER), _labelled(table)).select("doc_id", F.concat_ws(",", "findings").alias("findings"))
 
 
-@query("""SELECT page_id, concat_ws(',', CASE WHEN page_id % 17 = 0 THEN 'missing_payload' END, CASE WHEN page_id % 17 <> 0 AND page_id % 13 = 0 THEN 'hash_mismatch' END) AS findings FROM pages WHERE page_id % 17 = 0 OR page_id % 13 = 0""")
+@query(_URLS + """, f AS (SELECT canonical_url, min(page_id) AS page_id FROM ca GROUP BY 1), p AS (SELECT ca.page_id, ca.canonical_url, ca.url, html FROM ca JOIN pages USING (page_id)), r AS (SELECT p.* FROM p JOIN f USING (page_id))
+ SELECT p.page_id, concat_ws(',', CASE WHEN p.url <> r.url THEN 'path_mismatch' END, CASE WHEN p.html IS DISTINCT FROM r.html THEN 'document_hash_mismatch' END) AS findings FROM p JOIN r USING (canonical_url)""")
 def a6_lineage_checks(spark, table):
-    p = table("pages").select("page_id", F.when(F.col("page_id") % 13 == 0, F.lit("0")).otherwise(F.sha2("html", 256)).alias("stated"))
-    raw = table("pages").where("page_id % 17 <> 0").select(F.col("page_id").alias("_p"), F.sha2("html", 256).alias("digest"))
-    j = p.join(raw, F.col("page_id") == F.col("_p"), "left")
-    f = F.concat_ws(",", F.when(F.col("_p").isNull(), "missing_payload"), F.when(F.col("digest") != F.col("stated"), "hash_mismatch"))
-    return j.select("page_id", f.alias("findings")).where("findings <> ''")
+    """Every page against the first capture of its canonical address."""
+    p = table("pages").select("page_id", F.col("url").alias("path"), prepare.canonical_url(F.col("url")).alias("raw_record_id"), F.sha2("html", 256).alias("digest"))
+    p = p.withColumns({"source_type": F.lit("page"), "competitor": F.regexp_extract("raw_record_id", r"^[a-z]+://([^/?#]*)", 1)})
+    first = p.groupBy("raw_record_id").agg(F.min_by(F.struct("path", "digest", "source_type", "competitor"), "page_id").alias("x")).select("raw_record_id", "x.*", F.lit(None).cast("string").alias("error"), F.lit(200).alias("http_status"), F.col("x.digest").alias("payload_hash"))
+    docs = p.select("page_id", "raw_record_id", F.col("path").alias("raw_path"), "source_type", "competitor", F.col("digest").alias("payload_hash"))
+    return audit.lineage_checks(docs, first, "page_id").select("page_id", F.concat_ws(",", "findings").alias("findings"))
 
 
-_DE = _A1 + ", de AS (SELECT doc_id, f, CASE WHEN list_contains(f, 'hash_mismatch') OR list_contains(f, 'bad_interval') THEN 'FAIL' WHEN len(f) > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS decision FROM fi) "
+_DE = _A1 + ", de AS (SELECT doc_id, source_type, f, CASE WHEN list_contains(f, 'url_invalid') OR list_contains(f, 'url_not_canonical') THEN 'FAIL' WHEN len(f) > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS decision FROM fi) "
 
 
 def decisions(table):
     c = content_findings(table)
-    return T.decide(c.select("doc_id", F.explode("f").alias("finding")), c, {"hash_mismatch": "fail", "bad_interval": "fail", "too_short": "review"})
+    return T.decide(c.select("doc_id", F.explode("f").alias("finding")), c, dict.fromkeys(audit.FAILS, "fail"))
 
 
 @query(_DE + "SELECT doc_id, decision, array_to_string(list_sort(f), ',') AS findings FROM de")
@@ -150,11 +170,12 @@ def a7_audit_decision(spark, table):
     return decisions(table).select("doc_id", "decision", F.concat_ws(",", "findings").alias("findings"))
 
 
-@query(_DE + "SELECT 'decision' AS scope, k.code AS code, count(de.doc_id) AS n FROM (VALUES ('PASS'), ('FAIL'), ('NEEDS_REVIEW')) k(code) LEFT JOIN de ON decision = code GROUP BY 2 UNION ALL SELECT 'finding', x, count(*) FROM (SELECT unnest(f) AS x FROM de) GROUP BY 2")
+@query(_DE + "SELECT 'decision' AS scope, k.code AS code, count(de.doc_id) AS n FROM (VALUES ('PASS'), ('FAIL'), ('NEEDS_REVIEW')) k(code) LEFT JOIN de ON decision = code GROUP BY 2 UNION ALL SELECT 'finding', x, count(*) FROM (SELECT unnest(f) AS x FROM de) GROUP BY 2 UNION ALL SELECT 'source', source_type, count(*) FROM de GROUP BY 2")
 def a8_audit_summary(spark, table):
     d = decisions(table)
     codes = spark.createDataFrame([("PASS",), ("FAIL",), ("NEEDS_REVIEW",)], "code string")
     a = codes.join(d.groupBy(F.col("decision").alias("code")).agg(F.count("*").alias("n")), "code", "left").select(F.lit("decision").alias("scope"), "code", F.coalesce("n", F.lit(0)).alias("n"))
+    a = a.unionByName(content_findings(table).groupBy(F.col("source_type").alias("code")).agg(F.count("*").alias("n")).select(F.lit("source").alias("scope"), "code", "n"))
     return a.unionByName(d.select(F.explode("findings").alias("code")).groupBy("code").agg(F.count("*").alias("n")).select(F.lit("finding").alias("scope"), "code", "n"))
 
 

@@ -72,3 +72,25 @@ def round_robin(df: DataFrame, strata: list[str], id_col: str, n: int) -> DataFr
     """One row of each stratum in turn until n."""
     d = df.withColumn("_round", F.row_number().over(Window.partitionBy(*strata).orderBy(id_col)))
     return d.orderBy("_round", *strata, id_col).limit(n)
+
+
+def case_violations(cases: DataFrame, filters: list[str]) -> DataFrame:
+    """case_id, violation rows.  cases: case_id, relevant (array of ids), filters (array of names), grades (map of id to grade, or null).
+
+    no_cases (with a null case_id: the table is empty), duplicate_case, no_relevant,
+    unknown_filter, bad_grade (null, not finite or negative), relevant_without_grade (a case
+    with grades has a relevant id without a positive one).
+    """
+    c = F.col
+    grades = F.map_values("grades")
+    graded = c("grades").isNotNull() & (F.size("grades") > 0)
+    own = F.array(
+        F.when(F.coalesce(F.size("relevant"), F.lit(0)) <= 0, "no_relevant"),
+        F.when(F.exists(F.coalesce("filters", F.array().cast("array<string>")), lambda x: ~x.isin(*filters)), "unknown_filter"),
+        F.when(graded & F.exists(grades, lambda g: g.isNull() | F.isnan(g) | (g < 0) | (g == float("inf"))), "bad_grade"),
+        F.when(graded & F.exists("relevant", lambda x: ~(F.coalesce(F.try_element_at("grades", x), F.lit(0.0)) > 0)), "relevant_without_grade"),
+    )
+    each = cases.select("case_id", F.explode(F.array_compact(own)).alias("violation"))
+    twice = cases.groupBy("case_id").agg(F.count("*").alias("_n")).where("_n > 1").select("case_id", F.lit("duplicate_case").alias("violation"))
+    none = cases.agg(F.count("*").alias("_n")).where("_n = 0").select(F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), F.lit("no_cases").alias("violation"))
+    return each.distinct().unionByName(twice).unionByName(none)

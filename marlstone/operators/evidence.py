@@ -84,6 +84,34 @@ def extract_facts(chunks: DataFrame, id_col: str, fields: dict[str, Column], kee
     return chunks.select(id_col, *keep, F.explode(pairs).alias("_p")).select(id_col, *keep, "_p.field", "_p.value").where("value is not null").dropDuplicates([id_col, "field", "value"])
 
 
+PRICES = ("price_value", "currency", "billing_period")
+
+
+def stated_facts(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """id, entity, field, value of all that a chunk states, one row for each unlike value; columns that chunks lack count as null.
+
+    facts (an array of field, value, entity): each one.  fact_field, fact_value: one more.
+    source_type pricing with a plan_name: PRICES, of the plan.  repository, github_number,
+    github_state: the state, of `repository#number`.  Without an own one the entity is
+    fact_entity, entity, plan_name or `default`.  Nulls and empty values state nothing;
+    case and blanks make no difference, the first of equal ones (in binary order) stays.
+    """
+    c = lambda x: F.col(x) if x in chunks.columns else F.lit(None).cast("string")
+    known = lambda x: F.nullif(c(x).cast("string"), F.lit(""))
+    entity = F.coalesce(known("fact_entity"), known("entity"), known("plan_name"), F.lit("default"))
+    fact = lambda when, field, value, of: F.when(when, F.struct(field.cast("string").alias("field"), value.cast("string").alias("value"), of.cast("string").alias("entity")))
+    yes = F.lit(True)
+    found = F.array(
+        fact(c("fact_field").isNotNull(), c("fact_field"), c("fact_value"), entity),
+        *[fact((c("source_type") == "pricing") & known("plan_name").isNotNull(), F.lit(x), c(x), c("plan_name")) for x in PRICES],
+        fact(known("repository").isNotNull() & c("github_number").isNotNull(), F.lit("github_state"), c("github_state"), F.concat_ws("#", c("repository"), c("github_number"))),
+    )
+    if "facts" in chunks.columns:
+        found = F.concat(F.transform(F.coalesce("facts", F.array().cast(chunks.schema["facts"].dataType)), lambda x: fact(yes, x["field"], x["value"], F.coalesce(F.nullif(x["entity"], F.lit("")), entity))), found)
+    f = chunks.where(F.col(id_col).isNotNull()).select(id_col, F.explode(F.array_compact(found)).alias("_f")).select(id_col, "_f.*").where("field <> '' and value <> ''")
+    return f.groupBy(id_col, F.lower("field").alias("_l"), F.lower("entity").alias("_m"), plain(F.col("value")).alias("_v")).agg(F.min(F.struct("value", "field", "entity")).alias("_f")).select(id_col, "_f.entity", "_f.field", "_f.value")
+
+
 def detect_conflicts(facts: DataFrame, group: list[str], chunk: str, start: str = "valid_from", end: str = "valid_to", order: list[Column] | None = None) -> DataFrame:
     """One row for each group with unlike values valid at the same time: values, chunks, n_pairs, preferred.
 

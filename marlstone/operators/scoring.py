@@ -209,3 +209,73 @@ def import_runs(existing: DataFrame, batch: DataFrame, key: str, content: list[s
     j = b.join(e, F.col(key) == F.col("_k"), "left")
     act = F.when(F.col("_n") > 1, "batch_duplicate").when(F.col("_k").isNull(), "insert").when(F.col("_x") == F.col("_e"), "replayed").otherwise("conflict")
     return j.withColumn("action", act).drop("_x", "_n", "_k", "_e")
+
+
+def _of_cards(cards: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Cards with `_n`, how many distinct chunks support each."""
+    n = evidence.groupBy(F.col("card_id").alias("_c")).agg(F.countDistinct("chunk_id").alias("_n"))
+    return cards.join(n, F.col("card_id") == F.col("_c"), "left").withColumn("_n", F.coalesce("_n", F.lit(0))).drop("_c")
+
+
+WEAK, CAP, PRIORITY_CAP = 0.55, 0.3, 39  # fixed values: confidence below which a card is reviewed; caps without evidence
+
+
+def card_violations(cards: DataFrame, evidence: DataFrame, citations: DataFrame) -> DataFrame:
+    """card_id, violation: distinct rows, of the cards given.
+
+    cards: card_id, competitor, event_type, confidence, priority, has_conflicts,
+    review_required.  evidence: card_id, chunk_id, competitor, event_type.  citations:
+    card_id, kind (finding or impact), chunk_ids.  foreign_product, foreign_event (null is
+    none): evidence of another one; unknown_chunk_<kind>: a citation outside the card's
+    evidence; uncited_<kind>: no citation though there is evidence; review_missing: no
+    evidence, conflicts or low confidence without review; cap_exceeded: no evidence, but
+    more than the caps.
+    """
+    c = F.col
+    plain = lambda x: F.lower(F.trim(c(x)))
+    of = cards.select("card_id", plain("competitor").alias("_p"), c("event_type").alias("_e"))
+    e = evidence.join(of, "card_id").select("card_id", F.explode(F.array_compact(F.array(F.when(~plain("competitor").eqNullSafe(c("_p")), "foreign_product"), F.when(c("event_type").isNotNull() & ~c("event_type").eqNullSafe(c("_e")), "foreign_event")))).alias("violation"))
+    cited = citations.select("card_id", "kind", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    unknown = cited.join(evidence.select("card_id", "chunk_id"), ["card_id", "chunk_id"], "left_anti").select("card_id", F.concat(F.lit("unknown_chunk_"), "kind").alias("violation"))
+    bare = citations.where(F.coalesce(F.size("chunk_ids"), F.lit(0)) <= 0).join(evidence.select("card_id"), "card_id", "left_semi").select("card_id", F.concat(F.lit("uncited_"), "kind").alias("violation"))
+    none = c("_n") == 0
+    own = F.array(
+        F.when((none | c("has_conflicts") | (c("confidence") < WEAK)) & ~c("review_required"), "review_missing"),
+        F.when(none & ((c("confidence") > CAP) | (c("priority") > PRIORITY_CAP)), "cap_exceeded"),
+    )
+    own = _of_cards(cards, evidence).select("card_id", F.explode(F.array_compact(own)).alias("violation"))
+    return e.unionByName(unknown).unionByName(bare).distinct().join(cards.select("card_id"), "card_id", "left_semi").unionByName(own)
+
+
+def cap_cards(cards: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Cards with review_required, confidence and priority as the rules of card_violations have them."""
+    c, none = F.col, F.col("_n") == 0
+    review = c("review_required") | none | c("has_conflicts") | (c("confidence") < WEAK)
+    return _of_cards(cards, evidence).withColumns({"review_required": review, "confidence": F.when(none, F.least("confidence", F.lit(CAP))).otherwise(c("confidence")), "priority": F.when(none, F.least("priority", F.lit(PRIORITY_CAP))).otherwise(c("priority"))}).drop("_n")
+
+
+def cohort_violations(current: DataFrame, baseline: str, previous: DataFrame | None = None) -> DataFrame:
+    """cohort, violation, subject, n.  Snapshots: cohort, product (case and outer blanks make no difference), version, window_days, snapshot_date.
+
+    many_snapshots (n of a product), no_baseline (n of the cohort), mixed_version and
+    mixed_window (n unlike ones); of previous ones: many_previous, previous_unknown (the
+    product has no current one), previous_version (unlike every current one of the
+    cohort), previous_later (than the product's latest).
+    """
+    c = F.col
+    tidy = lambda d: d.withColumn("product", F.lower(F.trim("product")))
+    out = lambda d, code, subject, n: d.select("cohort", F.lit(code).alias("violation"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
+    cur = tidy(current)
+    per = cur.groupBy("cohort", "product").agg(F.count("*").alias("_n"), F.max("snapshot_date").alias("_last"))
+    all_ = cur.groupBy("cohort").agg(F.count("*").alias("_n"), F.count_if(c("product") == baseline.strip().lower()).alias("_b"), F.countDistinct("version").alias("_v"), F.countDistinct("window_days").alias("_w"), F.collect_set("version").alias("_versions"))
+    found = out(per.where("_n > 1"), "many_snapshots", c("product"), c("_n"))
+    for code, when, subject, n in (("no_baseline", "_b = 0", F.lit(baseline), c("_n")), ("mixed_version", "_v > 1", F.lit("version"), c("_v")), ("mixed_window", "_w > 1", F.lit("window_days"), c("_w"))):
+        found = found.unionByName(out(all_.where(when), code, subject, n))
+    if previous is None:
+        return found
+    prev = tidy(previous)
+    found = found.unionByName(out(prev.groupBy("cohort", "product").agg(F.count("*").alias("_n")).where("_n > 1"), "many_previous", c("product"), c("_n")))
+    j = prev.join(per.drop("_n"), ["cohort", "product"], "left").join(all_.select("cohort", "_versions"), "cohort", "left")
+    codes = F.array(F.when(c("_last").isNull(), "previous_unknown").when(c("snapshot_date") > c("_last"), "previous_later"), F.when(c("_versions").isNotNull() & ~F.array_contains("_versions", c("version")), "previous_version"))
+    j = j.select("cohort", "product", F.explode(F.array_compact(codes)).alias("violation")).groupBy("cohort", "violation", "product").agg(F.count("*").alias("n"))
+    return found.unionByName(j.select("cohort", "violation", c("product").alias("subject"), "n"))

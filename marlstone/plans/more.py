@@ -86,12 +86,13 @@ def m10_ablation_matrix(spark, table):
     return long.groupBy("grp").pivot("metric", ["recall", "mrr"]).agg(F.round(F.avg("value"), 6))
 
 
-@query("WITH c AS (SELECT item_id, text, item_id % 6 AS k FROM benchmark) SELECT item_id AS case_id, CASE k WHEN 1 THEN 'negative_grade' WHEN 2 THEN 'no_relevant' WHEN 3 THEN 'unknown_filter' END AS violation FROM c WHERE k IN (1, 2, 3)")
+@query(_GOLD + "SELECT item_id AS case_id, 'no_relevant' AS violation FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM gd) UNION ALL SELECT DISTINCT item_id, 'relevant_without_grade' FROM gd WHERE grade = 1 AND item_id IN (SELECT item_id FROM gd WHERE grade = 3)")
 def m9_case_violations(spark, table):
-    k = F.col("item_id") % 6
-    c = table("benchmark").select(F.col("item_id").alias("case_id"), F.when(k == 2, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))).alias("relevant"), F.when(k == 1, -1.0).otherwise(1.0).alias("grade"), F.when(k == 3, "colour").otherwise("lang").alias("filter"))
-    v = F.array_compact(F.array(F.when(F.col("grade") < 0, "negative_grade"), F.when(F.size("relevant") == 0, "no_relevant"), F.when(~F.col("filter").isin("lang", "source"), "unknown_filter")))
-    return c.select("case_id", F.explode(v).alias("violation"))
+    """Items as cases: relevant are all gold documents, graded those that hold the text."""
+    pair = F.when(F.col("grade") == 3, F.struct("doc_id", F.lit(1.0).alias("g")))
+    g = gold_grades(table).groupBy("item_id").agg(F.collect_list("doc_id").alias("relevant"), F.map_from_entries(F.collect_list(pair)).alias("grades"))
+    c = table("benchmark").select(F.col("item_id").alias("case_id"), F.array(F.lit("lang")).alias("filters")).join(g.withColumnRenamed("item_id", "case_id"), "case_id", "left")
+    return evaluate.case_violations(c, ["lang", "source"])
 
 
 @query(_BASE + "," + _LEX + """, p AS (SELECT item_id, doc_id, round(0.60 * rerank_score + 0.25 * CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END + 0.10 * CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END + 0.05, 8) AS combined FROM rr)

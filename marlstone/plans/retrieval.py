@@ -233,6 +233,14 @@ def e4_extract_facts(spark, table):
     return _facts(table).select("chunk_id", "pair", "field", "value")
 
 
+@query("""SELECT o_orderkey AS chunk_id, o_orderpriority AS entity, 'price_value' AS field, o_totalprice::DECIMAL(15, 2)::VARCHAR AS value FROM orders WHERE o_orderpriority <> '' UNION ALL SELECT o_orderkey, o_custkey || '#' || o_orderkey, 'github_state', o_orderstatus FROM orders""")
+def e4_stated_facts(spark, table):
+    """Orders as price statements of their priority and as issues of their customer."""
+    c = F.col
+    o = table("orders").select(c("o_orderkey").alias("chunk_id"), F.lit("pricing").alias("source_type"), c("o_orderpriority").alias("plan_name"), c("o_totalprice").cast("decimal(15,2)").alias("price_value"), c("o_custkey").alias("repository"), c("o_orderkey").alias("github_number"), c("o_orderstatus").alias("github_state"))
+    return evidence.stated_facts(o)
+
+
 @query(_fact_sql() + """, p AS (SELECT a.pair, a.field, a.chunk_id AS ca, b.chunk_id AS cb, a.value AS va, b.value AS vb FROM fa a JOIN fa b ON a.pair = b.pair AND a.field = b.field AND a.chunk_id < b.chunk_id AND a.value <> b.value AND (a.valid_to IS NULL OR b.valid_from < a.valid_to) AND (b.valid_to IS NULL OR a.valid_from < b.valid_to)),
  k AS (SELECT pair, field, count(*) AS n_pairs FROM p GROUP BY ALL), c AS (SELECT DISTINCT pair, field, unnest([ca, cb]) AS chunk_id FROM p), vals AS (SELECT pair, field, array_to_string(list_sort(list(DISTINCT x)), ',') AS conflict_values FROM (SELECT pair, field, unnest([va, vb]) AS x FROM p) GROUP BY ALL),
  w AS (SELECT c.pair, c.field, c.chunk_id, row_number() OVER (PARTITION BY c.pair, c.field ORDER BY (valid_to IS NULL) DESC, valid_from DESC, c.chunk_id DESC) AS n FROM c JOIN fa USING (pair, field, chunk_id))

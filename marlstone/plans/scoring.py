@@ -60,13 +60,21 @@ def k4_build_cards(spark, table):
     return conf.join(g, "o_orderkey", "left").select("o_orderkey", z("findings", ""), z("n_evidence", 0), z("n_impacts", 0), S.magnitude(0.68, F.col("confidence")).alias("magnitude"))
 
 
-@query("""SELECT o_orderkey AS card, concat_ws(',', CASE WHEN bool_or(l_suppkey % 7 = o_custkey % 7) THEN 'foreign_product' END, CASE WHEN count(l_orderkey) = 0 THEN 'no_evidence' END, CASE WHEN count(l_orderkey) < 2 THEN 'low_confidence' END) AS violations
- FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING violations <> ''""")
+@query("""WITH ev AS (SELECT l_orderkey AS card_id, l_partkey AS chunk_id, l_linestatus AS comp FROM lineitem WHERE l_quantity > 5), cd AS (SELECT o_orderkey AS card_id, o_orderstatus AS comp, least(1.0, o_totalprice / 400000) AS conf, o_orderpriority = '1-URGENT' AS rev FROM orders),
+ ci AS (SELECT l_orderkey AS card_id, 'finding' AS kind, [l_partkey] AS ids FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT o_orderkey, 'impact', coalesce(list(l_partkey) FILTER (l_returnflag = 'R'), []) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+ n AS (SELECT card_id, count(*) AS n FROM ev GROUP BY 1),
+ v AS (SELECT DISTINCT card_id, 'foreign_product' AS violation FROM ev JOIN cd USING (card_id) WHERE ev.comp <> cd.comp UNION ALL SELECT DISTINCT card_id, 'unknown_chunk_' || kind FROM (SELECT card_id, kind, unnest(ids) AS chunk_id FROM ci) x ANTI JOIN ev USING (card_id, chunk_id)
+  UNION ALL SELECT DISTINCT card_id, 'uncited_' || kind FROM ci JOIN n USING (card_id) WHERE len(ids) = 0 UNION ALL SELECT card_id, 'review_missing' FROM cd LEFT JOIN n USING (card_id) WHERE (n IS NULL OR conf < 0.55) AND NOT rev UNION ALL SELECT card_id, 'cap_exceeded' FROM cd LEFT JOIN n USING (card_id) WHERE n IS NULL AND conf > 0.3)
+ SELECT card_id, violation FROM v WHERE card_id IN (SELECT card_id FROM cd)""")
 def k5_card_violations(spark, table):
-    j = table("orders").join(table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    g = j.groupBy(F.col("o_orderkey").alias("card")).agg(F.bool_or(F.col("l_suppkey") % 7 == F.col("o_custkey") % 7).alias("f"), F.count("l_orderkey").alias("n"))
-    v = F.concat_ws(",", F.when(F.col("f"), "foreign_product"), F.when(F.col("n") == 0, "no_evidence"), F.when(F.col("n") < 2, "low_confidence"))
-    return g.select("card", v.alias("violations")).where("violations <> ''")
+    """Orders as cards of their status, larger line items as evidence of theirs."""
+    c, li, none = F.col, table("lineitem"), F.lit(None).cast("string")
+    ev = li.where("l_quantity > 5").select(c("l_orderkey").alias("card_id"), c("l_partkey").alias("chunk_id"), c("l_linestatus").alias("competitor"), none.alias("event_type"))
+    share = F.least(F.lit(1.0), c("o_totalprice") / 400000)
+    cards = table("orders").select(c("o_orderkey").alias("card_id"), c("o_orderstatus").alias("competitor"), none.alias("event_type"), share.alias("confidence"), F.lit(0).alias("priority"), F.lit(False).alias("has_conflicts"), (c("o_orderpriority") == "1-URGENT").alias("review_required"))
+    impact = cards.select("card_id").join(li.where("l_returnflag = 'R'").groupBy(c("l_orderkey").alias("card_id")).agg(F.collect_list("l_partkey").alias("chunk_ids")), "card_id", "left").withColumn("kind", F.lit("impact"))
+    ci = li.where("l_linenumber <= 2").select(c("l_orderkey").alias("card_id"), F.lit("finding").alias("kind"), F.array("l_partkey").alias("chunk_ids")).unionByName(impact)
+    return S.card_violations(cards, ev, ci)
 
 
 @query(_EV + f"SELECT {_FR}::DOUBLE AS weight, count(*) AS n FROM ev GROUP BY 1")
@@ -239,12 +247,12 @@ def x8_table_stakes(spark, table):
     return S.table_stakes(cells(table), bar=60.0)
 
 
-@query("SELECT 'many_snapshots' AS violation, c_mktsegment || ':' || c_nationkey AS subject, count(*) AS n FROM customer GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'no_baseline', c_nationkey::VARCHAR, count(*) FROM customer GROUP BY c_nationkey HAVING count(*) FILTER (c_mktsegment = 'AUTOMOBILE') = 0")
+@query("""WITH c AS (SELECT c_nationkey AS cohort, lower(c_mktsegment) AS product, CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS version FROM customer)
+ SELECT cohort, 'many_snapshots' AS violation, product AS subject, count(*) AS n FROM c GROUP BY 1, 3 HAVING count(*) > 1 UNION ALL SELECT cohort, 'no_baseline', 'AUTOMOBILE', count(*) FROM c GROUP BY cohort HAVING count(*) FILTER (product = 'automobile') = 0
+ UNION ALL SELECT cohort, 'mixed_version', 'version', count(DISTINCT version) FROM c GROUP BY cohort HAVING count(DISTINCT version) > 1""")
 def x9_cohort_violations(spark, table):
-    c = table("customer")
-    a = c.groupBy(F.concat_ws(":", "c_mktsegment", "c_nationkey").alias("subject")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("many_snapshots").alias("violation"), "subject", "n")
-    b = c.groupBy(F.col("c_nationkey").cast("string").alias("subject")).agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment") == "AUTOMOBILE").alias("_b")).where("_b = 0").select(F.lit("no_baseline").alias("violation"), "subject", "n")
-    return a.unionByName(b)
+    c = table("customer").select(F.col("c_nationkey").alias("cohort"), F.col("c_mktsegment").alias("product"), F.when(F.col("c_acctbal") < 0, 1).otherwise(2).alias("version"), F.lit(90).alias("window_days"), F.lit("2024-01-20").cast("date").alias("snapshot_date"))
+    return S.cohort_violations(c, "AUTOMOBILE")
 
 
 @query("""SELECT n_nationkey, coalesce(k, 0) AS n_baseline, k IS NULL AS is_default FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS k FROM customer WHERE c_mktsegment = 'AUTOMOBILE' GROUP BY 1) ON n_nationkey = c_nationkey""")

@@ -1,11 +1,11 @@
-"""Audit rules and citation checks on hand-made rows."""
+"""Checks of contents, labels, captures, citations, facts, cases, cards and cohorts on hand-made rows."""
 
 import datetime
 import hashlib
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import audit, evidence, labels
+from marlstone.operators import audit, evaluate, evidence, labels, scoring
 
 NOW = datetime.datetime(2024, 1, 20)
 DAY = datetime.timedelta(days=1)
@@ -90,3 +90,44 @@ def test_citations(spark):
     ci = spark.createDataFrame([x for x, _, _ in cases], "i string, query_id string, chunk_id string, quote string, url string, title string, char_start int, publish_time timestamp")
     got = {r.i: (list(r.findings), list(r.warnings)) for r in evidence.validate_citations(ci, ev).collect()}
     assert got == {x[0]: (f, w) for x, f, w in cases}
+
+
+def test_stated_facts(spark):
+    kind = "chunk_id string, facts array<struct<field:string,value:string,entity:string>>, fact_field string, fact_value string, source_type string, plan_name string, price_value double, currency string, repository string, github_number int, github_state string"
+    rows = [
+        ("a", [("Seats", "5", None), ("seats", " 5 ", "Default"), ("seats", "6", None), ("x", "", None), (None, "y", None)], "tier", "Pro", None, None, None, None, None, None, None),
+        ("b", None, None, None, "pricing", "Team", 9.5, "USD", None, None, None),
+        ("c", None, None, None, "issue", "Team", 9.5, None, "r", 7, "open"),
+        (None, None, "f", "v", None, None, None, None, None, None, None),
+    ]
+    got = sorted(tuple(r) for r in evidence.stated_facts(spark.createDataFrame(rows, kind)).collect())
+    assert got == [("a", "Default", "seats", " 5 "), ("a", "default", "seats", "6"), ("a", "default", "tier", "Pro"), ("b", "Team", "currency", "USD"), ("b", "Team", "price_value", "9.5"), ("c", "r#7", "github_state", "open")]
+
+
+def test_case_violations(spark):
+    nan = float("nan")
+    rows = [("fine", ["a"], ["lang"], {"a": 1.0}), ("plain", ["a"], None, None), ("twice", ["a"], [], None), ("twice", ["a"], [], None), ("empty", [], ["hue"], None), ("null", None, None, None), ("nan", ["a"], None, {"a": nan}), ("low", ["a", "b"], None, {"a": 2.0, "b": 0.0, "c": -1.0})]
+    cases = spark.createDataFrame(rows, "case_id string, relevant array<string>, filters array<string>, grades map<string,double>")
+    got = sorted(tuple(r) for r in evaluate.case_violations(cases, ["lang"]).collect())
+    assert got == [("empty", "no_relevant"), ("empty", "unknown_filter"), ("low", "bad_grade"), ("low", "relevant_without_grade"), ("nan", "bad_grade"), ("null", "no_relevant"), ("twice", "duplicate_case")]
+    assert [tuple(r) for r in evaluate.case_violations(cases.limit(0), ["lang"]).collect()] == [(None, "no_cases")]
+
+
+def test_cards(spark):
+    cards = spark.createDataFrame([(1, "Acme", "E1", 0.8, 80, False, False), (2, "acme ", "E1", 0.5, 80, False, False), (3, "acme", "E1", 0.9, 50, False, False), (4, "acme", "E1", 0.9, 50, True, False), (5, "acme", "E1", 0.3, 39, False, True)], "card_id int, competitor string, event_type string, confidence double, priority int, has_conflicts boolean, review_required boolean")
+    ev = spark.createDataFrame([(1, "a", "ACME", None), (2, "a", "other", "E2"), (2, "a", "other", "E2"), (4, "d", "acme", "E1"), (9, "z", "acme", "E1")], "card_id int, chunk_id string, competitor string, event_type string")
+    ci = spark.createDataFrame([(1, "finding", ["a"]), (2, "finding", ["b"]), (4, "impact", []), (3, "finding", []), (9, "impact", ["q"])], "card_id int, kind string, chunk_ids array<string>")
+    got = sorted(tuple(r) for r in scoring.card_violations(cards, ev, ci).collect())
+    assert got == [(2, "foreign_event"), (2, "foreign_product"), (2, "review_missing"), (2, "unknown_chunk_finding"), (3, "cap_exceeded"), (3, "review_missing"), (4, "review_missing"), (4, "uncited_impact")]
+    capped = scoring.cap_cards(cards, ev)
+    assert {r.card_id: (r.confidence, r.priority, r.review_required) for r in capped.collect()} == {1: (0.8, 80, False), 2: (0.5, 80, True), 3: (0.3, 39, True), 4: (0.9, 50, True), 5: (0.3, 39, True)}
+    assert not {"review_missing", "cap_exceeded"} & {r.violation for r in scoring.card_violations(capped, ev, ci).collect()}
+
+
+def test_cohorts(spark):
+    kind = "cohort int, product string, version string, window_days int, snapshot_date date"
+    d = lambda n: datetime.date(2024, 1, n)
+    cur = spark.createDataFrame([(1, "Base", "v1", 90, d(9)), (1, "Other", "v1", 90, d(9)), (2, "Other", "v1", 90, d(9)), (2, " other", "v2", 30, d(9))], kind)
+    prev = spark.createDataFrame([(1, "base", "v1", 90, d(8)), (1, "other", "v0", 90, d(10)), (1, "new", "v1", 90, d(1)), (1, "BASE", "v1", 90, d(7))], kind)
+    got = sorted(tuple(r) for r in scoring.cohort_violations(cur, "base", prev).collect())
+    assert got == [(1, "many_previous", "base", 2), (1, "previous_later", "other", 1), (1, "previous_unknown", "new", 1), (1, "previous_version", "other", 1), (2, "many_snapshots", "other", 2), (2, "mixed_version", "version", 2), (2, "mixed_window", "window_days", 2), (2, "no_baseline", "base", 2)]

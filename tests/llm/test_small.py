@@ -147,6 +147,19 @@ def test_words(spark, docs, texts, empty):
     assert debruijn.remove(empty).count() == 0
 
 
+def test_words_of_one_hash(spark):
+    """Spots that share a key by chance are told apart by their words."""
+    d = repeats.rows(spark.createDataFrame([(1, "a b c d e"), (2, "a b c x y"), (3, "q a b c"), (4, "a b c")], "doc_id long, text string"))
+    rid = {r["doc_id"]: r["rid"] for r in d.collect()}
+    spots = [(1, 0, 3, 7, True), (2, 0, 3, 7, True), (3, 0, 3, 7, True), (3, 1, 4, 8, True), (4, 0, 3, 8, False), (1, 2, 5, 9, True), (2, 2, 5, 9, True)]
+    spots = spark.createDataFrame([(rid[i], *x) for i, *x in spots], "rid long, s long, e long, key long, own boolean")
+    same([tuple(r) for r in debruijn.verified(d, spots).collect()], [(rid[1], 0, 3), (rid[2], 0, 3), (rid[3], 1, 4)])
+    # pieces 5 (twice, by chance) and 6: all of gram 1 are looked at window by window, gram 2 stays as it was
+    f = spark.createDataFrame([(1, 1, 5, 0, 2, True, False), (2, 1, 5, 4, 2, True, True), (3, 1, 6, 0, 1, True, False), (4, 2, 9, 0, 3, False, True), (5, 2, 8, 0, 3, True, False)], "rid long, gram long, piece long, a long, m int, whole boolean, probe boolean")
+    odd = spark.createDataFrame([(5,)], "piece long")
+    same([tuple(r) for r in debruijn.taken_apart(f, odd).collect()], [(1, 0, 2, False), (2, 4, 2, False), (3, 0, 1, True), (4, 0, 3, False)])
+
+
 def fold(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 

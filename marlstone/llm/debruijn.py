@@ -66,8 +66,8 @@ def repeated_edges(d: DataFrame, unit: str, window: int, open_: DataFrame) -> Da
                     h = spans.hash(at + off[i], at + off[i] + window).view(np.int64)
                     yield pa.record_batch([pa.array(h), pa.array(np.full(len(at), rid[s.first + i])), pa.array(at), pa.array(own)], names=["key", "rid", "s", "own"])
 
-    edges = texts.select("rid", "text", "spots").mapInArrow(work, "key long, rid long, s long, own boolean")
-    twice = edges.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    edges = shared.cut(texts.select("rid", "text", "spots").mapInArrow(work, "key long, rid long, s long, own boolean"), "edges")
+    twice = shared.cut(edges.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "twice")
     return edges.join(twice, "key").select("rid", "s", (F.col("s") + window).alias("e"), "key", "own")
 
 

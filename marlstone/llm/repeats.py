@@ -75,19 +75,29 @@ def flagged(d: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     different contents of the gram.
     """
     p = pieces(d, unit, window, k)
-    twice = p.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
-    return rivalry(shared.cut(p.join(twice, "gram"), "grams"))
+    twice = shared.cut(p.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"), "twice")
+    grams = shared.cut(shared.matching(p, twice, "gram"), "grams")
+    f = rivalry(grams)
+    shared.drop(twice, grams)
+    return f
 
 
 def rivalry(s: DataFrame) -> DataFrame:
-    """Adds whole, probe and rivals to pieces (rid, gram, piece, a, m)."""
-    own = s.groupBy("gram", "piece").agg(F.count("*").alias("_n"), F.min(F.struct("rid", "a")).alias("_first"))
-    per = own.groupBy("gram").agg(F.count("*").alias("rivals"), F.max(F.col("_n") == 1).alias("_open"))
-    own = own.join(per, "gram").withColumnRenamed("gram", "_g")
-    f = s.join(own, (F.col("gram") == F.col("_g")) & (s["piece"] == own["piece"])).drop(own["piece"]).drop("_g")
+    """Pieces (rid, gram, piece, a, m) that are whole or probes, with whole, probe and rivals.
+
+    Counts are written before they are joined, so that both sides of every join are plain
+    shuffles and a gram or a content with very many rows can be split between tasks.
+    """
+    counts = shared.cut(s.groupBy("gram", "piece").agg(F.count("*").alias("_n"), F.min(F.struct("rid", "a")).alias("_first")), "contents")
+    per = counts.groupBy("gram").agg(F.count("*").alias("rivals"), F.max(F.col("_n") == 1).alias("_open")).where("rivals > 1 and _open").drop("_open")
+    per = shared.cut(per, "rivals")
+    own = shared.cut(counts.join(per, "gram", "left").where("_n > 1 or rivals is not null"), "judged")
+    first = (F.col("_first.rid") == F.col("rid")) & (F.col("_first.a") == F.col("a"))
     whole = F.col("_n") > 1
-    probe = (F.col("rivals") > 1) & F.col("_open") & (~whole | ((F.col("_first.rid") == F.col("rid")) & (F.col("_first.a") == F.col("a"))))
-    return shared.cut(f.select("rid", "gram", "piece", "a", "m", "rivals", whole.alias("whole"), probe.alias("probe")), "flagged")
+    f = s.join(own, ["gram", "piece"])
+    f = shared.cut(f.select("rid", "gram", "piece", "a", "m", F.coalesce("rivals", F.lit(1)).alias("rivals"), whole.alias("whole"), (F.col("rivals").isNotNull() & (~whole | first)).alias("probe")), "flagged")
+    shared.drop(counts, per, own)
+    return f
 
 
 def split(d: DataFrame, heavy: DataFrame, unit: str, window: int, k: int, step: int) -> DataFrame:

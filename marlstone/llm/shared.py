@@ -103,6 +103,6 @@ def sift(d: DataFrame, bitmap: np.ndarray, col: str) -> DataFrame:
 
 
 def matching(d: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows of d whose `col` may be among those of ids: by bitmap while ids are few, else by a join."""
+    """Rows of d whose `col` may be among those of ids, a written table: by bitmap while ids are few, else by a join."""
     bitmap = sieve(ids, col)
-    return d.join(ids.select(col).distinct(), col, "left_semi").select(d.columns) if bitmap is None else sift(d, bitmap, col)
+    return d.join(ids.select(col), col, "left_semi").select(d.columns) if bitmap is None else sift(d, bitmap, col)

@@ -78,7 +78,29 @@ def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove(table(spark, sf_dir, "documents")).drop("n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_preference_pairs, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op6_template_decontamination, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules)}
+def read_periodically(doc_id: int | None, n: int):
+    """Of documents whose crc32 of the id ends in 0: word i >= a is word a + (i - a) % p of the text; other texts are read as they are."""
+    import zlib
+
+    import numpy as np
+
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i >= a, a + (i - a) % p, i)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    return periodic.digest(periodic.detect(table(spark, sf_dir, "documents"), reorder=read_periodically))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_preference_pairs, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op6_template_decontamination, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules, op11_periodic_runs)}
 
 ORACLE_SQL = {
     "op2_preference_pairs": """

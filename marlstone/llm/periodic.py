@@ -110,10 +110,8 @@ def detect(docs: DataFrame, times: int = 4, least: int = 6, id_col: str = "doc_i
                 s.words()
                 at, off = _sequences(s, ids, reorder)
                 size = s.end - s.start
-                ends = np.append(0, np.cumsum(size)).astype(np.int64)
-                packed = np.ascontiguousarray(s.data[textkit.IS_WORD[s.data]])
-                each = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
-                word = np.asarray(each.indices).astype(np.int64)[at] + s.row * max(len(each.dictionary), 1)
+                each, names, _ = s.distinct()
+                word = each[at] + s.row * len(names)
                 first, length, period = find(word, off[1:][s.row], times, least)
                 edge = np.zeros(len(at) + 1, np.int64)
                 np.add.at(edge, first + period, 1)

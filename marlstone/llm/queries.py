@@ -100,7 +100,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.detect(table(spark, sf_dir, "documents"), reorder=read_periodically))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_preference_pairs, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op6_template_decontamination, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules, op11_periodic_runs)}
+def op12_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import align
+
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_preference_pairs, op3_suffix_array_dedup, op4_warc_bundles, op5_weighted_fair_mix, op6_template_decontamination, op7_shingle_set_join, op8_language_codes, op9_debruijn_dedup, op10_quality_rules, op11_periodic_runs, op12_counterfactual_toxicity, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op2_preference_pairs": """

@@ -89,6 +89,16 @@ class Slice:
         self.row = np.repeat(np.arange(self.rows), np.diff(self.word_off))
         self.h = Spans(_BYTE[LOWER[d] if fold else d]).hash(self.start, self.end)
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After words(): each word's number, and the distinct words as offsets into their bytes, one after another."""
+        ends = np.append(0, np.cumsum(self.end - self.start)).astype(np.int64)
+        packed = np.ascontiguousarray(self.data[IS_WORD[self.data]])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
+        own = coded.dictionary
+        off = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1) if len(own) else np.zeros(1, np.int64)
+        data = np.frombuffer(own.buffers()[2], np.uint8) if len(own) else np.zeros(0, np.uint8)
+        return np.asarray(coded.indices).astype(np.int64), off, data
+
     def bytes_hash(self) -> Spans:
         return Spans(_BYTE[self.data])
 

@@ -81,7 +81,9 @@ class PieceTokens(tokens.Encoder):
         return np.flatnonzero(begin)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        got = self.sp.encode([x[1:].decode("utf-8", "replace") for x in pieces], num_threads=1)  # the library puts the first space back
+        # the library puts the first space back, but makes nothing of a text that is empty without it (a single space at a text's end)
+        got = self.sp.encode([x[1:].decode("utf-8", "replace") for x in pieces], num_threads=1)
+        got = [y if x != b" " else [self.sp.piece_to_id("▁")] for x, y in zip(pieces, got)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import flatten
 from ..operators import chunks, evaluate, html, retrieval, tables
-from ..registry import query
+from ..registry import query, scratch
+from ..sources import published
 from .retrieval import _BASE, _LEX, bm, candidates, dense_docs
 
 
@@ -136,9 +137,8 @@ def r11_retrieve_trace(spark, table):
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents")
 def i6_publish_index(spark, table):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = scratch(spark, "index")
     d = table("documents").select("doc_id", "source", "lang", "n_chars")
-    tables.publish_index(d, f"{base.rstrip('/')}/marlstone-index-{uuid.uuid4().hex[:12]}", "1", True, "marlstone_index")
-    return spark.table("marlstone_index")
+    tables.publish_index(d.where("false"), root, "empty", True)
+    tables.publish_index(d, root, "whole", True, rows=d.count(), check=lambda x: x.groupBy("doc_id").count().where("count > 1").count())
+    return published.read(spark, root)

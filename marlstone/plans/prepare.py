@@ -262,3 +262,11 @@ def a5_interval_checks(spark, table):
 @query(_HISTORY + "SELECT user_id, event_type, version_no FROM h WHERE valid_from <= TIMESTAMP '2024-01-10' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-10')")
 def f3_as_of(spark, table):
     return versions.as_of(history(table), F.lit("2024-01-10").cast("timestamp")).select("user_id", "event_type", "version_no")
+
+
+@query(_HISTORY + """, p AS (SELECT event_id, user_id, ts + INTERVAL 5 HOUR AS at FROM events UNION ALL SELECT event_id, user_id, ts - INTERVAL 5 HOUR FROM events)
+  SELECT p.event_id, epoch_us(p.at) AS at_us, h.version_no, h.event_type FROM p LEFT JOIN h ON h.user_id = p.user_id AND h.valid_from <= p.at AND (h.valid_to IS NULL OR h.valid_to > p.at)""")
+def f3_as_of_join(spark, table):
+    e = table("events").select("event_id", "user_id", F.explode(F.array(F.col("ts") + F.expr("interval 5 hours"), F.col("ts") - F.expr("interval 5 hours"))).alias("at"))
+    j = versions.as_of_join(e, history(table), "user_id", "at", ["version_no", "event_type"])
+    return j.select("event_id", F.unix_micros("at").alias("at_us"), "version_no", "event_type")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import audit, prepare, tables as T
-from ..registry import query
+from ..registry import query, scratch
 from .prepare import _HISTORY, _REASONS, _TITLES, _URLS, RULES, _labelled, history, label_sql
 
 _F1 = "CASE WHEN event_type = 'view' AND event_id % 7 = 0 OR value < 5 THEN 'skip' WHEN event_type = 'error' OR value >= 180 THEN 'acquisition_failure' WHEN event_id % 5 = 0 THEN 'missing_payload' ELSE 'process' END"
@@ -304,6 +304,19 @@ def t3_rate_demand(spark, table):
     return jobs.rate_batch(table("events"), "user_id", "ts", 60).select("user_id", "event_id", "n_last")
 
 
+@query()
+def t3_rate_stream(spark, table):
+    """The events as a stream of their files, 3 requests in 6 hours; verdicts read back from the stream's sink."""
+    from ..streaming import rates
+
+    e = table("events")
+    to = scratch(spark, "rates")
+    e.select("event_id", "user_id", "ts").write.parquet(f"{to}/in")
+    stream = spark.readStream.schema(e.select("event_id", "user_id", "ts").schema).parquet(f"{to}/in")
+    rates.rate_stream(stream, "user_id", "ts", "event_id", 3, 21600).writeStream.option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start(f"{to}/out", format="parquet").awaitTermination()
+    return spark.read.parquet(f"{to}/out").select("event_id", "user_id", "allowed")
+
+
 @query("SELECT user_id, epoch_us(max(ts)) AS last_us, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR AS lost FROM events GROUP BY 1")
 def t4_stale_batch(spark, table):
     e = table("events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -15,6 +16,12 @@ def read(spark, sf_dir: str, name: str):
     return df.withColumns({c: df[c].cast("timestamp") for c in plain}) if plain else df
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/marlstone-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def query(sql: str | None = None) -> Callable:
     """Registers a function (spark, table) -> DataFrame under its name; table(name) reads a given table."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import published
+
 CAPTURE = "schema_version string, raw_record_id string, crawl_run_id string, competitor string, source_type string, requested_url string, canonical_url string, final_url string, fetched_at timestamp, published_at timestamp, http_status int, content_type string, etag string, last_modified string, payload_path string, payload_hash string, error string, needs_browser boolean, source_metadata string, _bad string"
 DOCUMENT = "document_id string, version_id string, raw_record_id string, raw_path string, competitor string, title string, content string, source_type string, evidence_level string, url string, raw_version string, product_version string, publish_time timestamp, crawl_time timestamp, event_type string, dimension_tags array<string>, content_hash string, is_current boolean, valid_from timestamp, valid_to timestamp, index_status string, language string, author string, source_metadata string, label_confidence double, label_reasons array<string>, needs_review boolean, _bad string"
 RUN_COLUMNS = ("run_id", "competitor", "task_id", "task_revision", "task_success", "compile_success", "test_pass_rate", "edit_rounds", "latency_ms", "estimated_cost", "validator_sha256")
@@ -128,13 +130,11 @@ def read_config_table(spark: SparkSession, mapping: dict[str, list[str]], key: s
     return F.broadcast(spark.createDataFrame(rows, f"{key} string, {value} string, seq int"))
 
 
-def write_versioned(df: DataFrame, root: str, version: str, failures: DataFrame | None = None, view: str = "documents_current") -> bool:
-    """Writes a new version and moves the view to it; with any failure the old output stays."""
+def write_versioned(df: DataFrame, root: str, version: str, failures: DataFrame | None = None, **checks) -> bool:
+    """Publishes a new version of a derived table (see published.publish); with any failure the old output stays."""
     if failures is not None and not failures.isEmpty():
         return False
-    path = f"{root}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    df.sparkSession.read.parquet(path).createOrReplaceTempView(view)
+    published.publish(df, root, version, **checks)
     return True
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import flatten, hooks
 from marlstone.functions import text as X
 from marlstone.operators import chunks, evidence, html, prepare, retrieval, versions
-from marlstone.sources import files
+from marlstone.sources import files, published
 from marlstone.streaming import jobs
 
 
@@ -207,8 +207,8 @@ def test_json_documents(spark):
 
 def test_sinks(spark, tmp_path):
     d = spark.range(3)
-    assert files.write_versioned(d, str(tmp_path / "v"), "1") and spark.table("documents_current").count() == 3
-    assert not files.write_versioned(spark.range(9), str(tmp_path / "v"), "2", failures=spark.range(1)) and spark.table("documents_current").count() == 3
+    assert files.write_versioned(d, str(tmp_path / "v"), "1") and published.read(spark, str(tmp_path / "v")).count() == 3
+    assert not files.write_versioned(spark.range(9), str(tmp_path / "v"), "2", failures=spark.range(1)) and published.read(spark, str(tmp_path / "v")).count() == 3
     log = spark.createDataFrame([("old",)], "digest string")
     assert [(r.expected, r.found, r.ok) for r in files.import_bundle(spark, {"t": 3}, {"t": d}, "new", log).collect()] == [(3, 3, True)]
     assert files.import_bundle(spark, {"t": 3}, {"t": d}, "old", log).count() == 0

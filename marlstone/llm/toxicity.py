@@ -221,7 +221,7 @@ def _matrix(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(cols)), [len(x) for x in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int32)
 
 
-def fit(rows: list, total: dict[int, int], width: int, penalty: float = 1.0, ridge: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit(rows: list, total: dict[int, int], width: int, penalty: float = 1.0, ridge: float = 3e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of least weighted log loss + ridge + penalty * mean squared change of log odds over the swaps."""
     real = sorted((r for r in rows if r["label"] is not None), key=lambda r: (r["label"], repr(r["doc_id"]), bytes(r["has"])))
     swap = sorted((r for r in rows if r["label"] is None), key=lambda r: (bytes(r["has"]), bytes(r["lacks"])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches_term
+from ..functions import keywords
 
 
 def event_by_source(df: DataFrame, source: str, events: DataFrame) -> DataFrame:
@@ -13,16 +13,15 @@ def event_by_source(df: DataFrame, source: str, events: DataFrame) -> DataFrame:
     return df.join(F.broadcast(events.withColumnRenamed("source", "_s")), F.col(source) == F.col("_s"), "left").drop("_s")
 
 
-def tag_dimensions(text: Column, rules: dict[str, list[str]]) -> dict[str, Column]:
-    """For each dimension the array of its terms that occur, in rule order."""
-    low = F.lower(text)
-    return {d: F.array_compact(F.array(*[F.when(matches_term(low, t), F.lit(t)) for t in terms])) for d, terms in rules.items()}
+def tag_dimensions(hits: Column, rules: dict[str, list[str]]) -> dict[str, Column]:
+    """For each dimension the array of its terms among the hits (see keywords.occurrences), in rule order."""
+    return {d: keywords.held(hits, terms) for d, terms in rules.items()}
 
 
 def label(df: DataFrame, text: Column, rules: dict[str, list[str]], event: str = "event_type", threshold: float = 0.55) -> DataFrame:
-    """Adds dimension_tags, n_matches, confidence, needs_review and reasons."""
-    hits = tag_dimensions(text, rules)
-    out = df.withColumns({f"_m_{d}": c for d, c in hits.items()})
+    """Adds dimension_tags, n_matches, confidence, needs_review and reasons; all terms are met in one pass over the text."""
+    found = df.withColumn("_hits", keywords.occurrences(F.lower(text), [t for ts in rules.values() for t in ts], tokens=True))
+    out = found.withColumns({f"_m_{d}": c for d, c in tag_dimensions(F.col("_hits"), rules).items()}).drop("_hits")
     have = lambda d: F.size(f"_m_{d}") > 0
     out = out.withColumn("dimension_tags", F.array_compact(F.array(*[F.when(have(d), F.lit(d)) for d in rules])))
     out = out.withColumn("n_matches", sum((F.size(f"_m_{d}") for d in rules), F.lit(0)).cast("long"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keywords
 from ..sources import published
 
 # fixed values: what noise and sensitive content look like
@@ -36,43 +37,47 @@ def route_records(df: DataFrame, status: Column, error: Column, payload: Column,
     return df.withColumn("route", r)
 
 
-def metadata_filter(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk columns) where all of the query's filters hold.
-
-    queries: query_id, any_source, any_lang (arrays; empty means any), current_only, start, end.
-    An empty list passes all; a null publish time fails a stated range.
-    """
-    has = lambda q, c: (F.size(q) == 0) | F.array_contains(F.transform(q, lambda x: F.lower(x)), F.lower(c))
-    ranged = F.col("q_start").isNotNull() | F.col("q_end").isNotNull()
-    inside = F.col("published").isNotNull() & (F.col("q_start").isNull() | (F.col("published") >= F.col("q_start"))) & (F.col("q_end").isNull() | (F.col("published") <= F.col("q_end")))
-    ok = has(F.col("any_source"), F.col("source")) & has(F.col("any_kind"), F.col("kind")) & (~F.col("current_only") | F.col("is_current")) & (~ranged | inside)
-    return chunks.join(F.broadcast(queries), ok)
-
-
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of rows with the total count and number of pages."""
     total = df.agg(F.count("*").alias("total"))
     return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size))
 
 
-def infer_filters(questions: DataFrame, id_col: str, text: str, aliases: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
-    """Longest matching alias, keyword kinds, version literals and a relative window in days, from question text."""
+def infer_filters(questions: DataFrame, id_col: str, text: str, aliases: DataFrame, kinds: dict[str, list[str]], explicit: DataFrame | None = None) -> DataFrame:
+    """id, kinds, versions, days, current, competitor from question text: the longest alias, keyword kinds, version literals, a relative window, a wish for the current state.
+
+    aliases: alias, canonical.  explicit: id, competitor, days, current as they were asked
+    for; what is stated there wins.
+    """
     low = F.lower(F.col(text))
-    hit = questions.select(id_col, low.alias("_t")).join(F.broadcast(aliases), F.expr("instr(_t, alias) > 0"))
-    best = hit.groupBy(id_col).agg(F.max_by("canonical", F.struct(F.length("alias"), "canonical")).alias("competitor"))
-    kind = F.array_compact(F.array(*[F.when(low.rlike("(" + "|".join(ws) + ")"), F.lit(k)) for k, ws in kinds.items()]))
+    named = keywords.occurring(questions, id_col, low, aliases, "alias").join(aliases.select(F.lower("alias").alias("term"), "canonical"), "term")
+    best = named.groupBy(id_col).agg(F.max_by("canonical", F.struct(F.length("term"), "canonical")).alias("competitor"))
+    now = ("latest", "current", "currently", "newest", "最新", "当前", "目前")
+    words = sorted({w for ws in kinds.values() for w in ws} | set(now))
+    q = questions.select(id_col, low.alias("_t"), keywords.occurrences(low, words).alias("_hits"))
+    found = F.transform("_hits", lambda x: x["term"])
+    any_of = lambda ws: F.arrays_overlap(found, F.array(*[F.lit(w) for w in ws]))
+    kind = F.array_compact(F.array(*[F.when(any_of(ws), F.lit(k)) for k, ws in kinds.items()]))
     rel = r"(?:last|past)\s*(\d+)\s*(day|week|month|year)s?"
-    n, unit = F.regexp_extract(low, rel, 1), F.regexp_extract(low, rel, 2)
+    n, unit = F.regexp_extract("_t", rel, 1), F.regexp_extract("_t", rel, 2)
     days = n.try_cast("int") * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).when(unit == "year", 365)
-    versions = F.regexp_extract_all(low, F.lit(r"\bv?(\d+(?:\.\d+){1,3})\b"), 1)
-    return questions.select(id_col, kind.alias("kinds"), versions.alias("versions"), days.alias("days")).join(best, id_col, "left")
+    versions = F.regexp_extract_all("_t", F.lit(r"\bv?(\d+(?:\.\d+){1,3})\b"), 1)
+    out = q.select(id_col, kind.alias("kinds"), versions.alias("versions"), days.alias("days"), any_of(now).alias("current")).join(best, id_col, "left")
+    if explicit is not None:
+        e = explicit.select(F.col(id_col).alias("_i"), *[F.col(c).alias(f"_{c}") for c in ("competitor", "days", "current")])
+        out = out.join(e, F.col(id_col) == F.col("_i"), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("competitor", "days", "current")}).drop("_i", "_competitor", "_days", "_current")
+    return out
 
 
 def expand_queries(questions: DataFrame, id_col: str, text: str, synonyms: DataFrame) -> DataFrame:
     """Synonyms (term, synonym, seq) of terms in the question that it lacks, appended in order."""
     q = questions.select(id_col, F.col(text).alias("_t"))
-    hit = q.join(F.broadcast(synonyms), F.expr("instr(lower(_t), term) > 0 and instr(lower(_t), synonym) = 0"))
-    add = hit.groupBy(id_col, "synonym").agg(F.min("seq").alias("seq")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "synonym"))).alias("_s"))
+    s = synonyms.select(F.lower("term").alias("term"), "synonym", "seq")
+    both = s.select("term").unionByName(s.select(F.lower("synonym").alias("term")))
+    held = keywords.occurring(q, id_col, F.lower("_t"), both, "term").select(id_col, "term")
+    add = held.join(s, "term").groupBy(id_col, "synonym").agg(F.min("seq").alias("seq"))
+    add = add.join(held.withColumnRenamed("term", "_k"), [add[id_col] == held[id_col], F.lower("synonym") == F.col("_k")], "left_anti")
+    add = add.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "synonym"))).alias("_s"))
     j = q.join(add, id_col, "left")
     extra = F.array_join(F.transform("_s", lambda x: x["synonym"]), " ")
     return j.select(id_col, F.concat_ws(" ", "_t", extra).alias("expanded"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_added"))

@@ -63,6 +63,28 @@ def r1_bm25_topk(spark, table):
     return bm(table, 5)
 
 
+_FILTERED = f"""WITH q AS (SELECT item_id, text, CASE item_id % 4 WHEN 0 THEN ['en'] WHEN 1 THEN ['de', 'fr'] WHEN 2 THEN [] ELSE ['es'] END AS langs, CASE WHEN item_id % 3 = 0 THEN [] ELSE ['src' || (item_id % 5), 'src' || (item_id % 5 + 7)] END AS sources FROM benchmark),
+ m AS (SELECT item_id, doc_id, d.text FROM q, documents d WHERE (len(langs) = 0 OR list_contains(langs, lang)) AND (len(sources) = 0 OR list_contains(sources, source))),
+ dt AS (SELECT doc_id, unnest({_W.format(c="text")}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY ALL),
+ st AS (SELECT item_id, count(*) AS n, sum(coalesce(len, 0)) / count(*) AS avg_len FROM m LEFT JOIN dl USING (doc_id) GROUP BY item_id),
+ qt AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_W.format(c="text")}) AS term FROM benchmark) GROUP BY ALL),
+ h AS (SELECT m.item_id, m.doc_id, tf.term, tf, len, qn FROM m JOIN qt ON m.item_id = qt.item_id JOIN tf ON tf.doc_id = m.doc_id AND tf.term = qt.term JOIN dl ON dl.doc_id = m.doc_id),
+ f AS (SELECT item_id, term, count(*) AS df FROM h GROUP BY ALL),
+ sc AS (SELECT h.item_id, h.doc_id, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM h JOIN f ON f.item_id = h.item_id AND f.term = h.term JOIN st ON st.item_id = h.item_id GROUP BY ALL)
+ SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query(_FILTERED)
+def r1_bm25_filtered(spark, table):
+    """Every question within documents of its own languages and sources."""
+    i = F.col("item_id")
+    empty = F.array().cast("array<string>")
+    langs = F.when(i % 4 == 0, F.array(F.lit("EN"))).when(i % 4 == 1, F.array(F.lit("de"), F.lit("fr"))).when(i % 4 == 2, empty).otherwise(F.array(F.lit("es")))
+    sources = F.when(i % 3 == 0, empty).otherwise(F.array(F.concat(F.lit("src"), (i % 5).cast("string")), F.concat(F.lit("src"), (i % 5 + 7).cast("string"))))
+    q = table("benchmark").select("item_id", "text", langs.alias("any_lang"), sources.alias("any_source"))
+    return retrieval.bm25_filtered(q, table("documents"), "item_id", "text", "doc_id", {"text": 1}, 10, {"any_lang": "lang", "any_source": "source"})
+
+
 _DENSE = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n, label FROM embeddings),
  s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_inner_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.n > 0 AND v.n > 0 AND len(q.e) = len(v.e)),
  d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10),

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, prepare, tables as T
+from ..operators import audit, filters, prepare, tables as T
 from ..registry import query, scratch
 from .prepare import _HISTORY, _REASONS, _TITLES, _URLS, RULES, _labelled, history, label_sql
 
@@ -25,7 +25,7 @@ def f2_metadata_filter(spark, table):
     q = spark.createDataFrame([(1, ["1", "2", "3"], [], False, None, None), (2, [], ["PURCHASE", "click"], True, None, None), (3, [], ["error"], False, "2024-01-05", "2024-01-20"), (4, ["7"], ["view"], False, "2024-01-10", None)], "query_id int, any_source array<string>, any_kind array<string>, current_only boolean, s string, e string")
     q = q.select("query_id", "any_source", "any_kind", "current_only", F.to_date("s").alias("q_start"), F.to_date("e").alias("q_end"))
     e = table("events").select("event_id", F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("kind"), (F.col("event_id") % 2 == 0).alias("is_current"), F.when(F.col("event_id") % 10 != 0, F.to_date("ts")).alias("published"))
-    return T.metadata_filter(e, q).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+    return filters.metadata_filter(e, q).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-21' - INTERVAL 14 DAY AND ts < TIMESTAMP '2024-01-21' GROUP BY 1")

@@ -127,7 +127,9 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
 def write(decided: DataFrame, to: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 25, level: int = 3, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes the bundles and returns the record index (a written table).
 
-    A task bundles its rows in the order in which they come; a page is found by the index.
+    A task bundles its rows in a total order (by page, and rows alike in that by all the
+    rest), so that a task that is run again writes the same files, and the index that is
+    kept agrees with them whichever attempt wrote last.
     """
     shared.make(decided.sparkSession, to)
 
@@ -153,7 +155,8 @@ def write(decided: DataFrame, to: str, frame_bytes: int = 1 << 18, bundle_bytes:
         if rows:
             yield flush()
 
-    return shared.cut(decided.select("page_id", "url", "payload", "digest", "bytes", "refers_to").mapInArrow(work, INDEX), "warc-index")
+    rows = decided.select("page_id", "url", "payload", "digest", "bytes", "refers_to").sortWithinPartitions("page_id", "digest", "url", "refers_to")
+    return shared.cut(rows.mapInArrow(work, INDEX), "warc-index")
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:

@@ -68,16 +68,13 @@ def repeated_edges(d: DataFrame, unit: str, window: int, open_: DataFrame) -> Da
 
     edges = shared.cut(texts.select("rid", "text", "spots").mapInArrow(work, "key long, rid long, s long, own boolean"), "edges")
     twice = shared.cut(edges.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "twice")
-    return edges.join(twice, "key").select("rid", "s", (F.col("s") + window).alias("e"), "key", "own")
+    out = shared.cut(edges.join(twice, "key").select("rid", "s", (F.col("s") + window).alias("e"), "key", "own"), "spots")
+    shared.drop(edges, twice)
+    return out
 
 
-def single_edges(d: DataFrame, unit: str, window: int, open_: DataFrame) -> DataFrame:
-    """Repeated windows of pieces that do not repeat as a whole: rid, s, e."""
-    return repeated_edges(d, unit, window, open_).where("own").select("rid", "s", "e")
-
-
-def contents(d: DataFrame, spots: DataFrame) -> DataFrame:
-    """rid, s, e, key, own and a digest (d1, d2) of the very words at each spot's source coordinates.
+def contents(d: DataFrame, spots: DataFrame, unit: str = "words") -> DataFrame:
+    """rid, s, e, key, own and a digest (d1, d2) of the very words (or bytes) at each spot's source coordinates.
 
     spots: rid and an array of (key, s, e, own), a written table.
     """
@@ -92,9 +89,10 @@ def contents(d: DataFrame, spots: DataFrame) -> DataFrame:
             off = off - off[0]
             raw = bytearray()
             for i, t in enumerate(b.column("text")):
-                words = t.as_py().encode().split()
+                own = t.as_py().encode()
+                words = own.split() if unit == "words" else None
                 for j in range(off[i], off[i + 1]):
-                    raw += hashlib.blake2b(b" ".join(words[s[j] : e[j]]), digest_size=16).digest()
+                    raw += hashlib.blake2b(own[s[j] : e[j]] if words is None else b" ".join(words[s[j] : e[j]]), digest_size=16).digest()
             two = np.frombuffer(raw, "<i8").reshape(-1, 2)
             rid = np.repeat(np.asarray(b.column("rid")), np.diff(off))
             yield pa.record_batch([pa.array(rid), *cols, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["rid", "s", "e", "key", "own", "d1", "d2"])
@@ -108,16 +106,17 @@ def unlike(seen: DataFrame) -> DataFrame:
     return shared.cut(seen.groupBy("key").agg(*ends).where("_min_d1 <> _max_d1 or _min_d2 <> _max_d2").select("key"), "unlike")
 
 
-def verified(d: DataFrame, spots: DataFrame) -> DataFrame:
-    """Own spots (rid, s, e) whose words occur at another spot of their key; spots: rid, s, e, key, own."""
-    spots = shared.cut(spots, "spots")
+def verified(d: DataFrame, spots: DataFrame, unit: str = "words") -> DataFrame:
+    """Own spots (rid, s, e) whose words (or bytes) occur at another spot of their key; spots: rid, s, e, key, own, a written table."""
     per = shared.cut(spots.groupBy("rid").agg(F.collect_list(F.struct("key", "s", "e", "own")).alias("spots")), "lists")
-    odd = unlike(contents(d, per))
+    odd = unlike(contents(d, per, unit))
     own = spots.where("own").select("rid", "s", "e")
     if not odd.isEmpty():
-        mixed = contents(d, per).join(odd, "key", "left_semi")
+        mixed = contents(d, per, unit).join(odd, "key", "left_semi")
         real = mixed.groupBy("key", "d1", "d2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
         own = spots.where("own").join(odd, "key", "left_anti").select("rid", "s", "e").unionByName(mixed.where("own").join(real, ["key", "d1", "d2"]).select("rid", "s", "e"))
+    else:
+        shared.drop(per, odd)
     return own
 
 

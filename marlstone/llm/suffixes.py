@@ -5,10 +5,11 @@ scans the buckets of first bytes in order and induces every other suffix from it
 successor's place.  Common prefixes of adjacent suffixes are computed, and those of the
 window's length mark repeats.  Spark deals the text that can repeat (see repeats) to small
 arrays by common gram, so that no array grows with the table.  Pieces with equal contents
-are merged by their 64-bit hash before: one of them stands for all in the arrays, and
-where nothing else shares its gram none is needed.  A gram with very many unlike contents
-is cut into parts with nearly a whole window in common; the windows of parts that are as
-crowded still are counted by hash, which spreads them over all tasks.
+are grouped by their 64-bit hash before, and their bytes are held against each other by
+128-bit digests: one of them stands for all in the arrays, and where nothing else shares
+its gram none is needed.  A gram with very many unlike contents is cut into parts with
+nearly a whole window in common; the windows of parts that are as crowded still are
+grouped by hash, which spreads them over all tasks, and compared in the same way.
 
 Defined cases: a null text is empty; a text shorter than the window loses nothing;
 repeated rows are occurrences of their own and lose what they share; an empty table
@@ -172,10 +173,20 @@ def resolve(d: DataFrame, window: int, k: int, probes: DataFrame, most_rivals: i
     heavy = probes.where(many)
     if heavy.isEmpty():
         return out
-    parts = repeats.rivalry(shared.cut(repeats.split(d, heavy, "bytes", window, k, step), "parts"))
-    whole = parts.where("whole").select("rid", F.col("a").alias("s"), (F.col("a") + F.col("m") - 1 + window).alias("e"))
-    out = out.unionByName(whole).unionByName(arrays(d, window, parts.where(F.col("probe") & some)))
-    return out.unionByName(debruijn.single_edges(d, "bytes", window, parts.where(F.col("probe") & many).select("rid", "a", "m", "whole")))
+    cuts = shared.cut(repeats.split(d, heavy, "bytes", window, k, step), "parts")
+    parts = repeats.rivalry(cuts)
+    shared.drop(cuts)
+    out = out.unionByName(equal_pieces(d, window, parts)).unionByName(arrays(d, window, parts.where(F.col("probe") & some)))
+    crowded = parts.where(F.col("probe") & many).select("rid", "a", "m", "whole")
+    if crowded.isEmpty():
+        return out
+    return out.unionByName(debruijn.verified(d, debruijn.repeated_edges(d, "bytes", window, crowded), "bytes"))
+
+
+def equal_pieces(d: DataFrame, window: int, flagged: DataFrame) -> DataFrame:
+    """Spans of pieces whose contents occur elsewhere: rid, s, e.  Pieces of one hash are held against each other by the bytes at their coordinates."""
+    spots = flagged.where("whole").select("rid", F.col("a").alias("s"), (F.col("a") + F.col("m") - 1 + window).alias("e"), F.col("piece").alias("key"), F.lit(True).alias("own"))
+    return debruijn.verified(d, shared.cut(spots, "pieces"), "bytes")
 
 
 def byte_digest(b: pa.RecordBatch, spans: list) -> pa.RecordBatch:
@@ -195,10 +206,13 @@ def byte_digest(b: pa.RecordBatch, spans: list) -> pa.RecordBatch:
     return pa.record_batch([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove(docs: DataFrame, window: int = 400, k: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bytes covered by a window that starts anywhere else go; one row for each row of docs."""
+def remove(docs: DataFrame, window: int = 400, k: int = 32, id_col: str = "doc_id", text_col: str = "text", most_rivals: int = 512) -> DataFrame:
+    """Bytes covered by a window that starts anywhere else go; one row for each row of docs.
+
+    most_rivals says which grams' snippets are cut further before they are sorted; it does
+    not change the result.
+    """
     d = repeats.rows(docs, id_col, text_col)
     f = repeats.flagged(d, "bytes", window, k)
-    whole = f.where("whole").select("rid", F.col("a").alias("s"), (F.col("a") + F.col("m") - 1 + window).alias("e"))
-    spans = whole.unionByName(resolve(d, window, k, f.where("probe").select("rid", "gram", "a", "m", "whole", "rivals")))
+    spans = equal_pieces(d, window, f).unionByName(resolve(d, window, k, f.where("probe").select("rid", "gram", "a", "m", "whole", "rivals"), most_rivals))
     return repeats.finish(d, spans, RESULT, byte_digest)

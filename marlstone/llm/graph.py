@@ -12,7 +12,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (u, v).
 
     Each round joins the edges with per-node minima; hubs are split by the join, and a
-    round's folder goes when the next one is written.  Edges with a null end count for
+    round's folder goes when the next one is written; the last one's is the result's (shared.drop).  Edges with a null end count for
     nothing; loops and repeated edges change nothing.
     """
     e = shared.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -31,4 +31,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out.written_at = e.written_at
+    return out

@@ -69,8 +69,26 @@ def slots_for(rows: int) -> int:
     return 1 << min(max(rows.bit_length(), 19), 23)
 
 
+def packed(block: np.ndarray) -> bytes:
+    """Counts of a block of slots: places and counts of those that are not 0 where these are few, else all counts, in as few bytes as the largest needs."""
+    own = np.flatnonzero(block)
+    width = 1 if block.max() < 1 << 8 else 2 if block.max() < 1 << 16 else 4
+    if len(own) * (2 + width) < BLOCK * width:
+        return bytes([width | 8]) + own.astype("<u2").tobytes() + block[own].astype(f"<u{width}").tobytes()
+    return bytes([width]) + block.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    """Places in a block, and their counts."""
+    width = data[0] & 7
+    if not data[0] & 8:
+        return slice(None), np.frombuffer(data, f"<u{width}", offset=1)
+    n = (len(data) - 1) // (2 + width)
+    return np.frombuffer(data, "<u2", n, 1), np.frombuffer(data, f"<u{width}", n, 1 + 2 * n)
+
+
 def survey(d: DataFrame, k: int, slots: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n_shingles, sid), and each task's shingle counts by slot (block, salt, counts)."""
+    """One pass over the texts: rows (doc_id, n_shingles, sid), and each task's shingle counts by slot (block, salt, counts), for blocks that it has any in."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -86,9 +104,10 @@ def survey(d: DataFrame, k: int, slots: int) -> DataFrame:
             n = b.num_rows
             yield pa.record_batch([b.column(0), pa.array(size), pa.array(sid), empty(n, pa.int32()), empty(n, pa.int32()), empty(n, pa.binary())], names=columns)
         if total.any():
-            part, n = TaskContext.get().partitionId(), slots // BLOCK
-            packed = [x.astype(f"<u{1 if x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4}").tobytes() for x in np.minimum(total, 2**32 - 1).reshape(-1, BLOCK)]
-            yield pa.record_batch([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part % 64, np.int32)), pa.array(packed, pa.binary())], names=columns)
+            part, blocks = TaskContext.get().partitionId(), np.minimum(total, 2**32 - 1).reshape(-1, BLOCK)
+            own = np.flatnonzero(blocks.any(axis=1))
+            n = len(own)
+            yield pa.record_batch([empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), pa.array(own.astype(np.int32)), pa.array(np.full(n, part % 64, np.int32)), pa.array([packed(blocks[k]) for k in own], pa.binary())], names=columns)
 
     columns = ["doc_id", "n_shingles", "sid", "block", "salt", "counts"]
     return d.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, sid long, block int, salt int, counts binary")
@@ -102,13 +121,15 @@ def frequencies(parts: DataFrame, slots: int) -> np.ndarray:
 
         total = np.zeros(BLOCK, np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, f"<u{len(x) // BLOCK}")
-        return pd.DataFrame({"block": [key[0]], "salt": [0], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+            at, n = unpacked(x)
+            total[at] += n
+        return pd.DataFrame({"block": [key[0]], "salt": [0], "counts": [packed(np.minimum(total, 2**32 - 1))]})
 
     kind = "block int, salt int, counts binary"
     out = np.zeros(slots, np.uint32)
     for r in parts.groupBy("block", "salt").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind).collect():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<u4")
+        at, n = unpacked(bytes(r["counts"]))
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK][at] = n
     return np.minimum(out, (1 << 24) - 1)
 
 
@@ -328,6 +349,7 @@ def _results(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     more = more.join(comp.withColumnRenamed("node", "sid"), "sid", "full").select(F.col("sid").alias("_s"), "_more", "root")
     sets = sets.join(more, sets["sid"] == more["_s"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"), (F.coalesce("_more", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     sets = shared.cut(sets, "sets")
+    shared.drop(found, comp)
     roots = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     per = sets.join(roots, "root").select(F.col("sid").alias("_sid"), "component_id", F.col("least").alias("class_id"), "n_links")
     out = every.join(per, (every["sid"] == per["_sid"]) & (every["n_shingles"] > 0), "left")

@@ -85,7 +85,7 @@ def fill(entries: DataFrame) -> DataFrame:
     c = F.col
     used = entries.where("finish <= 1").groupBy(c("_s").alias("_us")).agg(F.sum("size").alias("_used"))
     room = entries.groupBy("_s", "target").agg(F.count("*")).join(used, c("_s") == c("_us"), "left").select(c("_s").alias("_rs"), (c("target") - F.coalesce("_used", F.lit(0))).alias("_room"))
-    late = entries.where("finish > 1").select("_s", "pass", "_b", "finish", "doc_id", "size")
+    late = shared.cut(entries.where("finish > 1").select("_s", "pass", "_b", "finish", "doc_id", "size"), "late")  # read in every round
     room, got = shared.cut(room, "room"), None
     key = ("_s", "pass", "_b", "finish", "doc_id", "size")
     before = Window.partitionBy("_s").orderBy("pass", "_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,9 +34,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
+    _written.append((df.sparkSession, path))
     return out
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_written)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Deletes the folders of all tables made by cut since a mark, but those of `keep`: for a step whose result is written."""
+    kept = {t.written_at for t in keep}
+    for spark, path in _written[since:]:
+        if path not in kept:
+            remove(spark, path)
+    del _written[since:]
+    _written.extend((t.sparkSession, t.written_at) for t in keep)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the folders of tables made by cut; for tables whose successors are written."""
     for t in tables:

@@ -510,3 +510,55 @@ def test_textkit():
         for n in (0, 1, 24, 100):
             h = r.integers(0, 9, n).astype(np.uint64)
             assert textkit.window_min(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(max(0, n - w + 1))]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_how_crowded_grams_are_cut_changes_nothing(spark, sf):
+    """Everything by suffix arrays, and everything that can be cut into parts and windows, over whole tables."""
+    d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    few, many = (sorted(map(tuple, suffixes.remove(d, most_rivals=m).collect())) for m in (2, 10**9))
+    assert few == many and sum(x[2] > 0 for x in few) > 5
+
+
+def test_equal_hashes_of_unlike_bytes_are_told_apart(spark):
+    """Spots with one key and other bytes, as if their hashes had met, do not count as repeats."""
+    a, b = "abcd" * 200, "wxyz" * 200
+    d = repeats.rows(spark.createDataFrame([(1, a), (2, b), (3, "--" + b)], "doc_id long, text string"))
+    rid = {r.doc_id: r.rid for r in d.collect()}
+    spots = shared.cut(spark.createDataFrame([(rid[1], 0, 400, 7, True), (rid[2], 0, 400, 7, True), (rid[3], 2, 402, 7, True)], "rid long, s long, e long, key long, own boolean"), "spots")
+    assert sorted(map(tuple, debruijn.verified(d, spots, "bytes").collect())) == sorted([(rid[2], 0, 400), (rid[3], 2, 402)])
+
+
+def test_bundles_written_twice_agree_with_either_index(spark, tmp_path):
+    """A second attempt that gets its rows in another order writes the same files."""
+    pages = spark.createDataFrame([(i % 40, f"http://a/{i % 3}" if i % 5 else None, None if i % 9 == 0 else f"<p>{i % 7}</p>" * (200 if i % 2 else 3)) for i in range(160)], "page_id long, url string, html string")
+    to = f"file://{tmp_path}/warc"
+    decided = warc.decide(pages).repartition(3, "page_id")
+    first = warc.write(decided, to, frame_bytes=2000, bundle_bytes=9000)
+    again = warc.write(decided.repartition(11).repartition(3, "page_id"), to, frame_bytes=2000, bundle_bytes=9000)
+    rows = sorted(map(repr, first.collect()))
+    assert rows == sorted(map(repr, again.collect())) and len(rows) == 160
+    for r in first.collect():
+        head, _ = warc.fetch(to, r.asDict())
+        assert head["WARC-Record-ID"][10:-1] == str(r.page_id)
+
+
+def test_packed_counts():
+    r = np.random.Generator(np.random.PCG64(1))
+    for top, share in ((200, 1.0), (200, 0.01), (70000, 0.001), (300, 0.5), (2**32 - 1, 1.0)):
+        x = r.integers(1, top, setjoin.BLOCK) * (r.random(setjoin.BLOCK) < share)
+        out = np.zeros(setjoin.BLOCK, np.int64)
+        at, n = setjoin.unpacked(setjoin.packed(x))
+        out[at] = n
+        assert (out == x).all()
+    assert len(setjoin.packed(np.eye(1, setjoin.BLOCK, 5, dtype=np.int64)[0])) == 4
+
+
+def test_folders_are_released(spark):
+    begun = shared.mark()
+    a, b = (shared.cut(spark.range(3), "x") for _ in "ab")
+    shared.release(begun, b)
+    assert b.count() == 3
+    with pytest.raises(Exception):
+        a.count()
+    shared.drop(b)

@@ -79,7 +79,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
+        begun = shared.mark()
         docs = shared.cut(stage(spark, docs, sf_dir), "stage")
+        shared.release(begun, docs)  # what the stage wrote on its way
         if last is not None:
             shared.drop(last)
         last = docs

@@ -1,13 +1,20 @@
-"""Pages to ordered blocks and table cells: one Arrow pass with the standard HTML parser."""
+"""Pages to blocks, table cells, metadata, links and embedded state: one pass over each page with the standard HTML parser."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from datetime import date
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from . import prepare
 
 DROPPED = {"script", "style", "noscript", "nav", "footer", "template", "svg", "form", "button", "select", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -22,8 +29,60 @@ def whole(x: str | None) -> int:
         return 1
 
 
+# fixed values: labels of a link to the next page, months, and where pages state their times and authors (first to last)
+NEXT = ("next", "next page", "older", "older posts", "下一页", "下页", "后一页", "后页")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MODIFIED = ("article:modified_time", "og:updated_time", "last-modified", "last_modified", "updated")
+PUBLISHED = ("article:published_time", "date", "publish_date")
+AUTHOR = ("author", "article:author")
+# fixed values: sentences of error pages and their links, which are no content
+NOISE = ("404: this page could not be found.", "this page could not be found.", "this page was not found", "return home", "report an issue")
+CODE = ("document.", "window.", "function(", "getElementsByTagName")
+
+BOXES = {"li", "tr", "td", "th", "article", "section", "div", "p", "dd", "dt", "dl", "ul", "ol", "table", "header", "a"}
+ALONE = {"li", "tr", "td", "th", "p", "dd", "dt"}  # end where the next one of them begins
+EDGES = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": BOXES - {"p"}, "dd": {"dl"}, "dt": {"dl"}}
+ARROWS = " \t\n←→‹›«»"
+
+
+def day_of(text: str | None) -> str | None:
+    """The first date with a four-digit year in a text, as YYYY-MM-DD."""
+    t = text or ""
+    if not re.search(r"\d{4}", t):
+        return None
+    found = []
+    for m in re.finditer(r"(\d{4})(?:[-/.]|年)(\d{1,2})(?:[-/.]|月)(\d{1,2})(?!\d)", t):
+        found.append((m.start(), int(m[1]), int(m[2]), int(m[3])))
+    for m in re.finditer(r"\b([A-Za-z]{3})[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})\b", t):
+        if m[1].lower() in MONTHS:
+            found.append((m.start(), int(m[3]), MONTHS.index(m[1].lower()) + 1, int(m[2])))
+    for m in re.finditer(r"\b(\d{1,2})(?:st|nd|rd|th)? ([A-Za-z]{3})[a-z]*\.?,? (\d{4})\b", t):
+        if m[2].lower() in MONTHS:
+            found.append((m.start(), int(m[3]), MONTHS.index(m[2].lower()) + 1, int(m[1])))
+    for _, *parts in sorted(found):
+        try:
+            return date(*parts).isoformat()
+        except ValueError:
+            continue
+    return None
+
+
+def squeezed(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+class _Box:
+    """An open element: the dates in it (two at most are kept), and the links in it that have none yet."""
+
+    def __init__(self, tag: str) -> None:
+        self.tag, self.days, self.links = tag, [], []
+
+    def add(self, days: list[str]) -> None:
+        self.days = list(dict.fromkeys([*self.days, *days]))[:2]
+
+
 class _Blocks(HTMLParser):
-    """Collects (root, kind, level, text, cells) for headings, paragraphs, list items, quotes, code and table rows."""
+    """Collects (root, kind, level, text, cells) for headings, paragraphs, list items, quotes, code and table rows, and beside them metadata, links and scripts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -34,6 +93,17 @@ class _Blocks(HTMLParser):
         self.row: list[str] | None = None
         self.cell: list[str] | None = None
         self.span, self.main, self.header = 1, 0, False
+        self.meta: dict[str, str] = {}
+        self.heads: dict[str, list[str]] = {}  # text of the title and of the first h1
+        self.open_heads: list[str] = []
+        self.canonical: str | None = None
+        self.time: str | None = None
+        self.articles: list[list] = []  # [characters, parts of its first h1, whether that is open, whether it is closed]
+        self.boxes: list[_Box] = []
+        self.links: list[dict] = []
+        self.link: dict | None = None
+        self.script: list[str] | None = None
+        self.scripts: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split()) if self.kind != "code" else "".join(self.text).strip("\n")
@@ -52,11 +122,90 @@ class _Blocks(HTMLParser):
             self.out.append((self.main > 0, "header_row" if self.header else "row", len(self.row), " | ".join(self.row), self.row))
         self.row = None
 
+    def close_box(self) -> None:
+        """An element with one date dates its links; one with several holds several entries, as lists and tables do."""
+        box = self.boxes.pop()
+        if len(box.days) == 1 and box.tag not in ("ul", "ol", "dl", "table"):
+            for k in box.links:
+                k["day"] = box.days[0]
+        if self.boxes:
+            self.boxes[-1].add(box.days)
+            self.boxes[-1].links += [k for k in box.links if not k["day"]]
+
+    def seen_day(self, text: str | None) -> None:
+        if self.boxes and (day := day_of(text)):
+            self.boxes[-1].add([day])
+
+    def note(self, tag: str, a: dict) -> None:
+        """What an element's start says about the page: metadata, links, dates, scripts."""
+        if tag == "meta":
+            name = (a.get("property") or a.get("name") or "").lower()
+            if name and a.get("content"):
+                self.meta.setdefault(name, squeezed([a["content"]]))
+        elif tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
+            self.canonical = self.canonical or a["href"].strip()
+        elif tag == "script":
+            self.script = []
+        if tag in ALONE:
+            for i in range(len(self.boxes) - 1, -1, -1):
+                if self.boxes[i].tag in EDGES[tag]:
+                    break
+                if self.boxes[i].tag == tag or {tag, self.boxes[i].tag} <= {"td", "th"} or {tag, self.boxes[i].tag} <= {"dt", "dd"}:
+                    while len(self.boxes) > i:
+                        self.close_box()
+                    break
+        if tag in BOXES:
+            self.boxes.append(_Box(tag))
+        for k in ("datetime", "data-date", "data-published", "data-publish-date"):
+            if a.get(k):
+                self.seen_day(a[k])
+                if tag == "time" and k == "datetime":
+                    self.time = self.time or a[k].strip()
+        if tag == "a" and a.get("href") is not None:
+            rel = (a.get("rel") or "").lower().split()
+            self.link = {"href": a["href"].strip(), "text": [], "labels": [a.get("aria-label"), a.get("title")], "next": "next" in rel, "day": None}
+            self.links.append(self.link)
+            self.boxes[-1].links.append(self.link)
+        elif tag in ("h1", "title") and tag not in self.heads:
+            self.heads[tag] = []
+            self.open_heads.append(tag)
+        if tag == "article":
+            self.articles.append([0, None, False, False])
+        elif tag == "h1":
+            for x in self.articles:
+                if not x[3] and x[1] is None:
+                    x[1], x[2] = [], True
+
+    def noted(self, tag: str) -> None:
+        """What an element's end settles."""
+        if tag == "script" and self.script is not None:
+            self.scripts.append("".join(self.script))
+            self.script = None
+        if tag == "a" and self.link is not None:
+            self.link = None
+        if tag in self.open_heads:
+            self.open_heads.remove(tag)
+        if tag == "h1":
+            for x in self.articles:
+                x[2] = False
+        if tag == "article":
+            for x in reversed(self.articles):
+                if not x[3]:
+                    x[3] = True
+                    break
+        if tag in BOXES and any(x.tag == tag for x in self.boxes):
+            while self.boxes[-1].tag != tag:
+                self.close_box()
+            self.close_box()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        self.note(tag, a)
         if tag in VOID:
             if tag == "br":
                 self.text.append("\n")
+            elif tag == "img" and not self.skip and (a.get("alt") or "").strip():
+                (self.cell if self.cell is not None else self.text).append(f"[Image: {squeezed([a['alt']])}]")
             return
         hidden = "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "") or "cookie" in (a.get("class") or "").lower()
         if self.skip or tag in DROPPED or hidden:
@@ -90,6 +239,7 @@ class _Blocks(HTMLParser):
             self.header = self.header or tag == "th"
 
     def handle_endtag(self, tag: str) -> None:
+        self.noted(tag)
         if self.skip:
             if tag in self.skip:
                 while self.skip.pop() != tag:
@@ -110,49 +260,179 @@ class _Blocks(HTMLParser):
             self.end_row()
 
     def handle_data(self, data: str) -> None:
+        if self.script is not None:
+            self.script.append(data)
+            return
+        if self.link is not None:
+            self.link["text"].append(data)
+        for tag in self.open_heads:
+            self.heads[tag].append(data)
         if not self.skip:
-            (self.cell if self.cell is not None else self.text).append(data)
+            self.seen_day(data)
+            for x in self.articles:
+                if not x[3]:
+                    x[0] += len(data.split())
+                    if x[2]:
+                        x[1].append(data)
+            if "title" not in self.open_heads:
+                (self.cell if self.cell is not None else self.text).append(data)
+
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        while self.boxes:
+            self.close_box()
+        for k in self.links:
+            text = squeezed(k["text"])
+            labels = [" ".join((x or "").casefold().split()).strip(ARROWS) for x in (text, *k["labels"])]
+            k["text"], k["next"] = text, k["next"] or any(x in NEXT for x in labels)
+            k["day"] = k["day"] or day_of(k["href"])
+
+
+def page_of(html: str | None) -> _Blocks:
+    p = _Blocks()
+    p.feed(html or "")
+    p.finish()
+    return p
+
+
+def titles(p: _Blocks) -> tuple[str | None, str | None]:
+    """The page's title (og:title, twitter:title, first h1, title), and the h1 of its largest article that has one."""
+    own = [p.meta.get("og:title"), p.meta.get("twitter:title"), *(squeezed(p.heads.get(t, [])) for t in ("h1", "title"))]
+    arts = [x for x in p.articles if x[1] is not None]
+    top = squeezed(max(arts, key=lambda x: x[0])[1]) if arts else ""
+    return next((x for x in own if x), None), top or None
 
 
 def blocks_of(html: str, least: int = 80) -> list[tuple[str, int, str]]:
     return [x[:3] for x in cells_of(html, least)]
 
 
-def cells_of(html: str, least: int = 80) -> list[tuple[str, int, str, list[str]]]:
+def cells_of(html: str | None, least: int = 80) -> list[tuple[str, int, str, list[str]]]:
     """Blocks, with the cells of rows, of the main or article part, or of the whole page if that part is too short."""
-    p = _Blocks()
-    p.feed(html or "")
-    p.close()
-    p.flush()
+    return root_of(page_of(html), least)
+
+
+def root_of(p: _Blocks, least: int = 80) -> list[tuple[str, int, str, list[str]]]:
     main = [x[1:] for x in p.out if x[0]]
     return main if sum(len(x[2]) for x in main) >= least else [x[1:] for x in p.out]
 
 
-def pages_to_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, pos, kind, level, text of every block."""
+BLOCK = "struct<kind:string,level:int,text:string,cells:array<string>>"
+LINK = "struct<href:string,text:string,day:string,next:boolean>"
+
+
+def parsed(pages: DataFrame, least: int = 80) -> DataFrame:
+    """page_id, title, article_title, canonical_link, published, modified, time, author, blocks, links, state: all that one pass over a page tells.
+
+    blocks are those of the main or article part, or of the whole page if that part has
+    fewer than `least` characters.  A link's day is the first date in it, else that of the
+    smallest element around it that has just one, else the one in its address.  state has the
+    strings of JSON and of streamed payloads in scripts.  A null page is an empty one.
+    """
+    columns = ["page_id", "title", "article_title", "canonical_link", "published", "modified", "time", "author", "blocks", "links", "state"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, *x) for i, h in zip(b["page_id"], b["html"]) for n, x in enumerate(blocks_of(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "level", "text"])
+            rows = []
+            for i, h in zip(b["page_id"], b["html"]):
+                p = page_of(h)
+                said = lambda names: next((p.meta[n] for n in names if n in p.meta), None)  # noqa: B023, E731
+                blocks = [{"kind": k, "level": n, "text": t, "cells": c} for k, n, t, c in root_of(p, least)]
+                links = [{k: x[k] for k in ("href", "text", "day", "next")} for x in p.links]
+                rows.append((i, *titles(p), p.canonical, said(PUBLISHED), said(MODIFIED), p.time, said(AUTHOR), blocks, links, [t for x in p.scripts for t in state_of(x)]))
+            yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select("page_id", "html").mapInPandas(work, "page_id long, pos int, kind string, level int, text string")
+    text = "".join(f", {c} string" for c in columns[1:8])
+    return pages.select("page_id", "html").mapInPandas(work, f"page_id long{text}, blocks array<{BLOCK}>, links array<{LINK}>, state array<string>")
+
+
+def pages_to_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, pos, kind, level, text of every block."""
+    return parsed(pages).select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.kind", "b.level", "b.text")
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """page_id, pos, is_header, cells of every table row, padded by colspan."""
+    b = parsed(pages).select("page_id", F.posexplode("blocks").alias("pos", "b")).where("b.kind in ('row', 'header_row')")
+    return b.select("page_id", "pos", (F.col("b.kind") == "header_row").alias("is_header"), "b.cells")
+
+
+def page_metadata(pages: DataFrame, changelog: bool = False) -> DataFrame:
+    """page_id, title, canonical_link, published, author where stated; of changelogs the largest article's h1 and the time of the last change come first."""
+    p = parsed(pages)
+    title = F.coalesce("article_title", "title") if changelog else F.col("title")
+    at = F.coalesce("modified", "published", "time") if changelog else F.col("published")
+    return p.select("page_id", title.alias("title"), "canonical_link", at.alias("published"), "author")
+
+
+def page_links(pages: DataFrame, prefix: str | None = None) -> DataFrame:
+    """page_id, pos, link, same_origin, text, day, is_next: first of equal absolute links of each page, without fragments, mail and scripts.
+
+    With `prefix` those below it on the page's site only.  Links to the next page are marked.
+    """
+    urls = pages.select(F.col("page_id").alias("_i"), "url")
+    p = parsed(pages).select("page_id", F.posexplode("links").alias("pos", "l"))
+    return prepare.resolved_links(p.select("page_id", "pos", "l.href", "l.text", "l.day", F.col("l.next").alias("is_next")).join(urls, F.col("page_id") == F.col("_i")).drop("_i"), prefix)
+
+
+PUSH = re.compile(r"self\.__next_f\.push\(\s*(\[.*\])\s*\)\s*;?\s*$", re.S)
+ASSIGNED = re.compile(r"^\s*(?:window\.|self\.|globalThis\.|var |let |const )[\w.$]+\s*=\s*(?=[\[{])")
+CHILD = re.compile(r'"children":("(?:[^"\\]|\\.)*")')
+
+
+def strings(value, key: str = "") -> Iterator[str]:
+    """The strings of a JSON value, in order, but keys, addresses and identifiers."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from strings(v, k)
+    elif isinstance(value, list):
+        for v in value:
+            yield from strings(v, key)
+    elif isinstance(value, str) and key not in ("id", "_id", "href", "src", "url", "className", "@id", "@type", "@context"):
+        yield value
+
+
+def state_of(script: str) -> list[str]:
+    """Reader-facing strings of a script: of JSON (alone or assigned to a name), or of a streamed component payload; noise is left out."""
+    text = script.strip()
+    raw: list[str] = []
+    try:
+        if m := PUSH.match(text):
+            pushed = json.loads(m[1])
+            for part in (x for x in pushed if isinstance(x, str)):
+                raw += [json.loads(x) for x in CHILD.findall(part)]
+        else:
+            lead = ASSIGNED.match(text)
+            if lead or text[:1] in ("{", "["):
+                raw += strings(json.JSONDecoder().raw_decode(text[lead.end() if lead else 0 :])[0])
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    for t in (" ".join(x.split()) for x in raw):
+        code = len(t) > 180 and any(x in t for x in CODE)
+        if t and not t.startswith("$") and t.casefold() not in NOISE and not re.match(r"https?://\S+$", t) and not code and t not in out[-1:]:
+            out.append(t)
+    return out
+
+
+def embedded_state(pages: DataFrame, least: int = 1) -> DataFrame:
+    """page_id, pos, text: strings of at least `least` characters in the JSON state and streamed payloads of scripts."""
+    return parsed(pages).select("page_id", F.posexplode("state").alias("pos", "text")).where(F.length("text") >= least)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, x[0] == "header_row", x[3]) for i, h in zip(b["page_id"], b["html"]) for n, x in enumerate(cells_of(h)) if x[0] in ("row", "header_row")]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "is_header", "cells"])
 
-    return pages.select("page_id", "html").mapInPandas(work, "page_id long, pos int, is_header boolean, cells array<string>")
+@F.pandas_udf(StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unescape(x))
 
 
-def embedded_state(pages: DataFrame, least: int = 40) -> DataFrame:
-    """Strings inside JSON state of script tags: page_id, pos, text; keys, urls and short strings are left out."""
-    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*type=\"application/(?:ld\+)?json\"[^>]*>(.*?)</script>"), 1)
-    s = pages.select("page_id", F.explode(scripts).alias("body"))
-    texts = F.regexp_extract_all("body", F.lit(r":\s*\"((?:[^\"\\\\]|\\\\.)*)\""), 1)
-    return s.select("page_id", F.posexplode(texts).alias("pos", "text")).where((F.length("text") >= least) & ~F.col("text").rlike(r"^https?://"))
+def rich_text(c: Column) -> Column:
+    """Markdown with HTML in it as Markdown: comments, scripts and block tags go, images leave their alternative text, entities are decoded; all else stays."""
+    t = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
+    t = F.regexp_replace(t, r"""(?is)<img\b(?:[^>]*?\salt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?[^>]*>""", "[Image: $1$2$3]")
+    t = F.regexp_replace(t, r"\[Image:\s*\]", "")
+    t = F.regexp_replace(t, r"(?i)</?(?:details|summary|p|div|section|article|h[1-6]|ul|ol|li|table|tr|blockquote|pre)\b[^>]*>", "\n")
+    t = F.when(t.contains("&"), _unescaped(t)).otherwise(t)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))

@@ -53,26 +53,6 @@ def drop_repeat_blocks(docs: DataFrame, sep: str = "\n") -> DataFrame:
     return b.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def first_match(text: Column, *patterns: str) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns])
-
-
-def page_title(h: Column) -> Column:
-    return first_match(h, r"(?is)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"", r"(?is)<h1[^>]*>([^<]*)</h1>", r"(?is)<title[^>]*>([^<]*)</title>")
-
-
-def page_metadata(pages: DataFrame) -> DataFrame:
-    """Title (og:title, h1, title), canonical link, published time and author where stated."""
-    h = F.col("html")
-    return pages.select(
-        "page_id",
-        page_title(h).alias("title"),
-        first_match(h, r"(?is)<link[^>]+rel=\"canonical\"[^>]+href=\"([^\"]*)\"").alias("canonical_link"),
-        first_match(h, r"(?is)<meta[^>]+property=\"article:published_time\"[^>]+content=\"([^\"]*)\"", r"(?is)<time[^>]+datetime=\"([^\"]*)\"").alias("published"),
-        first_match(h, r"(?is)<meta[^>]+name=\"author\"[^>]+content=\"([^\"]*)\"").alias("author"),
-    )
-
-
 def resolve_link(base: Column, href: Column) -> Column:
     """An absolute, canonical address of href as it stands on the page at base."""
     page = F.regexp_replace(base, r"[?#].*$", "")
@@ -88,23 +68,24 @@ def resolve_link(base: Column, href: Column) -> Column:
     return canonical_url(full)
 
 
-def page_links(pages: DataFrame, prefix: str | None = None) -> DataFrame:
-    """First of equal absolute links of each page, without fragments, mail and scripts; with `prefix` those below it on the page's site only."""
-    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<a [^>]*href=\"([^\"]*)\""), 1)).alias("pos", "href"))
+def resolved_links(a: DataFrame, prefix: str | None = None) -> DataFrame:
+    """First of equal absolute addresses of each page: page_id, pos, link, same_origin and what else the links have.  a: page_id, url, pos, href."""
+    rest = [c for c in a.columns if c not in ("page_id", "url", "pos", "href")]
     a = a.where(~F.lower("href").rlike(r"^(#|mailto:|javascript:|tel:|data:)") & (F.col("href") != ""))
     site = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     a = a.withColumn("link", resolve_link(F.col("url"), F.trim("href"))).withColumn("same_origin", site(F.col("link")) == site(canonical_url(F.col("url"))))
     if prefix is not None:
         a = a.where(F.col("same_origin") & F.regexp_extract("link", r"^[^:]+://[^/]*([^?#]*)", 1).startswith(prefix))
     w = Window.partitionBy("page_id", "link").orderBy("pos")
-    return a.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "pos", "link", "same_origin")
+    return a.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "pos", "link", "same_origin", *rest)
 
 
 def visible_text(pages: DataFrame, least: int = 200) -> DataFrame:
     """Visible length without scripts, styles and tags; pages below `least` need rendering."""
     t = F.regexp_replace("html", r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]*>", " "), r"\s+", " "))
-    return pages.select("page_id", F.length(t).cast("long").alias("visible_chars"), (F.length(t) < least).alias("needs_render"))
+    n = F.coalesce(F.length(t), F.lit(0))
+    return pages.select("page_id", n.cast("long").alias("visible_chars"), (n < least).alias("needs_render"))
 
 
 def canonical_codes(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:

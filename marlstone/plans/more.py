@@ -14,6 +14,31 @@ def p9_pages_to_blocks(spark, table):
     return html.pages_to_blocks(table("pages"))
 
 
+@query("""WITH c AS (SELECT c_nationkey AS page_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, c_custkey || '|' || c_name || '|' || c_mktsegment AS cells FROM customer)
+ SELECT page_id, pos, false AS is_header, cells FROM c UNION ALL SELECT DISTINCT c_nationkey, 0, true, 'Customer||Segment' FROM customer""")
+def p11_table_rows(spark, table):
+    """A page for each nation with a table of its customers, whose header spans two columns."""
+    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("<td>"), F.col("c_name"), F.lit("</td><td>"), F.col("c_mktsegment"), F.lit("</tr>"))
+    g = table("customer").groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))).alias("x"))
+    page = F.concat(F.lit("<main><table><tr><th colspan=2>Customer<th>Segment</tr>"), F.array_join(F.transform("x", lambda r: r["r"]), ""), F.lit("</table></main>"))
+    rows = html.table_rows(g.select("page_id", page.alias("html")))
+    return rows.select("page_id", "pos", "is_header", F.array_join("cells", "|").alias("cells"))
+
+
+_BLANK = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x1C-\\x1F\\x0B]+"
+
+
+@query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '{_BLANK}', ' ', 'g')) AS t FROM documents)
+ SELECT doc_id, sha256(t) AS digest FROM d WHERE t <> '' AND NOT starts_with(t, '$') AND NOT regexp_full_match(t, 'https?://\\S+')
+  AND NOT (length(t) > 180 AND (contains(t, 'document.') OR contains(t, 'window.') OR contains(t, 'function(') OR contains(t, 'getElementsByTagName')))""")
+def p18_embedded_state(spark, table):
+    """Every document as a page that holds it in the state of a script only, nested and escaped."""
+    state = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("insert"))).alias("content")).alias("docDetail")))
+    page = F.concat(F.lit("<p>x</p><script>window._STATE = "), F.replace(state, F.lit("</"), F.lit("<\\/")), F.lit(";</script>"))
+    d = html.embedded_state(table("documents").where("text is not null").select(F.col("doc_id").alias("page_id"), page.alias("html")))
+    return d.select(F.col("page_id").alias("doc_id"), F.sha2("text", 256).alias("digest"))
+
+
 @query("SELECT event_id, 'k: ' || (props->>'k') AS text FROM events")
 def p12_flatten_json(spark, table):
     return flatten.flatten_json(table("events"), "event_id", "props")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import labels, prepare, versions
+from ..operators import html, labels, prepare, versions
 from ..registry import query
 
 RULES = {"D1": ["license", "licensed", "that"], "D2": ["und", "der", "die"], "D3": ["les", "des", "que"], "D4": ["worthless", "trash"], "D5": ["version", "email"]}
@@ -96,19 +96,27 @@ def p8_drop_repeat_blocks(spark, table):
     return prepare.drop_repeat_blocks(table("documents"))
 
 
-_TITLES = r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '')) AS title FROM pages"""
+def _plain(x):
+    """Text of an element: no tags, five entities decoded, single blanks."""
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for a, z in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{z}')"
+    return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+
+
+_TITLES = "SELECT page_id, coalesce(" + ", ".join(_plain(f"regexp_extract(html, '{p}', 1)") for p in (r'(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', "(?is)<h1[^>]*>(.*?)</h1>", "(?is)<title[^>]*>(.*?)</title>")) + ") AS title FROM pages"
 
 
 @query(_TITLES)
 def p10_page_title(spark, table):
-    return prepare.page_metadata(table("pages")).select("page_id", "title")
+    return html.page_metadata(table("pages")).select("page_id", "title")
 
 
 @query(r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
   f AS (SELECT page_id, pos, origin, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:/]+:') || href WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS link FROM a WHERE NOT regexp_matches(lower(href), '^(#|mailto:|javascript:|tel:|data:)') AND href <> '')
   SELECT page_id, min(pos) AS pos, link, bool_and(starts_with(link, origin)) AS same_origin FROM f GROUP BY page_id, link""")
 def p14_page_links(spark, table):
-    return prepare.page_links(table("pages"))
+    return html.page_links(table("pages")).select("page_id", "pos", "link", "same_origin")
 
 
 @query(r"""WITH t AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM pages)

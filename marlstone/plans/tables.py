@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, filters, prepare, tables as T
+from ..operators import audit, filters, html, prepare, tables as T
 from ..registry import query, scratch
 from .prepare import _HISTORY, _REASONS, _TITLES, _URLS, RULES, _labelled, history, label_sql
 
@@ -95,7 +95,7 @@ _A1 = _URLS + f""", ti AS ({_TITLES}), d AS (SELECT ca.page_id AS doc_id, ca.url
 def content_findings(table):
     p = table("pages")
     d = p.select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("content"), F.sha2("html", 256).alias("content_hash"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*[.]([a-z]+)", 1).alias("source_type"))
-    d = d.withColumn("title", prepare.page_title(F.col("content")))
+    d = d.join(html.page_metadata(p).select(F.col("page_id").alias("doc_id"), "title"), "doc_id")
     return audit.content_checks(d, F.lit("2024-01-20").cast("timestamp"), MINIMA, 1000).select("doc_id", "source_type", F.col("findings").alias("f"))
 
 

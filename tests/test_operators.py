@@ -135,8 +135,8 @@ def test_links(spark):
     hrefs = ["x.html", "//cdn.com/y", "../up", "/root?b=2&a=1", "?q=1", "mailto:a@b", "#top", "http://e.com/a/b/x.html", "https://o.com"]
     d = spark.createDataFrame([(1, "http://e.com/a/b/page?z#f", "".join(f'<a class=c href="{h}">t</a>' for h in hrefs))], "page_id long, url string, html string")
     want = [("http://e.com/a/b/x.html", True), ("http://cdn.com/y", False), ("http://e.com/a/up", True), ("http://e.com/root?a=1&b=2", True), ("http://e.com/a/b/page?q=1", True), ("https://o.com/", False)]
-    assert [(r.link, r.same_origin) for r in prepare.page_links(d).orderBy("pos").collect()] == want
-    assert [r.link for r in prepare.page_links(d, "/a/b").orderBy("pos").collect()] == ["http://e.com/a/b/x.html", "http://e.com/a/b/page?q=1"]
+    assert [(r.link, r.same_origin) for r in html.page_links(d).orderBy("pos").collect()] == want
+    assert [r.link for r in html.page_links(d, "/a/b").orderBy("pos").collect()] == ["http://e.com/a/b/x.html", "http://e.com/a/b/page?q=1"]
 
 
 def test_table_rows(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,36 +114,62 @@ def stated_facts(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return f.groupBy(id_col, F.lower("field").alias("_l"), F.lower("entity").alias("_m"), plain(F.col("value")).alias("_v")).agg(F.min(F.struct("value", "field", "entity")).alias("_f")).select(id_col, "_f.entity", "_f.field", "_f.value")
 
 
+LEVELS = {"A": 4, "B": 3, "C": 2, "D": 1}  # fixed values: authority of evidence levels
+
+
+def preference(columns: list[str], chunk: str) -> list[Column]:
+    """What makes a fact preferred, first to last: current, authority, publish time, score, chunk id; as far as the table has them."""
+    level = reduce(lambda w, kv: w.when(F.upper("evidence_level") == kv[0], F.lit(kv[1])), LEVELS.items(), F.when(F.lit(False), F.lit(0))).otherwise(0) if "evidence_level" in columns else None
+    known = {"is_current": F.coalesce("is_current", F.lit(True)), "evidence_level": level, "publish_time": F.col("publish_time"), "final_score": F.coalesce("final_score", F.lit(0.0)), chunk: F.col(chunk)}
+    return [v for k, v in known.items() if k in columns]
+
+
 def detect_conflicts(facts: DataFrame, group: list[str], chunk: str, start: str = "valid_from", end: str = "valid_to", order: list[Column] | None = None) -> DataFrame:
     """One row for each group with unlike values valid at the same time: values, chunks, n_pairs, preferred.
 
-    Intervals are half-open, so adjacent ones do not conflict; a null start or end is open;
-    a chunk states one value in a group.  Nothing is joined pair by pair: at an interval's
-    end the starts before it are counted, at its start the ends up to it, once for all
-    values of the group and once for its own; the difference is its conflicting partners.
+    Groups and values are compared without regard to case and blanks and shown as they
+    first stand (least text).  Intervals are half-open, so adjacent ones do not conflict; a
+    null start or end is open; a chunk that states a value twice counts once for each
+    interval, and never conflicts with itself.  Nothing is joined pair by pair: at an
+    interval's end the starts before it are counted, at its start the ends up to it, once
+    for all of the group and once for its own value; the difference is its conflicting
+    partners.  The preferred chunk is the first by `order`, else by preference() where the
+    table has its columns, else by an open end and the latest start.
     """
     c = F.col
-    many = facts.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).where("_lo <> _hi").select(*group)
-    f = facts.join(many, group)
-    key = [*group, "value", chunk]
-    ends = f.select(*key, c(end).alias("_t"), F.lit(0).alias("_o"), c(end).isNull().cast("int").alias("_x"))
-    starts = f.select(*key, c(start).alias("_t"), F.lit(1).alias("_o"), (-c(start).isNull().cast("int")).alias("_x"))
+    shown = facts.withColumns({f"_k{i}": plain(c(g).cast("string")) for i, g in enumerate(group)} | {"_v": plain(c("value"))})
+    keys = [f"_k{i}" for i in range(len(group))]
+    known = [x for x in ("is_current", "evidence_level", "publish_time", "final_score") if x in facts.columns]
+    # a chunk's equal statements over one interval count once
+    f = shown.groupBy(*keys, "_v", chunk, c(start).alias("_a"), c(end).alias("_z")).agg(F.min("value").alias("value"), F.min(F.struct(*group)).alias("_g"), *[F.max(x).alias(x) for x in known])
+    many = f.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_g").alias("_named")).where("_lo <> _hi").select(*keys, "_named")
+    f = f.join(many, keys)
+    key = [*keys, "_v", chunk, "_a", "_z"]
+    ends = f.select(*key, c("_z").alias("_t"), F.lit(0).alias("_o"), c("_z").isNull().cast("int").alias("_x"))
+    starts = f.select(*key, c("_a").alias("_t"), F.lit(1).alias("_o"), (-c("_a").isNull().cast("int")).alias("_x"))
     so_far = lambda *by: Window.partitionBy(*by).orderBy("_x", "_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     # starts before an end, less ends up to a start
     met = lambda w: F.when(c("_o") == 0, F.sum("_o").over(w)).otherwise(-F.sum(1 - c("_o")).over(w))
-    p = ends.unionByName(starts).withColumn("_n", met(so_far(*group)) - met(so_far(*group, "value")))
+    # all partners, less those of the same value, less the chunk's own of other values
+    by_chunk, by_both = so_far(*keys, chunk), so_far(*keys, chunk, "_v")
+    p = ends.unionByName(starts).withColumn("_n", met(so_far(*keys)) - met(so_far(*keys, "_v")) - (met(by_chunk) - met(by_both)))
     p = p.groupBy(*key).agg(F.sum("_n").alias("_n")).where("_n > 0")
-    sides = p.groupBy(*group).agg((F.sum("_n") / 2).cast("long").alias("n_pairs"), F.array_sort(F.collect_set("value")).alias("conflict_values"), F.array_sort(F.collect_set(chunk)).alias("chunks"))
-    who = sides.select(*group, F.explode("chunks").alias(chunk)).join(facts, [*group, chunk])
-    best = who.groupBy(*group).agg(F.max_by(chunk, F.struct(*(order or [F.col(end).isNull(), F.col(start)]), F.col(chunk))).alias("preferred"))
-    return sides.join(best, group)
+    p = p.select(*[c(x).alias(f"_p{i}") for i, x in enumerate(key)], "_n")
+    p = f.join(p, reduce(lambda a, b: a & b, [c(x).eqNullSafe(c(f"_p{i}")) for i, x in enumerate(key)]))
+    sides = p.groupBy(*keys).agg((F.sum("_n") / 2).cast("long").alias("n_pairs"), F.array_sort(F.collect_set(F.struct("_v", "value"))).alias("_values"), F.array_sort(F.collect_set(chunk)).alias("chunks"), F.first("_named").alias("_named"), F.max_by(chunk, F.struct(*(order or (preference([*known, chunk], chunk) if known else [c("_z").isNull(), c("_a"), c(chunk)])))).alias("preferred"))
+    # the least text of each value
+    shown_once = F.map_values(F.map_from_entries(F.transform(F.array_distinct(F.transform("_values", lambda x: x["_v"])), lambda v: F.struct(v, F.array_min(F.transform(F.filter("_values", lambda x: x["_v"] == v), lambda x: x["value"]))))))
+    return sides.select(*[c(f"_named.{g}").alias(g) for g in group], "n_pairs", F.array_sort(shown_once).alias("conflict_values"), "chunks", "preferred")
 
 
 def extractive_answers(evidence: DataFrame, query: str, quote: str = "quote", position: str = "position", most: int = 180, n: int = 3) -> DataFrame:
-    """First n quotes with blanks collapsed, cut and numbered; how many markers the text holds and whether all are valid."""
+    """First n quotes with blanks collapsed, cut and numbered from 1; valid if every quote's number is that of one of the n positions, and none is missing.
+
+    The answer's own markers are those at the ends of its lines: brackets inside quotes
+    are the quotes' text.
+    """
     short = F.substring(F.trim(F.regexp_replace(F.col(quote), r"\s+", " ")), 1, most)
     e = evidence.where(F.col(position) <= n).select(query, F.struct(F.col(position).alias("p"), F.concat(short, F.lit(" ["), F.col(position).cast("string"), F.lit("]")).alias("t")).alias("_x"))
     a = e.groupBy(query).agg(F.array_sort(F.collect_list("_x")).alias("_x"))
-    a = a.select(query, F.array_join(F.transform("_x", lambda x: x["t"]), "\n").alias("answer"), F.size("_x").alias("n_quotes"))
-    marks = F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), 1)
-    return a.withColumn("valid", (F.size(marks) > 0) & F.forall(marks, lambda m: m.try_cast("int").between(1, F.col("n_quotes"))))
+    marks = F.transform("_x", lambda x: x["p"].cast("int"))
+    return a.select(query, F.array_join(F.transform("_x", lambda x: x["t"]), "\n").alias("answer"), F.size("_x").alias("n_quotes"), (marks == F.sequence(F.lit(1), F.size("_x"))).alias("valid"))

@@ -62,6 +62,36 @@ def c5_comment_sections(spark, table):
     return chunks.comment_sections(t).select("doc_id", "section", "section_type", "author_type", F.length("text").cast("long").alias("n"))
 
 
+@query(r"""WITH p AS (SELECT p_partkey AS doc_id, 'v' || p_size || '.' || (p_partkey % 7) || '.0' AS v, p_size || '.9' AS h, p_name AS n FROM part)
+ SELECT doc_id, 1 AS section, h AS version, 'fixes' AS change_category, '# Bug fixes of ' || h AS title FROM p UNION ALL SELECT doc_id, 2, substr(v, 2), 'fixes', v FROM p WHERE false
+ UNION ALL SELECT doc_id, 2, h, 'fixes', v FROM p UNION ALL SELECT doc_id, 3, substr(v, 2), 'features', '# New: ' || n FROM p""")
+def c3_release_sections(spark, table):
+    """Release notes of every part: a heading with a version, a line that only names a release, and lines that begin with a number."""
+    c = F.col
+    v, h = F.concat(F.lit("v"), c("p_size"), F.lit("."), c("p_partkey") % 7, F.lit(".0")), F.concat(c("p_size"), F.lit(".9"))
+    text = F.concat_ws("\n", F.concat(F.lit("# Bug fixes of "), h), F.lit("1.5 times faster"), v, c("p_type"), F.concat(F.lit("# New: "), c("p_name")), F.lit("2.0"))
+    s = chunks.release_sections(table("part").select(c("p_partkey").alias("doc_id"), text.alias("text")))
+    return s.select("doc_id", c("section").cast("int").alias("section"), "version", "change_category", "title")
+
+
+@query(r"""WITH p AS (SELECT p_partkey AS doc_id, p_name AS n, (p_partkey * 37 % 9000 + 1000)::BIGINT AS usd, p_size AS eur FROM part)
+ SELECT doc_id, 'pricing_common' AS section_type, NULL AS plan_name, n || ',Pro plan' AS plans, NULL AS price_value, NULL AS currency, NULL AS billing_period FROM p
+ UNION ALL SELECT doc_id, 'pricing_plan', n, n, usd::DOUBLE, 'USD', 'month' FROM p UNION ALL SELECT doc_id, 'pricing_plan', 'Pro plan', 'Pro plan', eur + 0.5, 'EUR', 'year' FROM p
+ UNION ALL SELECT doc_id, 'pricing_common', NULL, n || ',Pro plan', 5.0, 'GBP', NULL FROM p UNION ALL SELECT doc_id, 'pricing_common', NULL, n || ',Pro plan', 0.0, NULL, NULL FROM p""")
+def c4_plan_chunks(spark, table):
+    """A price list of every part."""
+    c = F.col
+    usd = (c("p_partkey") * 37 % 9000 + 1000).cast("string")
+    lit = F.lit
+    text = F.concat(
+        lit("# Prices\nFor all\n## "), c("p_name"), lit("\n$"), F.expr("left(u, length(u) - 3)"), lit(","), F.expr("right(u, 3)"),
+        lit(" per user / month\n## **Pro plan**\nPlain text here\nEUR "), c("p_size").cast("string"),
+        lit(".5 per year\n## Questions\n### What is Pro\n£5 only\n## Rest\na\nb\nc\nd\n free "),
+    )
+    d = table("part").withColumn("u", usd).select(c("p_partkey").alias("doc_id"), text.alias("text"))
+    return chunks.plan_chunks(d).select("doc_id", "section_type", "plan_name", F.array_join("applicable_plans", ",").alias("plans"), "price_value", "currency", "billing_period")
+
+
 @query()
 def c6_chunk_documents(spark, table):
     d = table("documents").select("doc_id", "text", F.col("source").alias("source_type"))

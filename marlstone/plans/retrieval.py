@@ -273,7 +273,7 @@ def e5_detect_conflicts(spark, table):
 
 
 @query(_QUOTES + """, a AS (SELECT item_id, rank, left(trim(regexp_replace(quote, '\\s+', ' ', 'g')), 180) || ' [' || rank || ']' AS t FROM qu WHERE rank <= 3)
- SELECT item_id, sha256(string_agg(t, chr(10) ORDER BY rank)) AS answer_digest, count(*) AS n_quotes, true AS valid FROM a GROUP BY item_id""")
+ SELECT item_id, sha256(string_agg(t, chr(10) ORDER BY rank)) AS answer_digest, count(*) AS n_quotes, max(rank) = count(*) AND min(rank) = 1 AS valid FROM a GROUP BY item_id""")
 def e6_extractive_answers(spark, table):
     a = evidence.extractive_answers(quotes(table).withColumn("position", F.col("rank")), "item_id")
     return a.select("item_id", F.sha2("answer", 256).alias("answer_digest"), F.col("n_quotes").cast("long").alias("n_quotes"), "valid")

@@ -103,16 +103,6 @@ def test_windows(spark):
     assert all(b.char_start <= a.char_end for a, b in zip(got, got[1:]))
 
 
-def test_chunkers(spark):
-    d = spark.createDataFrame([(1, "v1.2.0\n### Fixed bugs\n- a\n1.1.0\nnew thing"), (2, "Free plan $0\nPro $20 per month\nbilled yearly")], "doc_id long, text string")
-    r = chunks.release_sections(d.where("doc_id = 1")).orderBy("section").collect()
-    assert [(x.version, x.change_category) for x in r] == [("1.2.0", "other"), ("1.2.0", "fixes"), ("1.1.0", "other")]
-    p = chunks.plan_sections(d.where("doc_id = 2"), ["free", "pro"]).orderBy("pos").collect()
-    assert [(x.plan, x.price, x.currency, x.billing_period, list(x.applicable_plans)) for x in p] == [("Free", 0.0, "USD", None, ["Free"]), ("Pro", 20.0, "USD", "month", ["Pro"]), (None, None, None, "year", ["Free", "Pro"])]
-    s = spark.createDataFrame([(1, "# 2024-01-02 x\na\n# 2023-01-01 old\nb\n# 2024-01-02 x\nc")], "doc_id long, text string")
-    assert [(str(x.date), x.ordinal) for x in chunks.dated_sections(s, "2024-01-01").orderBy("ordinal").collect()] == [("2024-01-02", 1), ("2024-01-02", 2)]
-
-
 def test_cuts():
     t = "One two. Three four five.\n\nSix " + "x" * 30 + " seven   "
     marks = chunks.Marks(t)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from ..functions.text import nfkc
 
 # fixed values: query keys that only track, beside utm_*
 TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref_src")
@@ -11,21 +15,70 @@ TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref_src")
 BOILERPLATE = r"(?i)^(?:accept (?:all )?cookies?|cookie (?:settings|preferences|policy)|privacy preferences|skip to (?:main )?content|back to top)$"
 
 
+SAFE = "/%:@!$&'()*+,;=-._~"  # fixed value: marks that stay as they are in a path
+
+
+@F.pandas_udf(StringType())
+def _ascii_host(s: pd.Series) -> pd.Series:
+    def one(h: str) -> str:
+        try:
+            return h.encode("idna").decode("ascii")
+        except UnicodeError:
+            return h
+
+    return s.map(lambda h: None if h is None else one(h))
+
+
+@F.pandas_udf(StringType())
+def _quoted_path(s: pd.Series) -> pd.Series:
+    from urllib.parse import quote
+
+    return s.map(lambda p: None if p is None else quote(p, safe=SAFE))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("k", StringType()), StructField("v", StringType())])))
+def _decoded_pairs(s: pd.Series) -> pd.Series:
+    from urllib.parse import parse_qsl
+
+    return s.map(lambda q: [] if q is None else [{"k": k, "v": v} for k, v in parse_qsl(q, keep_blank_values=True)])
+
+
+@F.pandas_udf(StringType())
+def _encoded(s: pd.Series) -> pd.Series:
+    from urllib.parse import quote_plus
+
+    return s.map(lambda x: None if x is None else quote_plus(x))
+
+
 def canonical_url(u: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment or tracking keys, clean path, sorted query; relative ids stay."""
-    u = F.trim(F.coalesce(u, F.lit("")))
+    """Lower-case scheme, ASCII host (IDNA), no default port, fragment or tracking keys, user info kept, clean path in percent form, query pairs decoded, sorted and encoded; relative ids stay.
+
+    An address that begins with // or with a host name gets https.  Only rows with
+    characters beyond the plain ones leave the JVM.
+    """
+    u = nfkc(F.trim(F.coalesce(u, F.lit(""))))
     bare = F.regexp_replace(u, r"#.*$", "")
+    u = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.rlike(r"^[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:[/?#]|$)"), F.concat(F.lit("https://"), u)).otherwise(u)
     form = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
     part = lambda i: F.regexp_extract(u, form, i)
-    scheme, host = F.lower(part(1)), F.lower(part(2))
-    host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
+    scheme, place = F.lower(part(1)), part(2)
+    user, host = F.regexp_extract(place, r"^(.*@)", 1), F.lower(F.regexp_replace(place, r"^.*@", ""))
+    name, port = F.regexp_replace(host, r":\d*$", ""), F.regexp_extract(host, r":(\d+)$", 1)
+    name = F.when(name.rlike(r"[^\x00-\x7F]"), _ascii_host(name)).otherwise(name)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    host = F.concat(user, name, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
     names = F.filter(F.split(F.regexp_replace(part(3), r"/{2,}", "/"), "/"), lambda s: (s != "") & (s != "."))
     start = F.array().cast("array<string>")
-    clean = F.aggregate(names, start, lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
-    pairs = F.filter(F.split(part(4), "&"), lambda q: (q != "") & ~F.lower(q).startswith("utm_") & ~F.lower(F.substring_index(q, "=", 1)).isin(*TRACKING))
-    pairs = F.transform(pairs, lambda q: F.when(q.contains("="), q).otherwise(F.concat(q, F.lit("="))))
-    query = F.concat_ws("&", F.array_sort(pairs))
-    out = F.concat(scheme, F.lit("://"), host, F.lit("/"), F.concat_ws("/", clean), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    clean = F.concat_ws("/", F.aggregate(names, start, lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s)))))
+    clean = F.when(clean.rlike(r"[^A-Za-z0-9/%:@!$&'()*+,;=._~-]"), _quoted_path(clean)).otherwise(clean)
+    simple = F.transform(F.filter(F.split(part(4), "&"), lambda q: q != ""), lambda q: F.struct(F.substring_index(q, "=", 1).alias("k"), F.when(q.contains("="), F.substring(q, F.instr(q, F.lit("=")) + 1, F.length(q))).otherwise("").alias("v")))
+    odd = part(4).rlike(r"[^A-Za-z0-9_.~&=-]") | part(4).rlike(r"=[^&]*=")
+    pairs = F.when(odd, _decoded_pairs(part(4))).otherwise(simple)
+    pairs = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING)))
+    # one text for all pairs, so that it can be encoded at once: no encoded text has a line end
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("\x02"), p["v"])), "\x01")
+    query = F.when(odd, F.replace(F.replace(_encoded(joined), F.lit("%01"), F.lit("&")), F.lit("%02"), F.lit("="))).otherwise(F.replace(F.replace(joined, F.lit("\x01"), F.lit("&")), F.lit("\x02"), F.lit("=")))
+    out = F.concat(scheme, F.lit("://"), host, F.lit("/"), clean, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(u.rlike(form), out).otherwise(bare)
 
 

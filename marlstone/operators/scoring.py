@@ -194,12 +194,39 @@ def compare_runs(runs: DataFrame, product: str, tasks: int | Column) -> DataFram
     )
 
 
-def validate_runs(runs: DataFrame, tasks: DataFrame, task: str = "task_id") -> DataFrame:
-    """Adds `reject`: unknown task or another revision than the catalogue's; null if fine."""
-    t = tasks.select(F.col(task).alias("_t"), F.col("revision").alias("_r"))
+CONTRACT = ("task_revision", "task_fingerprint", "validator_sha256", "protocol_sha256", "starter_sha256")
+PROTOCOL = ("task_revision", "task_fingerprint", "validator_sha256", "protocol_sha256")
+
+
+def fingerprint(columns: list[str]) -> Column:
+    """Digest of a task's definition: its columns by name as JSON without blanks, nulls included."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def validate_runs(runs: DataFrame, tasks: DataFrame, task: str = "task_id", contract: tuple[str, ...] = CONTRACT, protocol: tuple[str, ...] = PROTOCOL, definition: list[str] | None = None) -> DataFrame:
+    """Adds `reject` (null if fine) and `mismatches`: unknown tasks, runs that differ from the task's contract, tasks whose runs follow several protocols.
+
+    The contract's columns are compared null-safely, as far as both tables have them; with
+    `definition` the task's fingerprint is computed from those columns and not taken from
+    the catalogue.  A protocol is mixed if runs of one task that are fine by themselves
+    differ in `protocol` columns; all of them are rejected then.  A task listed twice is an error.
+    """
+    if definition is not None:
+        tasks = tasks.withColumn("task_fingerprint", fingerprint(definition))
+    own = [c for c in contract if c in runs.columns and c in tasks.columns]
+    # a task listed twice would double its runs
+    t = tasks.groupBy(F.col(task).alias("_t")).agg(F.count("*").alias("_k"), *[F.first(c).alias(f"_t_{c}") for c in own])
+    t = t.withColumn("_k", F.when(F.col("_k") > 1, F.raise_error(F.concat(F.lit("task listed twice: "), F.col("_t").cast("string"))).cast("long")).otherwise(F.col("_k")))
     j = runs.join(t, F.col(task) == F.col("_t"), "left")
-    why = F.when(F.col("_t").isNull(), "unknown_task").when(~F.col("revision").eqNullSafe(F.col("_r")), "revision_mismatch")
-    return j.withColumn("reject", why).drop("_t", "_r")
+    off = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_t_{c}")), F.lit(c)) for c in own])) if own else F.array().cast("array<string>")
+    j = j.withColumn("mismatches", F.when(F.col("_k").isNotNull(), off)).withColumn("_fine", F.col("_k").isNotNull() & (F.size("mismatches") == 0))
+    said = [c for c in protocol if c in runs.columns]
+    mixed = j.where("_fine").groupBy(F.col(task).alias("_m")).agg(F.count_distinct(F.struct(*said)).alias("_p")).where("_p > 1").select("_m") if said else None
+    why = F.when(F.col("_k").isNull(), "unknown_task").when(F.size("mismatches") > 0, "contract_mismatch")
+    if mixed is not None:
+        j = j.join(mixed, F.col(task) == F.col("_m"), "left")
+        why = why.when(F.col("_m").isNotNull(), "mixed_protocol")
+    return j.withColumn("reject", why).select(*runs.columns, "mismatches", "reject")
 
 
 def import_runs(existing: DataFrame, batch: DataFrame, key: str, content: list[str], seq: str) -> DataFrame:

@@ -114,7 +114,8 @@ def p10_page_title(spark, table):
 
 @query(r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
   f AS (SELECT page_id, pos, origin, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:/]+:') || href WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS link FROM a WHERE NOT regexp_matches(lower(href), '^(#|mailto:|javascript:|tel:|data:)') AND href <> '')
-  SELECT page_id, min(pos) AS pos, link, bool_and(starts_with(link, origin)) AS same_origin FROM f GROUP BY page_id, link""")
+  , q AS (SELECT page_id, pos, origin, array_to_string(list_transform(string_split(link, ''), lambda x: CASE WHEN regexp_matches(x, '[^A-Za-z0-9/%:@!$&''()*+,;=._~?-]') THEN url_encode(x) ELSE x END), '') AS link FROM f)
+  SELECT page_id, min(pos) AS pos, link, bool_and(starts_with(link, origin)) AS same_origin FROM q GROUP BY page_id, link""")
 def p14_page_links(spark, table):
     return html.page_links(table("pages")).select("page_id", "pos", "link", "same_origin")
 

@@ -262,11 +262,20 @@ def x10_default_baseline(spark, table):
     return have.unionByName(none)
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'unknown_task' WHEN l_linenumber % 5 <> p_size % 5 THEN 'revision_mismatch' END AS reject FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON p_partkey = l_partkey""")
+@query("""WITH t AS (SELECT p_partkey, p_size % 3 AS rev, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_type":"' || p_type || '"}') AS fp FROM part),
+ r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 3 AS rev, x.fp, l_returnflag AS validator FROM lineitem LEFT JOIN t x ON x.p_partkey = l_partkey - CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END),
+ j AS (SELECT r.*, t.p_partkey IS NULL AS unknown, concat_ws(',', CASE WHEN r.fp IS DISTINCT FROM t.fp THEN 'task_fingerprint' END, CASE WHEN r.rev IS DISTINCT FROM t.rev THEN 'task_revision' END) AS m FROM r LEFT JOIN t ON t.p_partkey = r.l_partkey),
+ x AS (SELECT l_partkey FROM j WHERE NOT unknown AND m = '' GROUP BY 1 HAVING count(DISTINCT validator) > 1)
+ SELECT l_orderkey, l_linenumber, CASE WHEN NOT unknown THEN m END AS mismatches, CASE WHEN unknown THEN 'unknown_task' WHEN m <> '' THEN 'contract_mismatch' WHEN l_partkey IN (SELECT l_partkey FROM x) THEN 'mixed_protocol' END AS reject FROM j""")
 def b1_validate_runs(spark, table):
-    r = table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("task_id"), (F.col("l_linenumber") % 5).alias("revision"))
-    t = table("part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("task_id"), (F.col("p_size") % 5).alias("revision"))
-    return S.validate_runs(r, t).select("l_orderkey", "l_linenumber", "reject")
+    """Line items as runs of parts; a run with a large discount states the fingerprint of the part before."""
+    c, p = F.col, table("part")
+    seen = p.select(c("p_partkey").alias("_p"), S.fingerprint(["p_name", "p_brand", "p_type"]).alias("task_fingerprint"))
+    of = c("l_partkey") - F.when(c("l_discount") >= 0.09, 1).otherwise(0)
+    r = table("lineitem").withColumn("_of", of).join(seen, c("_of") == c("_p"), "left").select("l_orderkey", "l_linenumber", c("l_partkey").alias("task_id"), (c("l_suppkey") % 3).cast("int").alias("task_revision"), "task_fingerprint", c("l_returnflag").alias("validator_sha256"))
+    t = p.select(c("p_partkey").alias("task_id"), (c("p_size") % 3).alias("task_revision"), "p_name", "p_brand", "p_type")
+    v = S.validate_runs(r, t, definition=["p_name", "p_brand", "p_type"])
+    return v.select("l_orderkey", "l_linenumber", F.array_join(F.array_sort("mismatches"), ",").alias("mismatches"), "reject")
 
 
 @query("""WITH b AS (SELECT l_orderkey AS run_id, l_returnflag AS c, l_linenumber AS seq FROM lineitem WHERE l_orderkey % 3 <> 0), e AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN 'R' ELSE 'N' END AS c FROM orders WHERE o_orderkey % 4 <> 0),

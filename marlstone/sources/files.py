@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,14 @@ from . import published
 
 CAPTURE = "schema_version string, raw_record_id string, crawl_run_id string, competitor string, source_type string, requested_url string, canonical_url string, final_url string, fetched_at timestamp, published_at timestamp, http_status int, content_type string, etag string, last_modified string, payload_path string, payload_hash string, error string, needs_browser boolean, source_metadata string, _bad string"
 DOCUMENT = "document_id string, version_id string, raw_record_id string, raw_path string, competitor string, title string, content string, source_type string, evidence_level string, url string, raw_version string, product_version string, publish_time timestamp, crawl_time timestamp, event_type string, dimension_tags array<string>, content_hash string, is_current boolean, valid_from timestamp, valid_to timestamp, index_status string, language string, author string, source_metadata string, label_confidence double, label_reasons array<string>, needs_review boolean, _bad string"
-RUN_COLUMNS = ("run_id", "competitor", "task_id", "task_revision", "task_success", "compile_success", "test_pass_rate", "edit_rounds", "latency_ms", "estimated_cost", "validator_sha256")
+# fixed values: the columns of a runs file in their order, those that prove a run's origin, and those that are read as flags and numbers
+RUN_COLUMNS = (
+    "run_id", "competitor", "task_id", "task_revision", "task_fingerprint", "validator_sha256", "protocol_sha256", "starter_sha256", "candidate_sha256", "product_version", "model",
+    "task_success", "compile_success", "test_pass_rate", "edit_rounds", "latency_ms", "manual_intervention", "estimated_cost", "harmful_action", "notes", "run_at",
+)
+PROVENANCE = ("task_fingerprint", "validator_sha256", "protocol_sha256", "starter_sha256", "candidate_sha256")
+RUN_KINDS = {"task_success": "flag", "compile_success": "flag", "harmful_action": "flag", "test_pass_rate": "double", "estimated_cost": "double", "edit_rounds": "int", "latency_ms": "int", "manual_intervention": "int", "run_at": "timestamp"}
+RUN_DEFAULTS = {"task_success": False, "harmful_action": False, "test_pass_rate": 0.0, "edit_rounds": 0, "latency_ms": 0, "manual_intervention": 0, "estimated_cost": 0.0}
 
 
 def _uri(c: Column) -> Column:
@@ -39,20 +48,47 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
     return j.withColumn("failure", why).drop("_bad")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of every line of text files, however their splits lie.
+
+    A split's lines are counted as they are read; the counts of the splits before it in
+    its file (one small row for each split) give its first number.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
+
+    def count(batches):
+        seen: dict[tuple, int] = {}  # the splits of one task
+        for b in batches:
+            n = []
+            for key in zip(b["file"], b["_at"]):
+                seen[key] = seen.get(key, 0) + 1
+                n.append(seen[key])
+            b["_n"] = n
+            yield b
+
+    own = raw.mapInPandas(count, "value string, file string, _at long, _n long")
+    before = Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    per = own.groupBy(F.col("file").alias("_f"), F.col("_at").alias("_s")).agg(F.max("_n").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    j = own.join(per.drop("_k"), (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_s")))
+    return j.select("file", (F.col("_before") + F.col("_n")).alias("line"), "value")
+
+
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Valid document versions, and rejects (file, reason, raw); blank lines are skipped.
+    """Valid document versions, and rejects (file, line, reason, raw); blank lines are skipped.
 
     Bad rows, repeated version ids and second current versions are rejects.
     """
-    rows = spark.read.schema(DOCUMENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.input_file_name())
-    bad = rows.where(F.col("_bad").isNotNull() | F.col("version_id").isNull()).select("_file", F.when(F.col("_bad").isNotNull(), "invalid_json").otherwise("missing_id").alias("reason"), F.coalesce("_bad", F.lit("")).alias("raw"))
-    good = rows.where("_bad is null and version_id is not null")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    rows = lines.withColumn("_d", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).select("file", "line", "value", "_d.*")
+    why = F.when(F.col("_bad").isNotNull(), "invalid_json").when(F.col("version_id").isNull(), "missing_id")
     n = F.count("*").over(Window.partitionBy("version_id"))
     cur = F.count_if("is_current").over(Window.partitionBy("document_id"))
-    good = good.withColumns({"_n": n, "_c": cur})
-    clash = good.where((F.col("_n") > 1) | (F.col("is_current") & (F.col("_c") > 1))).select("_file", F.when(F.col("_n") > 1, "duplicate_version").otherwise("many_current").alias("reason"), F.col("version_id").alias("raw"))
-    ok = good.where("_n = 1 and not (is_current and _c > 1)").drop("_bad", "_n", "_c", "_file")
-    return ok, bad.unionByName(clash).withColumnRenamed("_file", "file")
+    bad = rows.withColumn("reason", why).where("reason is not null").select("file", "line", "reason", F.col("value").alias("raw"))
+    good = rows.where(why.isNull()).withColumns({"_n": n, "_c": cur})
+    clash = F.when(F.col("_n") > 1, "duplicate_version").when(F.col("is_current") & (F.col("_c") > 1), "many_current")
+    good = good.withColumn("reason", clash)
+    ok = good.where("reason is null").drop("_bad", "_n", "_c", "file", "line", "value", "reason")
+    return ok, bad.unionByName(good.where("reason is not null").select("file", "line", "reason", F.col("value").alias("raw")))
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -112,15 +148,30 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Runs and rejects from CSV whose header must equal the contract, in order."""
-    header = tuple(spark.read.option("header", "true").csv(path).columns)
+    """Runs and rejects (with `reject`) from CSV whose header must equal the contract, in order.
+
+    A row is rejected for itself: without a hash that proves its origin, without a
+    competitor, task or revision, with a flag or number that is none, out of its range, or
+    below 0.  Blank values take their defaults, else they are null; extra values reject.
+    """
+    header = tuple(x.strip() for x in spark.read.option("header", "true").csv(path).columns)
     if header != RUN_COLUMNS:
-        raise ValueError(f"header {header} is not {RUN_COLUMNS}")
-    r = spark.read.schema(", ".join(f"{c} string" for c in RUN_COLUMNS)).option("header", "true").csv(path)
-    yes = lambda c: F.when(F.lower(F.trim(c)).isin("true", "1", "yes", "y"), True).when(F.lower(F.trim(c)).isin("false", "0", "no", "n"), False)
-    t = r.select("run_id", "competitor", "task_id", "task_revision", yes("task_success").alias("task_success"), yes("compile_success").alias("compile_success"), F.col("test_pass_rate").try_cast("double").alias("test_pass_rate"), F.col("edit_rounds").try_cast("int").alias("edit_rounds"), F.col("latency_ms").try_cast("int").alias("latency_ms"), F.col("estimated_cost").try_cast("double").alias("estimated_cost"), F.nullif(F.trim("validator_sha256"), F.lit("")).alias("validator_sha256"))
-    why = F.when(F.col("validator_sha256").isNull(), "missing_provenance").when(F.col("task_success").isNull(), "bad_task_success").when(F.col("test_pass_rate").isNull(), "bad_test_pass_rate")
-    t = t.withColumn("reject", why)
+        lacks, more = [x for x in RUN_COLUMNS if x not in header], [x for x in header if x not in RUN_COLUMNS]
+        raise ValueError(f"header is not the contract's: missing {lacks}, unknown {more}, order {list(RUN_COLUMNS)}")
+    r = spark.read.schema(", ".join(f"{c} string" for c in (*RUN_COLUMNS, "_more"))).option("header", "true").option("multiLine", "true").option("escape", '"').option("enforceSchema", "true").csv(path)
+    text = {c: F.nullif(F.trim(c), F.lit("")) for c in (*RUN_COLUMNS, "_more")}
+    yes = lambda c: F.when(F.lower(c).isin("true", "1", "yes", "y"), True).when(F.lower(c).isin("false", "0", "no", "n"), False)
+    read = {c: yes(text[c]) if k == "flag" else text[c].try_cast(k) for c, k in RUN_KINDS.items()}
+    why = F.when(reduce(lambda a, b: a | b, [text[c].isNull() for c in PROVENANCE]), "missing_provenance")
+    why = why.when(text["_more"].isNotNull(), "extra_values")
+    for c in ("competitor", "task_id", "task_revision"):
+        why = why.when(text[c].isNull(), f"missing_{c}")
+    for c, v in read.items():
+        why = why.when(text[c].isNotNull() & v.isNull(), f"bad_{c}")
+    for c in ("test_pass_rate", "estimated_cost", "edit_rounds", "latency_ms", "manual_intervention"):
+        why = why.when((read[c] < 0) | (read[c] > 1 if c == "test_pass_rate" else F.lit(False)) | (F.isnan(read[c]) if RUN_KINDS[c] == "double" else F.lit(False)), f"bad_{c}")
+    out = [F.coalesce(read[c], F.lit(RUN_DEFAULTS[c])).alias(c) if c in RUN_DEFAULTS else read.get(c, text[c]).alias(c) for c in RUN_COLUMNS]
+    t = r.select(*out, why.alias("reject"))
     return t.where("reject is null").drop("reject"), t.where("reject is not null")
 
 

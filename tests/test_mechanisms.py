@@ -108,3 +108,82 @@ def test_declared_start(spark):
     rows = [(1, 10, "a", 3, 0), (1, 12, "b", 1, 1), (2, 5, "a", None, 2), (3, 5, "a", 9, 3)]
     h = versions.version_history(spark.createDataFrame(rows, "e int, t int, s string, d int, n int"), "e", "t", "s", "n", "d").orderBy("e", "version_no").collect()
     assert [(r.e, r.valid_from, r.valid_to) for r in h] == [(1, 3, 12), (1, 12, None), (2, 5, None), (3, 5, None)]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    row = lambda v, d, c: json.dumps({"version_id": v, "document_id": d, "is_current": c})
+    lines = [row(str(i), f"d{i}", True) for i in range(300)]
+    lines[40], lines[41], lines[250], lines[299] = "{bad", "", row("7", "z", False), json.dumps({"title": "x"})
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text("\n" + row("n", "d0", True) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        numbered = files.numbered_lines(spark, str(tmp_path))
+        assert numbered.rdd.getNumPartitions() > 3
+        want = {(f, i + 1): x for f, xs in (("a.jsonl", lines), ("b.jsonl", ["", row("n", "d0", True)])) for i, x in enumerate(xs)}
+        assert {(r.file.rsplit("/", 1)[1], r.line): r.value for r in numbered.collect()} == want
+        ok, bad = files.read_documents(spark, str(tmp_path))
+        got = {(r.file.rsplit("/", 1)[1], r.line): r.reason for r in bad.collect()}
+        assert got == {("a.jsonl", 41): "invalid_json", ("a.jsonl", 300): "missing_id", ("a.jsonl", 8): "duplicate_version", ("a.jsonl", 251): "duplicate_version", ("a.jsonl", 1): "many_current", ("b.jsonl", 2): "many_current"}
+        assert ok.count() == 300 - 6  # a blank line, and five that are rejected here
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_ingest_reads_only_its_buckets(spark, tmp_path):
+    to, target = str(tmp_path), f"{tmp_path}/out"
+    spark.createDataFrame([(f"k{i}", i) for i in range(50)], "id string, n int").write.parquet(f"{to}/in")
+    run = lambda ck: jobs.ingest(spark.readStream.schema("id string, n int").parquet(f"{to}/in"), lambda d: d.where("n <> 13"), "id", target, f"{to}/{ck}", 8).awaitTermination()
+    for ck in ("a", "b", "a"):  # replayed from the start, and resumed
+        run(ck)
+        assert sorted(r.n for r in spark.read.parquet(target).collect()) == [i for i in range(50) if i != 13]
+    one = spark.createDataFrame([("k3", 3), ("new", 99), ("new", 99)], "id string, n int")
+    fresh = jobs.fresh_rows(one, target, "id", 8)
+    assert [r.id for r in fresh.collect()] == ["new"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [_bucket" in plan or "_bucket#" in plan.split("PartitionFilters: ")[1][:60]
+
+
+def test_late_events_are_counted(spark, tmp_path):
+    to = str(tmp_path)
+    batches = [[("a", "2024-01-01 00:00:10"), ("a", "2024-01-01 00:05:00")], [("a", "2024-01-01 00:00:50"), ("b", "2024-01-01 00:04:30"), (None, "2024-01-01 00:06:00")], [("a", "2024-01-01 00:00:20"), ("a", "2024-01-01 00:05:59"), ("a", None)]]
+    for b in batches:
+        spark.createDataFrame(b, "k string, t string").select("k", F.to_timestamp("t").alias("t")).coalesce(1).write.mode("append").parquet(f"{to}/in")
+        s = spark.readStream.schema("k string, t timestamp").parquet(f"{to}/in")
+        jobs.count_events(s, "t", "k", 60, 120, f"{to}/out", f"{to}/ck").awaitTermination()
+    got = {(str(r.start)[14:16], r.kind): (r.n, r.n_late) for r in jobs.window_counts(spark, f"{to}/out").collect()}
+    assert got == {("00", "a"): (1, 2), ("05", "a"): (2, 0), ("04", "b"): (1, 0), ("06", None): (1, 0)}
+
+
+def test_contract_of_runs(spark):
+    from marlstone.operators import scoring
+
+    tasks = spark.createDataFrame([("t1", "1", "v", "write it", ["a"]), ("t2", "1", "v", None, None)], "task_id string, task_revision string, validator_sha256 string, prompt string, tags array<string>")
+    prints = {r.task_id: r.f for r in tasks.select("task_id", scoring.fingerprint(["prompt", "tags"]).alias("f")).collect()}
+    import hashlib
+
+    assert prints["t1"] == hashlib.sha256(b'{"prompt":"write it","tags":["a"]}').hexdigest() and prints["t2"] == hashlib.sha256(b'{"prompt":null,"tags":null}').hexdigest()
+    run = lambda i, t, rev="1", v="v", f=None, p="p": (i, t, rev, v, f or prints.get(t), p)
+    runs = [run("a", "t1"), run("b", "t1", rev="2"), run("c", "t1", v="w", f="x"), run("d", "t9"), run("e", "t2", p="p"), run("f", "t2", p="q"), run("g", "t2", rev="0", p="r"), run("h", "t1", v=None)]
+    d = spark.createDataFrame(runs, "run_id string, task_id string, task_revision string, validator_sha256 string, task_fingerprint string, protocol_sha256 string")
+    got = {r.run_id: (r.reject, r.mismatches and list(r.mismatches)) for r in scoring.validate_runs(d, tasks, definition=["prompt", "tags"]).collect()}
+    assert got == {
+        "a": (None, []), "b": ("contract_mismatch", ["task_revision"]), "c": ("contract_mismatch", ["task_fingerprint", "validator_sha256"]), "d": ("unknown_task", None),
+        "e": ("mixed_protocol", []), "f": ("mixed_protocol", []), "g": ("contract_mismatch", ["task_revision"]), "h": ("contract_mismatch", ["validator_sha256"]),
+    }
+    with pytest.raises(Exception, match="task listed twice"):
+        scoring.validate_runs(d, tasks.unionByName(tasks)).collect()
+
+
+def test_addresses(spark):
+    from marlstone.operators import prepare
+
+    table = {
+        "https://Bücher.Example/a": "https://xn--bcher-kva.example/a", "//cdn.x.com/y": "https://cdn.x.com/y", "Example.com/Path": "https://example.com/Path", "example.com": "https://example.com/",
+        "http://User:Pw@HOST.com:80/": "http://User:Pw@host.com/", "https://h.com:8443//a/./b/../c/": "https://h.com:8443/a/c", "http://h.com/ü b?q=a%20b&z=ü": "http://h.com/%C3%BC%20b?q=a+b&z=%C3%BC",
+        "http://h.com/?b=2&a1=x&a=y&utm_x=1&FBCLID=2": "http://h.com/?a=y&a1=x&b=2", "http://h.com/?x=a=b&y": "http://h.com/?x=a%3Db&y=", "doc-17#frag": "doc-17", "a/b.html": "a/b.html", "ＨＴＴＰ://ｈ.com/": "http://h.com/",
+        "http://h.com/a%2Fb": "http://h.com/a%2Fb", "http://h.com/?k=1%262": "http://h.com/?k=1%262", "": "",
+    }
+    d = spark.createDataFrame([(k,) for k in table], "u string")
+    assert {r.u: r.c for r in d.select("u", prepare.canonical_url(F.col("u")).alias("c")).collect()} == table

@@ -182,9 +182,11 @@ def test_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text('case_id,question,relevant_document_ids,relevance_grades,expected_version\n1,q,a;b,"{""a"": 2}",\n2,q,"[""x"",""y""]",,v1\n')
     got = files.read_eval_cases(spark, str(tmp_path / "c.csv")).orderBy("case_id").collect()
     assert [(list(r.relevant_document_ids), r.relevance_grades, r.expected_version) for r in got] == [(["a", "b"], {"a": 2.0}, None), (["x", "y"], None, "v1")]
-    (tmp_path / "r.csv").write_text(",".join(files.RUN_COLUMNS) + "\n1,c,t,1,yes,,0.5,1,2,3,h\n2,c,t,1,maybe,,0.5,1,2,3,h\n3,c,t,1,no,,0.5,1,2,3,\n")
+    row = lambda i, ok="yes", rate="0.5", start="s", more="": f"{i},c,t,1,f,v,p,{start},x,,m,{ok},,{rate},1,2,0,0.1,no,\"a, note\",2024-01-01T00:00:00Z{more}"
+    (tmp_path / "r.csv").write_text("\n".join([",".join(files.RUN_COLUMNS), row(1), row(2, "maybe"), row(3, "no", start=""), row(4, rate="1.5"), row(5, ok=""), row(6, more=",z")]) + "\n")
     ok, bad = files.read_runs(spark, str(tmp_path / "r.csv"))
-    assert [r.run_id for r in ok.collect()] == ["1"] and sorted(r.reject for r in bad.collect()) == ["bad_task_success", "missing_provenance"]
+    assert sorted((r.run_id, r.task_success, r.compile_success, r.model, r.product_version, r.notes, r.run_at.year) for r in ok.collect()) == [("1", True, None, "m", None, "a, note", 2024), ("5", False, None, "m", None, "a, note", 2024)]
+    assert sorted((r.run_id, r.reject) for r in bad.collect()) == [("2", "bad_task_success"), ("3", "missing_provenance"), ("4", "bad_test_pass_rate"), ("6", "extra_values")]
     (tmp_path / "w.csv").write_text("a,b\n")
     with pytest.raises(ValueError):
         files.read_runs(spark, str(tmp_path / "w.csv"))

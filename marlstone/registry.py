@@ -9,9 +9,25 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+WORDY = {"documents", "pages", "conversations", "embeddings"}  # tables whose rows take long, for their bytes
+SPLIT_BYTES = 1 << 26
+
+
+def spread(df):
+    """A table too small to give every core a split of its own, dealt out row by row; a larger one as its files lie.
+
+    A file is read by as many tasks as it has row groups, and a small one has one: all
+    that is done to its rows would be done by a single core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def read(spark, sf_dir: str, name: str):
     """A given table; times without a zone are UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(df) if name in WORDY else df
     plain = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: df[c].cast("timestamp") for c in plain}) if plain else df
 

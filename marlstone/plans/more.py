@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import flatten
+from ..operators import chain as chain_of
 from ..operators import chunks, evaluate, html, retrieval, tables
 from ..registry import query, scratch
 from ..sources import published
@@ -197,3 +198,13 @@ def i6_publish_index(spark, table):
     tables.publish_index(d.where("false"), root, "empty", True)
     tables.publish_index(d, root, "whole", True, rows=d.count(), check=lambda x: x.groupBy("doc_id").count().where("count > 1").count())
     return published.read(spark, root)
+
+
+@query()
+def r11_answer_trace(spark, table):
+    """The whole chain over every question, its source inferred from the words in it; counts of every stage."""
+    level = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")), F.substring("source", 4, 9).cast("int") % 4 + 1)
+    d = table("documents").select("doc_id", "text", level.alias("level"), F.col("source").alias("fact"), F.col("source").alias("competitor"), F.col("lang").alias("fact_field"), F.col("n_chars").cast("string").alias("fact_value"))
+    names = spark.createDataFrame([("than", "src1"), ("thanin", "src2"), ("ere", "src3"), ("tion", "src4")], "alias string, canonical string")
+    more = spark.createDataFrame([("that", "thereof", 1), ("the", "and", 2)], "term string, synonym string, seq int")
+    return chain_of.answer(table("benchmark"), d, "item_id", "doc_id", F.lit("2024-01-20").cast("timestamp"), aliases=names, synonyms=more)["trace"]

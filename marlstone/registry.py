@@ -38,6 +38,13 @@ def scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/marlstone-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df, name: str):
+    """A table written to the shared folder and read back: its plan and its lineage end there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def query(sql: str | None = None) -> Callable:
     """Registers a function (spark, table) -> DataFrame under its name; table(name) reads a given table."""
 

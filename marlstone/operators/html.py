@@ -376,6 +376,7 @@ def page_links(pages: DataFrame, prefix: str | None = None) -> DataFrame:
     return prepare.resolved_links(p.select("page_id", "pos", "l.href", "l.text", "l.day", F.col("l.next").alias("is_next")).join(urls, F.col("page_id") == F.col("_i")).drop("_i"), prefix)
 
 
+# fixed values: how a streamed payload is pushed and where its texts stand
 PUSH = re.compile(r"self\.__next_f\.push\(\s*(\[.*\])\s*\)\s*;?\s*$", re.S)
 ASSIGNED = re.compile(r"^\s*(?:window\.|self\.|globalThis\.|var |let |const )[\w.$]+\s*=\s*(?=[\[{])")
 CHILD = re.compile(r'"children":("(?:[^"\\]|\\.)*")')
@@ -426,13 +427,18 @@ def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unescape(x))
 
 
+# fixed values: tags that stand for a line's end in Markdown, and how an image is written
+LINE_TAGS = ("details", "summary", "p", "div", "section", "article", "h[1-6]", "ul", "ol", "li", "table", "tr", "blockquote", "pre")
+IMAGE = "[Image: $1$2$3]"
+
+
 def rich_text(c: Column) -> Column:
     """Markdown with HTML in it as Markdown: comments, scripts and block tags go, images leave their alternative text, entities are decoded; all else stays."""
     t = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"""(?is)<img\b(?:[^>]*?\salt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?[^>]*>""", "[Image: $1$2$3]")
+    t = F.regexp_replace(t, r"""(?is)<img\b(?:[^>]*?\salt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?[^>]*>""", IMAGE)
     t = F.regexp_replace(t, r"\[Image:\s*\]", "")
-    t = F.regexp_replace(t, r"(?i)</?(?:details|summary|p|div|section|article|h[1-6]|ul|ol|li|table|tr|blockquote|pre)\b[^>]*>", "\n")
+    t = F.regexp_replace(t, r"(?i)</?(?:" + "|".join(LINE_TAGS) + r")\b[^>]*>", "\n")
     t = F.when(t.contains("&"), _unescaped(t)).otherwise(t)
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))

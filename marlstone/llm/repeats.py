@@ -150,11 +150,17 @@ def sift(d: DataFrame, bitmap: np.ndarray | None, schema: str, rest: Callable |
             if rest is None:
                 yield b.filter(pa.array(inside))
             elif not inside.all():
-                yield rest(b.filter(pa.array(~inside)))
+                yield from map(rest, portions(b.filter(pa.array(~inside))))
 
     return d.mapInArrow(work, schema)
 
 
+def portions(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in portions of so many rows, so that what Python makes of their texts stays small."""
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
+
+
 def cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which of n units lie in one of the [start, end) spans."""
     edge = np.zeros(n + 1, np.int32)
@@ -178,7 +184,7 @@ def finish(d: DataFrame, spans: DataFrame, schema: str, digest: Callable) -> Dat
     held = sift(d, bitmap, "doc_id long, text string, rid long").join(per, "rid", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole)):
             own = [None if x is None else [(y["s"], y["e"]) for y in x] for x in b.column("spans").to_pylist()]
             yield digest(b, own)
 

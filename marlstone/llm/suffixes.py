@@ -126,7 +126,7 @@ def arrays(d: DataFrame, window: int, light: DataFrame, array_bytes: int = 1 <<
     texts = repeats.sift(d, repeats.sieve(light), "doc_id long, text string, rid long").select("rid", "text").distinct().join(per, "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in repeats.portions(whole)):
             out = []
             for rid, text, spots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = text.encode()

@@ -22,7 +22,7 @@ from . import shared
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"  # a whole word without a letter
+LETTERED = r"\p{L}[^\x20\x09-\x0D]*"  # once in every word with a letter: from its first letter to its end
 MARKS = r"[^\p{L}\p{N}\x20\x09-\x0D]{2,}"  # marks in a row
 LISTED = r"^[\x20\x09]*[-*+\u2022\u2023\u00B7]|(\.\.\.|\u2026)[\x20\x09-\x0D]*$"  # a line that begins as a list's or breaks off
 RULES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "variety", "other_chars", "letterless", "marks", "listed_lines")
@@ -33,10 +33,21 @@ def _words(text: Column) -> Column:
 
 
 def _windows(words: Column, k: int = 3) -> Column:
-    """(hash, start) of every k-word window of the array, in order of hash."""
+    """A hash of every k-word window of the array, by start."""
     n = F.size(words)
     starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("i"))))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+
+
+def _in_order(hashes: Column) -> Column:
+    """(h, i) of every hash in order, with its place; none where no hash occurs twice.  sort_array orders natively, array_sort by a lambda."""
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def _characters(kind: str) -> Column:
+    """How many characters of `_t` are of a class: what is left without the runs of others, so that no list of matches is built."""
+    return F.length(F.regexp_replace("_t", f"[^{kind[1:-1]}]+", "")).cast("long")
 
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
@@ -46,7 +57,8 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", who
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if whole else []))
     d = d.withColumn("_w", _words(F.col("_t")))
-    d = d.withColumn("_k", _windows(F.col("_w")))
+    d = d.withColumn("_h", _windows(F.col("_w")))
+    d = d.withColumn("_k", _in_order(F.col("_h")))
     # neighbours in hash order: a window is repeated if its hash equals the one before or after it
     last = F.size("_k") - 1
     same = F.filter(
@@ -62,15 +74,15 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", who
         *(["_row"] if whole else []),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        _characters(SYMBOLS).alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("_t", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        _characters(r"[\p{Lu}]").alias("n_upper"),
+        _characters(r"[\p{L}]").alias("n_letters"),
         F.size(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(F.lower(w))))).cast("long").alias("n_unique"),
-        F.regexp_count("_t", F.lit(r"\p{N}")).cast("long").alias("n_digits"),
-        F.regexp_count("_t", F.lit(LETTERLESS)).cast("long").alias("n_letterless"),
+        _characters(r"[\p{N}]").alias("n_digits"),
+        (F.size("_w") - F.regexp_count("_t", F.lit(LETTERED))).cast("long").alias("n_letterless"),
         F.regexp_count("_t", F.lit(MARKS)).cast("long").alias("n_marks"),
         F.size(F.filter("_l", lambda s: s.rlike(LISTED))).cast("long").alias("n_listed"),
     )

@@ -3,6 +3,7 @@
 import builtins
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from marlstone.llm import repeats, suffixes, textkit
 
@@ -46,3 +47,15 @@ def test_every_stretch_has_the_hash_of_its_range():
     for k in (1, 12, 32, 500):
         at = np.arange(500 - k + 1)
         assert (spans.every(k) == spans.hash(at, at + k)).all()
+
+
+def test_texts_meet_their_spans_in_one_exchange(spark):
+    """Even where the spans are few and the join is broadcast, the texts come from an exchange, not from a worker of the same task."""
+    d = repeats.rows(spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string"))
+    spans = d.where("doc_id < 2").select("rid", F.lit(0).cast("long").alias("s"), F.lit(4).cast("long").alias("e"))
+    got = repeats.finish(d, spans, suffixes.RESULT, suffixes.byte_digest)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    nodes = [x for x in plan if "MapInArrow" in x or "Exchange hashpartitioning(rid" in x]
+    python = [i for i, x in enumerate(nodes) if "MapInArrow" in x]
+    assert len(python) == 3 and any("Exchange" in x for x in nodes[python[1] : python[2]])
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(i, 4 if i < 2 else 0) for i in range(9)]
